@@ -17,7 +17,7 @@ share of label 1; repeated rows each get their row; an empty table gives no rows
 
 from __future__ import annotations
 
-import zlib
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -32,6 +32,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 8, 4096
 VOCABULARY = 30_000
 SAMPLE, SAMPLE_WINDOWS = 1200, 40
 EPOCHS, BATCH_DOCS, RATE = 4, 32, 0.01
+#: A small sample is gone through more often, up to so many batches.
+LEAST_BATCHES = 300
 CACHE_WORDS = 200_000
 
 
@@ -39,9 +41,19 @@ def normal(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>*#&%$|").lower()
 
 
-def trigrams(word: str) -> list[int]:
-    padded = f"<{word}>".encode("utf-8", "surrogatepass")
-    return [zlib.crc32(padded[i : i + 3]) % CHAR_BUCKETS for i in range(max(1, len(padded) - 2))]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte trigrams of each word between < and >, one word after another, and how many each word has."""
+    own = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(w) for w in own], np.int64)
+    line = np.frombuffer(b"".join(own) + b"\0\0", np.uint8).astype(np.uint32)
+    code = line[:-2] * np.uint32(0x85EBCA6B) ^ line[1:-1] * np.uint32(0xC2B2AE35) ^ line[2:] * np.uint32(0x27D4EB2F)
+    code ^= code >> np.uint32(15)
+    code = (code * np.uint32(0x2C1B3C6D)) >> np.uint32(20)  # 12 bits: CHAR_BUCKETS
+    inside = np.ones(len(code), bool)  # all but a word's last two places; "<>" keeps its first
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = False
+    inside[(ends - 2)[sizes > 2]] = False
+    return code[inside].astype(np.int64), np.maximum(sizes - 2, 1)
 
 
 def window_starts(n: int) -> range:
@@ -80,9 +92,7 @@ class Network:
         """Input vectors of distinct words, and what the gradient needs."""
         plain = [normal(w) for w in words]
         ids = np.array([self.index.get(w, 0) for w in plain], np.int64)
-        grams = [trigrams(w) for w in plain]
-        sizes = np.array([len(g) for g in grams])
-        flat = np.array([x for g in grams for x in g], np.int64)
+        flat, sizes = trigrams(plain)
         starts = np.cumsum(sizes) - sizes
         chars = _sums(self.p["char"][flat], starts) / sizes[:, None].astype(np.float32)
         return np.hstack([self.p["word"][ids], chars]).astype(np.float32), (ids, flat, sizes)
@@ -169,6 +179,7 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         batches = -(-len(texts) // BATCH_DOCS)
+        epochs = max(epochs, -(-LEAST_BATCHES // batches))
         for epoch in range(epochs):
             order, total = rng.permutation(len(texts)), 0.0
             for b in range(batches):
@@ -239,7 +250,7 @@ class Scorer:
         distinct = set().union(*split)
         if not distinct <= self.row.keys():
             self.rows(list(distinct))
-        ids = np.fromiter((self.row[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
+        ids = np.fromiter(map(self.row.__getitem__, itertools.chain.from_iterable(split)), np.int64, sum(map(len, split)))
         sizes = np.array([len(ws) for ws in split])
         many = np.array([len(window_starts(n)) for n in sizes])
         of = np.repeat(np.arange(len(texts)), many)
