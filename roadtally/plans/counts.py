@@ -80,7 +80,7 @@ merged AS (SELECT project_id, min(a) AS a, max(b) AS b FROM islands GROUP BY pro
 
 COVERED = """
 slots AS (SELECT DISTINCT project_id, bucket FROM grid),
-covered AS (SELECT s.project_id, s.bucket, least(1.0e0, coalesce(sum(epoch(least(m.b, s.bucket + INTERVAL 15 MINUTE) - greatest(m.a, s.bucket))), 0) / 900) AS coverage
+covered AS (SELECT s.project_id, s.bucket, least(1.0e0, sum(CASE WHEN m.a IS NULL THEN 0 ELSE epoch(least(m.b, s.bucket + INTERVAL 15 MINUTE) - greatest(m.a, s.bucket)) END) / 900) AS coverage
   FROM slots s LEFT JOIN merged m ON m.project_id = s.project_id AND m.a < s.bucket + INTERVAL 15 MINUTE AND m.b > s.bucket GROUP BY s.project_id, s.bucket)"""
 
 #: For a table {t} with the key {k}, a bucket and a volume {v}: the first best hour of four rows.

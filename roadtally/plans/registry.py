@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["counts"]
+MODULES: list[str] = ["counts", "tables"]
 
 
 def queries():
