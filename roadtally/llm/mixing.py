@@ -120,3 +120,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns]
     taken = mix(docs, **options).where("__mix.copies > 0")
     return taken.select(*own, F.explode(F.expr("sequence(1, __mix.copies)")).alias("__copy")).select(*own)
+
+
+#: The same mix in DuckDB SQL, each source's documents sorted as a whole.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  -ln((CAST('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656.0e0)
+    / greatest(0.1e0, coalesce(length(translate(text, '#*$%&|<>', '')) / nullif(CAST(length(text) AS DOUBLE), 0), 1.0e0)) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0e0 * source_size AS most, [5.0e0, 2.0e0, 1.0e0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM s),
+l AS (SELECT *, most / weight AS ratio, (1.5e0 * sum(source_size) OVER () - coalesce(sum(most) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level AS fixed FROM l WHERE level < ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN (SELECT fixed FROM f) IS NULL THEN most ELSE least(most, (SELECT fixed FROM f) * weight) END AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+g AS (SELECT source, key, sum(size) AS size FROM d WHERE size > 0 GROUP BY source, key),
+r AS (SELECT source, key, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM g)
+SELECT d.doc_id, d.size, p.source_size, round(p.target, 6) AS target, CAST((p.epochs + CASE WHEN d.size > 0 AND r.ahead + r.size / 2.0e0 <= p.target - p.epochs * p.source_size THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN r ON r.source IS NOT DISTINCT FROM d.source AND r.key = d.key
+"""

@@ -142,3 +142,24 @@ def filter_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     own = docs.columns
     name = "__rules"
     return ledger(docs, name).where(passes(F.col(f"{name}.fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in own])
+
+
+def oracle_sql() -> str:
+    """The ledger and the current policy in DuckDB SQL: words unnested, windows of three counted."""
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+word AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS i FROM split),
+near AS (SELECT rid, i, w, lag(w) OVER t AS w1, lag(w, 2) OVER t AS w2, lead(w) OVER t AS n1, lead(w, 2) OVER t AS n2 FROM word WINDOW t AS (PARTITION BY rid ORDER BY i)),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, n1, n2) AS c FROM near WHERE n2 IS NOT NULL),
+inside AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE c > 1) GROUP BY rid),
+runs AS (SELECT rid, count(*) AS n FROM near WHERE w = w1 AND w = w2 GROUP BY rid),
+m AS (SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(i.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n_letters, coalesce(r.n, 0) AS n_run_words
+  FROM split s LEFT JOIN inside i USING (rid) LEFT JOIN runs r USING (rid)),
+b AS (SELECT *, {bits} AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {mask("base")} <> 0 AS base_failed, fail_bits & {mask("v1") | mask("base")} = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
+"""

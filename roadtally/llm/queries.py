@@ -49,7 +49,7 @@ def op7_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", *[F.col(f"__mix.{c}") for c in ("size", "source_size", "target", "taken")])
+    return out.select("doc_id", "__mix.size", "__mix.source_size", F.round("__mix.target", 6).alias("target"), "__mix.taken")
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_url_digest_filter": url_filters.ORACLE}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_source_mix": mixing.ORACLE, "op10_url_digest_filter": url_filters.ORACLE}
