@@ -13,7 +13,9 @@ one length go by doc_id, piece and crc.
 from __future__ import annotations
 
 import bisect
+import functools
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -27,44 +29,95 @@ from roadtally.llm.common import partitions, tokenizer_path, written
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Word-to-ids entries that a task keeps before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 900_000
 
 
 class WordEncoder:
     """Token ids of texts, word by word.
 
-    The vocabulary's splitter never joins characters across white space, so a text's ids are those
-    of its white-space parts one after another, and each distinct part is encoded once.
+    The vocabulary's splitter never joins characters across white space, nor a run of letters with
+    a mark after it, so a text's ids are those of its parts one after another, and each distinct
+    part is encoded once. New words of letters are encoded as one line: each is a single run, and
+    the last id of a run is one that ends a word.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(self.MARKS, self._ids(list(self.MARKS))))
         self.known: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that consist of letters."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                line, at_byte = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [line[x:y] for x, y in zip(at_byte, at_byte[1:])]
+            else:  # a letter whose small form is no single letter
+                out += self._ids(part)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        stems, rest = [], []
+        for part in new:
+            mark = part[-1] if part[-1] in self.MARKS else ""
+            stem = part[:-1] if mark else part
+            if stem.isalpha():
+                stems.append((part, stem.lower() if stem.isascii() else stem, mark))
+            else:
+                rest.append(part)
+        words = list({stem for _, stem, _ in stems} - self.plain.keys())
+        self.plain.update(zip(words, self._letters(words)))
+        plain, marks = self.plain, self.marks
+        self.known.update((part, plain[stem] + marks[mark] if mark else plain[stem]) for part, stem, mark in stems)
+        self.known.update(zip(rest, self._ids(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # str.split() also parts at U+001C..U+001F, which the vocabulary takes for characters
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[t] if o else t.split() for t, o in zip(texts, odd)]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*split) - self.known.keys())
-        self.known.update(zip(new, self._ids(new)))
+        split = [[t] if _ODD.search(t) else (t if _WIDE.search(t) else t.lower()).split() for t in texts]
+        distinct = set().union(*split)
+        if not distinct <= self.known.keys():
+            new = distinct - self.known.keys()
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known, new = {}, distinct
+                self.plain = self.plain if len(self.plain) < CACHE_WORDS // 2 else {}
+            self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
 
+_ODD = re.compile("[\x1c-\x1f]")
+#: Beyond these letters (and U+0130) the vocabulary's own rules of small letters are left to it.
+_WIDE = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
+
+@functools.cache
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row for each piece of each document: its ids' place in the document, their number and CRC."""
 
     def cut(batches):
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         closing = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
