@@ -33,7 +33,10 @@ VOCABULARY = 30_000
 SAMPLE, SAMPLE_WINDOWS = 1200, 40
 EPOCHS, BATCH_DOCS, RATE = 4, 32, 0.01
 #: A small sample is gone through more often, up to so many batches.
-LEAST_BATCHES = 300
+LEAST_BATCHES = 120
+#: In training each word is left out with this chance, so that no text is known by a few rare words.
+LEFT_OUT = 0.2
+DECAY = 0.05
 CACHE_WORDS = 200_000
 
 
@@ -191,13 +194,17 @@ class Network:
                     for window in texts[i]:
                         at.append([words.setdefault(w, len(words)) for w in window] + [-1] * (WINDOW - len(window)))
                 words = words or {"": 0}
-                loss, grad = self.gradient(list(words), np.array(at), np.array(docs), labels[mine])
+                places = np.array(at)
+                places[rng.random(places.shape) < LEFT_OUT] = -1
+                loss, grad = self.gradient(list(words), places, np.array(docs), labels[mine])
                 total += loss / batches
                 step += 1
                 rate = RATE * (1 - 0.9 * step / (epochs * batches))
                 for k, g in grad.items():
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.001 * (g * g - v[k])
+                    if k in ("word", "char"):
+                        self.p[k] *= np.float32(1 - rate * DECAY)
                     self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             losses.append(total)
         return losses
@@ -211,8 +218,10 @@ def fit_network(texts: list[list[list[str]]], labels: np.ndarray, share: float,
     n = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
     both = counts[0] + counts[1]
     vocabulary = sorted((w for w, k in both.items() if k >= 3), key=lambda w: (-both[w], w))[:VOCABULARY]
-    odds = np.array([np.log((counts[1][w] + 1) / (n[1] + 2)) - np.log((counts[0][w] + 1) / (n[0] + 2)) for w in vocabulary], np.float32)
-    net = Network(vocabulary, np.clip(odds, -2, 2))
+    one, none = (np.array([counts[y][w] for w in vocabulary], np.float64) for y in (1, 0))
+    odds = np.log((one + 1) / (n[1] + 2)) - np.log((none + 1) / (n[0] + 2))
+    sure = odds**2 * (one + 1) * (none + 1) / (one + none + 2)  # squared standard scores
+    net = Network(vocabulary, np.clip(odds * sure / (sure + 9), -2, 2).astype(np.float32))
     net.fit(texts, labels, epochs)
     sampled = (labels == 1).mean()
     net.shift = float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
