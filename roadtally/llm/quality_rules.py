@@ -27,7 +27,7 @@ RULES: dict[str, str] = {
     "min_words": "n_words < 50",
     "repeat_words": "100 * n_repeat_words > 50 * n_words",
     "symbol_words": "10 * n_symbols > n_words",
-    "dup_lines": "n_lines > 0 AND 10 * n_dup_lines > 3 * n_lines",
+    "dup_lines": "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines",
     "word_length_low": "word_chars < 2 * n_words",
     "word_length_high": "word_chars > 14 * n_words",
     "upper_case": "2 * n_upper > n_letters",
