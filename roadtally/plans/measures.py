@@ -508,7 +508,8 @@ def _(fx):
     """SELECT project_id, shift, round(sum(abs(scale * n - n_hand)) / sum(n_hand), 6) AS error FROM (
          SELECT *, CASE WHEN sum(n) OVER w > 0 THEN sum(n_hand) OVER w / sum(n) OVER w ELSE 0 END AS scale FROM (
            SELECT q.project_id, q.lane_id, q.quarter, s.shift, q.n_hand, (SELECT count(*) FROM per_minute p WHERE p.lane_id = q.lane_id AND (p.minute + s.shift + 1440) % 1440 BETWEEN q.quarter AND q.quarter + 14) AS n
-           FROM hand q, (SELECT unnest(range(-10, 11)) AS shift) s WHERE (SELECT count(DISTINCT p.minute) FROM covered_minutes p WHERE p.project_id = q.project_id AND (p.minute + s.shift + 1440) % 1440 BETWEEN q.quarter AND q.quarter + 14) = 15)
+           FROM (SELECT l.project_id, l.lane_id, c.quarter, coalesce(h.n_hand, 0) AS n_hand FROM (SELECT DISTINCT project_id, lane_id FROM hand) l JOIN (SELECT DISTINCT project_id, quarter FROM hand) c USING (project_id)
+             LEFT JOIN hand h ON h.lane_id = l.lane_id AND h.quarter = c.quarter) q, (SELECT unnest(range(-10, 11)) AS shift) s WHERE (SELECT count(DISTINCT p.minute) FROM covered_minutes p WHERE p.project_id = q.project_id AND (p.minute + s.shift + 1440) % 1440 BETWEEN q.quarter AND q.quarter + 14) = 15)
          WINDOW w AS (PARTITION BY project_id, lane_id, shift)) GROUP BY ALL""",
     "per_minute AS (SELECT project_id, lane_id, CAST(hh * 60 + minute(ts) AS INTEGER) AS minute FROM crossings)",
     "covered_minutes AS (SELECT DISTINCT p.project_id, CAST(m AS INTEGER) AS minute FROM (SELECT DISTINCT project_id FROM crossings) p, (SELECT unnest(range(420, 1140)) AS m))",
@@ -518,7 +519,6 @@ def _(fx):
     minutes = fx.crossings.groupBy("project_id", "lane_id", (F.col("hh") * 60 + F.minute("ts")).cast("int").alias("minute")).agg(F.count("*").alias("n"))
     hand = fx.manual.where("minuto BETWEEN 420 AND 1125").groupBy("project_id", "lane_id", F.col("minuto").alias("quarter")).agg(F.sum("n").alias("n_hand"))
     covered = fx.crossings.select("project_id").distinct().select("project_id", F.explode(F.sequence(F.lit(420), F.lit(1139))).alias("minute"))
-    # each lane of a site keeps its own quarters
     return rounded(validate.clock_offset(minutes, hand, covered), "error")
 
 
