@@ -10,8 +10,11 @@ leaves: with M aligned of n and m, the similarity is M / (n + m - M), and a pair
 ``threshold`` or more. Classes are the connected components of the links, exact copies included.
 
 Copies of one text are folded into one representative first. Inside a bucket every member is
-compared with one leader (linear in the bucket); a bucket whose members are then in different
-components has each pair across components compared, unless their lengths alone rule a link out.
+compared with one leader (linear in the bucket). Where members of a bucket are then in different
+components, pairs across them are looked at in blocks of ``BLOCK`` members, so no task holds a whole
+bucket, and only pairs whose bound reaches the threshold are emitted and aligned: each text
+keeps the distinct 16-bit marks of its symbols. Two texts can share no more symbols than they share
+marks, plus the lesser number of symbols that a mark stands for twice; nothing that could link is lost.
 
 Defined results: a null text counts as an empty one; texts of fewer words than a shingle have one
 shingle, of all their words; empty texts are copies of each other; repeated rows share a class; ids that
@@ -35,6 +38,9 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares a bucket with chance 0.8^5 = 0.33 each; 32 tables all miss it with chance 3e-6.
 PICKS = 5
 TABLES = 32
+BLOCK = 256
+#: Marks that a block's table of members by marks has at once.
+COLUMNS = 8192
 
 
 class _Hashes(dict):
@@ -119,7 +125,18 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESH
     return best / (n + m - best)
 
 
-SKETCHED = "doc_id long, digest string, n_shingles int, buckets array<long>"
+def marks_of(s: np.ndarray) -> bytes:
+    """The distinct 16-bit marks of symbols, in order."""
+    return np.unique((s >> np.uint64(17)).astype(np.uint16)).astype("<u2").tobytes()
+
+
+def likeness_bound(shared, twice, total):
+    """At most this similarity: shared marks, the lesser number of symbols without a mark of their own, and both texts' symbols."""
+    most = np.minimum(shared + twice, total / 2)
+    return np.where(total > 0, most / np.maximum(1, total - most), 1.0)
+
+
+SKETCHED = "doc_id long, digest string, n_shingles int, buckets array<long>, marks binary"
 
 
 def sketches(docs: DataFrame, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
@@ -129,8 +146,8 @@ def sketches(docs: DataFrame, tables: int = TABLES, picks: int = PICKS) -> DataF
             rows = []
             for doc_id, digest, text in zip(batch["doc_id"], batch["digest"], batch["text"]):
                 s = labelled_shingles(text, known)
-                rows.append((doc_id, digest, len(s), sketch(s, tables, picks)))
-            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "buckets"])
+                rows.append((doc_id, digest, len(s), sketch(s, tables, picks), marks_of(s)))
+            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "buckets", "marks"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
@@ -165,48 +182,88 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             return now.select("node", "root")
 
 
+def bounded(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose bound reaches the threshold."""
+
+    @F.pandas_udf("boolean")
+    def possible(p: pd.Series, q: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        marks = lambda x: np.frombuffer(x, "<u2")
+        out = []
+        for x, y, nx, ny in zip(p, q, n, m):
+            a, b = marks(x), marks(y)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(bool(likeness_bound(shared, min(nx - len(a), ny - len(b)), nx + ny) >= threshold - 1e-9))
+        return pd.Series(out, dtype=bool)
+
+    own = lambda x: texts.select(F.col("t").alias(x), F.col("marks").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    return both.where(possible.asNondeterministic()("ca", "cb", "na", "nb")).select("a", "b")
+
+
+def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose bound reaches the threshold."""
+    placed = members.select("bucket", "t", "size").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("t", "bucket"), F.col("blocks")).cast("int"))
+    # block i meets block j once, in the task (i, j) with i <= j
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "root")
+    rows = rows.join(texts.select("t", "n", "marks"), "t")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        t, root, n, own = (group[c].to_numpy() for c in ("t", "root", "n", "own"))
+        marks = [np.frombuffer(x, "<u2") for x in group["marks"]]
+        sizes = np.array([len(x) for x in marks])
+        _, column = np.unique(np.concatenate(marks), return_inverse=True)
+        member = np.repeat(np.arange(len(marks)), sizes)
+        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            part = (column >= lo) & (column < lo + COLUMNS)
+            table = np.zeros((len(marks), COLUMNS), np.float32)
+            table[member[part], column[part] - lo] = 1
+            shared += table[left] @ table[right].T
+        twice, total = np.minimum.outer((n - sizes)[left], (n - sizes)[right]), np.add.outer(n[left], n[right])
+        good = (likeness_bound(shared, twice, total) >= threshold - 1e-9) & (root[left][:, None] != root[right])
+        x, y = np.nonzero(good)
+        a, b = t[left[x]], t[right[y]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
-    """One row for each row of docs: doc_id, its text's digest, class_id (the least doc_id of the class),
-    n_links (verified links of its text to different texts) and is_first (the one that stays)."""
+    """One row for each row of docs: doc_id, its text's digest, class_id (the least doc_id of the class)
+    and is_first (the one that stays)."""
     rows = written(sketches(docs, tables, picks), "sketches")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"))
     texts = written(texts.withColumn("t", F.xxhash64("digest")), "texts")  # t: a text's number
     members = texts.select("t", "n", F.explode("buckets").alias("bucket"))
     crowd = members.groupBy("bucket").agg(F.min("t").alias("leader"), F.min_by("n", "t").alias("n_leader"), F.count("*").alias("size")).where("size > 1")
     members = written(members.join(crowd, "bucket"), "members")
     ratio = F.least("n", "n_leader") >= threshold * F.greatest("n", "n_leader") - 1e-9
     first = members.where((F.col("leader") != F.col("t")) & ratio).select(F.col("leader").alias("a"), F.col("t").alias("b")).distinct()
-
-    ids = members.select("t").distinct()
-    wanted = texts.join(ids, "t").select("t", "digest")
-    shingled = written(_shingle_table(docs, wanted), "shingles")
-    verified = written(verify(first, shingled, threshold), "links")
-    roots = components(verified)
-
-    # members of one bucket that ended in different components
-    placed = members.select("bucket", "t", "n").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    open_ = placed.join(mixed, "bucket")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, F.expr(f"x.bucket = y.bucket AND x.root < y.root AND least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"))
-        .select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = written(verify(across, shingled, threshold), "links")
-    links = verified.unionByName(more)
-    if not more.isEmpty():
-        roots = components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("n_links"))
-    named = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").join(degree, "t", "left")
-    named = named.select("digest", "doc_id", F.coalesce("root", "t").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = written(bounded(first, texts, threshold), "pairs")
+    links = written(verify(first, docs, texts, threshold), "links")
+    roots = components(links)
+
+    across = written(across_components(members, texts, roots, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(verify(across, docs, texts, threshold), "links")
+    named = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left")
+    named = named.select("digest", "doc_id", F.coalesce("root", "t").alias("root"))
+    if not more.isEmpty():  # of these links only what they join matters: pairs of components
+        root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        joined = joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+        merged = components(joined).select(F.col("node").alias("root"), F.col("root").alias("last"))
+        named = named.join(merged, "root", "left").select("digest", "doc_id", F.coalesce("last", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("digest", F.struct("doc_id", "digest")).alias("first_digest"))
     named = named.drop("doc_id").join(least, "root")
     out = rows.select("doc_id", "digest").join(named, "digest")
     first_row = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("first_digest"))
-    return out.select("doc_id", "class_id", "n_links", first_row.alias("is_first"), "digest")
+    return out.select("doc_id", "class_id", first_row.alias("is_first"), "digest")
 
 
 def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,17 +274,21 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"t": batch["t"], "s": [labelled_shingles(x, known).view(np.int64) for x in batch["text"]]})
 
-    one = _digested(docs).join(wanted, "digest")
+    # of a text's copies only the rows of its least id come along
+    rows = _digested(docs)
+    one = rows.join(wanted.withColumnRenamed("digest", "d"), rows["doc_id"].eqNullSafe(F.col("own_id")) & (rows["digest"] == F.col("d")))
     return one.dropDuplicates(["digest"]).select("t", "text").mapInPandas(make, "t long, s array<long>")
 
 
-def verify(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the threshold."""
+def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the threshold; only texts of pairs are shingled again."""
 
     @F.pandas_udf("double")
     def similarity(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([alignment_similarity(np.asarray(x), np.asarray(y), threshold) for x, y in zip(p, q)], dtype="float64")
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct().join(texts.select("t", "digest", F.col("doc_id").alias("own_id")), "t")
+    shingled = written(_shingle_table(docs, wanted), "shingles")
     left = shingled.select(F.col("t").alias("a"), F.col("s").alias("sa"))
     right = shingled.select(F.col("t").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity.asNondeterministic()("sa", "sb").alias("similarity"))
