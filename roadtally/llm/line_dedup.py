@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
-A document's lines become hashes. Documents that share a line are candidates: each line hash links
-every document that holds it to the first one that does, so a line on a third of all pages gives as
-many pairs as it has holders, not their square. Rare lines (at most ``rare`` holders) also link each
-holder to the one before it. Each pair is aligned with patience diff; aligned common blocks of
-``min_block_words`` words or more are deleted from the later document. The first holder of a line
-has no earlier one to lose it to, so every passage stays once.
+A document's lines become hashes. A run is the fewest consecutive lines, from a line on or up to a
+line, that together reach ``min_block_words`` words. Each run links every document that holds it to
+the first one that does, so a run on a third of all pages gives as many pairs as it has holders, not
+their square. Every line of a block that can be deleted lies in a run inside the block, so these
+pairs cover all blocks. Each pair is aligned with patience diff; aligned common blocks of
+``min_block_words`` words or more are deleted from the later document. The first holder of a run has no earlier one to lose it to, so every passage stays once.
 
 Documents are ordered by doc_id (nulls last), then by text hash. Rows that repeat an id and a text
 are one document here and keep the same lines. A null text stays null; an empty one stays empty;
@@ -20,7 +20,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadtally.llm.common import WORD, written
@@ -90,6 +91,21 @@ def removable(a: list, b: list, n_words: list[int], min_block_words: int) -> lis
     return out
 
 
+def runs(n_words: np.ndarray, owner: np.ndarray, min_block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end after) of the shortest runs from each line and up to each line that have enough words; lines of an owner are adjacent."""
+    after = np.cumsum(n_words)
+    before = after - n_words
+    n = np.arange(len(n_words))
+    end = np.searchsorted(after, before + min_block_words)
+    start = np.searchsorted(before, after - min_block_words, "right") - 1
+    i, e = np.r_[n, start], np.r_[end, n]
+    inside = (i >= 0) & (e < len(n))
+    i, e = i[inside], e[inside]
+    same = owner[i] == owner[e]
+    both = np.unique(np.stack([i[same], e[same] + 1]), axis=1)
+    return both[0], both[1]
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(id, h, lines): the order key of a document and, for each of its lines, hash and words (null where it has none)."""
     text = F.col("text").cast("string")
@@ -98,17 +114,36 @@ def line_table(docs: DataFrame) -> DataFrame:
     return keyed.where("lines IS NOT NULL").groupBy("id", "h").agg(F.first("lines").alias("lines"))
 
 
-def removed_lines(docs: DataFrame, min_block_words: int = 10, rare: int = 50) -> DataFrame:
+def run_table(table: DataFrame, min_block_words: int) -> DataFrame:
+    """(id, h, x): the distinct runs of each document of a line table, as hashes."""
+
+    def hashed(batches):
+        for batch in batches:
+            lines = batch.column("lines")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lines.offsets.to_numpy()))
+            flat = lines.flatten()
+            x, w = flat.field("x").to_numpy(zero_copy_only=False), flat.field("w").to_numpy(zero_copy_only=False)
+            worded = w > 0
+            x, w, owner = x[worded].view(np.uint64), w[worded].astype(np.int64), owner[worded]
+            i, e = runs(w, owner, min_block_words)
+            length = e - i
+            value = length.astype(np.uint64)
+            for k in range(int(length.max(initial=0))):
+                on = length > k
+                value[on] = (value[on] ^ (value[on] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[i[on] + k]
+            of = pa.array(owner[i])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("h").take(of), pa.array(value.view(np.int64))], names=["id", "h", "x"])
+
+    return table.mapInArrow(hashed, "id long, h long, x long").distinct()
+
+
+def removed_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     """(id, h, removed): the lines (from 0) to delete from each document that has any."""
     table = written(line_table(docs), "lines")
-    held = table.select("id", "h", F.explode("lines").alias("line")).where("line.w > 0").select("id", "h", F.col("line.x").alias("x")).distinct()
+    held = run_table(table, min_block_words)
     shared = held.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("id", "h")).alias("first")).where("n > 1")
-    held = held.join(shared, "x")
-    star = held.where("first < struct(id, h)").select("first.id", "first.h", F.col("id").alias("id2"), F.col("h").alias("h2"))
-    before = Window.partitionBy("x").orderBy("id", "h")
-    chain = held.where(F.col("n") <= rare).withColumn("prev", F.lag(F.struct("id", "h")).over(before)).where("prev IS NOT NULL")
-    chain = chain.select("prev.id", "prev.h", F.col("id").alias("id2"), F.col("h").alias("h2"))
-    pairs = star.union(chain).distinct()
+    later = held.join(shared, "x").where("first < struct(id, h)")
+    pairs = later.select("first.id", "first.h", F.col("id").alias("id2"), F.col("h").alias("h2")).distinct()
 
     @F.pandas_udf("array<int>")
     def cut(a: pd.Series, ha: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
@@ -121,9 +156,9 @@ def removed_lines(docs: DataFrame, min_block_words: int = 10, rare: int = 50) ->
     return found.groupBy(F.col("id2").alias("id"), F.col("h2").alias("h")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_block_words: int = 10, rare: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_block_words: int = 10) -> DataFrame:
     """docs with the repeated blocks out of text, and a column ``removed`` of the deleted lines' numbers."""
-    removed = removed_lines(docs, min_block_words, rare).withColumnsRenamed({"id": "__id", "h": "__h", "removed": "__removed"})
+    removed = removed_lines(docs, min_block_words).withColumnsRenamed({"id": "__id", "h": "__h", "removed": "__removed"})
     keyed = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
     both = keyed.join(removed, F.expr("__own = __id AND __hash = __h"), "left")
     kept = F.expr("concat_ws('\n', transform(filter(transform(split(text, '\n'), (x, i) -> struct(x AS x, i AS i)), y -> NOT array_contains(__removed, y.i)), z -> z.x))")

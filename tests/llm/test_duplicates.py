@@ -120,6 +120,15 @@ def test_lines_leave_the_later_document(spark):
     assert got[8] == ("x", [0, 2])
 
 
+def test_blocks_of_short_lines_with_other_first_holders_leave(spark):
+    p, q = "six words are in this p", "six words are in this q"
+    texts = {1: p, 2: q} | {i: f"own {i}\n{p}\n\n{q}\nend {i}" for i in range(3, 70)}
+    docs = spark.createDataFrame([row(i, t) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r["__removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1] == got[2] == got[3] == []
+    assert all([x for x in got[i] if x != 2] == [1, 3] for i in range(4, 70))
+
+
 def test_line_dedup_on_odd_rows(odd_docs, no_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert out.columns == [*odd_docs.columns, "__removed"]
