@@ -5,7 +5,9 @@ line, that together reach ``min_block_words`` words. Each run links every docume
 the first one that does, so a run on a third of all pages gives as many pairs as it has holders, not
 their square. Every line of a block that can be deleted lies in a run inside the block, so these
 pairs cover all blocks. Each pair is aligned with patience diff; aligned common blocks of
-``min_block_words`` words or more are deleted from the later document. The first holder of a run has no earlier one to lose it to, so every passage stays once.
+``min_block_words`` words or more are deleted from the later document, and then what alignment left:
+runs of the later document that the earlier one has elsewhere (moved, or more than once). The first
+holder of a run has no earlier one to lose it to, so every passage stays once.
 
 Documents are ordered by doc_id (nulls last), then by text hash. Rows that repeat an id and a text
 are one document here and keep the same lines. A null text stays null; an empty one stays empty;
@@ -88,7 +90,29 @@ def removable(a: list, b: list, n_words: list[int], min_block_words: int) -> lis
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    return out + _left_over(a, b, n_words, min_block_words, set(out))
+
+
+def _left_over(a: list, b: list, n_words: list[int], min_block_words: int, gone: set[int]) -> list[int]:
+    """Lines of b, not gone yet, in runs of b that a has anywhere."""
+    held = {x for x in a if x is not None}
+    if not any(x in held and j not in gone for j, x in enumerate(b)):
+        return []
+    at = [j for j, x in enumerate(b) if x is not None]
+    own = np.array([b[j] for j in at], object)
+    starts, ends = runs(np.array([n_words[j] for j in at]), np.zeros(len(at), int), min_block_words)
+    lines = [x for x in a if x is not None]
+    grams: dict[int, set[tuple]] = {}
+    out: set[int] = set()
+    for i, e in zip(starts.tolist(), ends.tolist()):
+        if own[i] not in held or all(j in gone for j in at[i:e]):
+            continue
+        n = e - i
+        if n not in grams:
+            grams[n] = {tuple(lines[k : k + n]) for k in range(len(lines) - n + 1)}
+        if tuple(own[i:e]) in grams[n]:
+            out.update(at[i:e])
+    return sorted(out - gone)
 
 
 def runs(n_words: np.ndarray, owner: np.ndarray, min_block_words: int) -> tuple[np.ndarray, np.ndarray]:

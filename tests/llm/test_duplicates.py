@@ -129,6 +129,28 @@ def test_blocks_of_short_lines_with_other_first_holders_leave(spark):
     assert all([x for x in got[i] if x != 2] == [1, 3] for i in range(4, 70))
 
 
+def test_moved_and_repeated_lines_leave(spark):
+    one, two = f"one {LONG}", f"two {LONG}"
+    texts = {1: f"{one}\na\n{two}\nb\n{one}", 2: f"c\n{two}\nd\n{one}\ne", 3: f"f\n{one}\ng\n{one}\nh"}
+    docs = spark.createDataFrame([row(i, t) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r["__removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: [], 2: [1, 3], 3: [1, 3]}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_removed_lines_are_those_of_all_common_blocks(seed):
+    rng = random.Random(seed)
+    words = {x: rng.choice([2, 4, 11]) for x in range(8)} | {None: 0}
+    a, b = ([rng.choice(list(words)) for _ in range(25)] for _ in range(2))
+    flat, at = [x for x in a if x is not None], [j for j, x in enumerate(b) if x is not None]
+    want = set()
+    for i, e in itertools.combinations(range(len(at) + 1), 2):
+        block = [b[j] for j in at[i:e]]
+        if sum(words[x] for x in block) >= 10 and any(flat[k : k + len(block)] == block for k in range(len(flat))):
+            want.update(at[i:e])
+    assert set(line_dedup.removable(a, b, [words[x] for x in b], 10)) == want
+
+
 def test_line_dedup_on_odd_rows(odd_docs, no_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert out.columns == [*odd_docs.columns, "__removed"]
