@@ -103,6 +103,24 @@ def test_scores_without_rows_or_training(odd_docs, no_docs):
     assert suffix_tree.score_documents(odd_docs, F.lit(False), depth=2).count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("cached, head", [(0, 5), (60, 40), (100_000, 100_000)])
+def test_every_context_that_passes_counts_whatever_tasks_hold(spark, cached, head):
+    texts = [prose(i, 200) for i in range(40)] + ["", "zzz \u00e9 qqq", None, "zq" * 300, prose(900, 700)]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    train = docs.where("doc_id < 40")
+    counts = suffix_tree.corpus_counts(train, 3).cache()
+    tree = suffix_tree.grow_tree(counts, 3, 1_000_000)
+    words = {bytes(r.word): r.n for r in counts.where("word IS NOT NULL").collect()}
+    n = sum(words.values())
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs, F.col("doc_id") < 40, depth=3, max_contexts=cached, head=head).collect()}
+    for i, t in enumerate(texts):
+        own = suffix_tree.lowered(t)
+        logs = tree.scores([suffix_tree.spelled(own, 3)])
+        u = suffix_tree.UNIGRAM
+        want = sum(math.log10(u * words[w] / n + (1 - u) * 10.0**x) if w in words else math.log10(1 - u) + x for w, x in zip([*own, b"\n"], logs))
+        assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
 def test_held_out_text_is_likelier_than_by_the_base(spark):
     docs = spark.createDataFrame([row(i, prose(i, 400)) for i in range(150)], SCHEMA)
     out = suffix_tree.score_documents(docs, fold(7) != 2, depth=4, max_contexts=4000).withColumn("held", fold(7) == 2)
