@@ -1,12 +1,10 @@
-import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadtally.llm import discriminant, suffix_tree, toxicity
+from roadtally.llm import discriminant, toxicity
 from roadtally.llm.common import id_crc32
 from tests.llm.conftest import SCHEMA, prose, row
 
@@ -35,99 +33,6 @@ def test_quality_on_odd_rows(odd_docs, no_docs, some_labels):
     assert {r.score for r in none} == {0.5}
 
 
-def toy_tree(spark, docs):
-    counts = suffix_tree.corpus_counts(docs, 3).cache()
-    return counts, suffix_tree.grow_tree(counts, 3, 400)
-
-
-def test_tree_is_a_distribution_and_uses_the_longest_suffix(spark):
-    docs = spark.createDataFrame([row(i, prose(i, 200).lower()) for i in range(40)], SCHEMA)
-    counts, tree = toy_tree(spark, docs)
-    seen = tree.log10p.shape[1] - 1
-    whole = (10.0 ** tree.log10p[:, :seen].astype(float)).sum(axis=1) + (256 - seen) * 10.0 ** tree.log10p[:, seen].astype(float)
-    assert np.allclose(whole, 1, atol=1e-4)
-    assert len(tree.log10p) > 50
-    # one byte at a time from the root, without rows or restarts
-    texts = [suffix_tree.spelled(suffix_tree.lowered(t), 3) for t in (prose(900, 700), "", "zzz \u00e9 qqq", prose(3, 5))]
-    want = []
-    for text in texts:
-        state, total = 0, 0.0
-        for i, byte in enumerate(text):
-            k = tree.classes[byte]
-            total += float(tree.log10p[state, k]) if i >= 3 else 0.0
-            state = tree.next[state, k]
-            if i >= 3 and byte in b" \n":
-                want.append(total)
-                total = 0.0
-    assert tree.scores(texts).tolist() == pytest.approx(want, abs=1e-3)
-
-
-def test_counts(spark):
-    texts = ["the the cat", "", "A cat, a Cat"]
-    rows = suffix_tree.corpus_counts(spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA), 2).collect()
-    words = {bytes(r.word): r.n for r in rows if r.word is not None}
-    assert words == {b"the": 2, b"cat": 2, b"a": 2, b"cat,": 1, b"\n": 3}
-    want = Counter()
-    for t in texts:
-        s = suffix_tree.spelled(suffix_tree.lowered(t), 2)
-        want.update(int.from_bytes(s[i : i + 3]) for i in range(len(s) - 2))
-    assert {r.gram: r.n for r in rows if r.gram is not None} == want
-
-
-@pytest.mark.parametrize("head", [3, 100_000])
-def test_base_scores(spark, odd_docs, head):
-    out = suffix_tree.score_documents(odd_docs, fold(7) != 2, depth=3, max_contexts=200, head=head).collect()
-    docs = odd_docs.collect()
-    assert len(out) == len(docs)
-    train = Counter()
-    for d in docs:
-        if zlib.crc32(str("" if d.doc_id is None else d.doc_id).encode()) % 7 != 2:
-            train.update([*suffix_tree.lowered(d.text), b"\n"])
-    n, v = sum(train.values()), len(train)
-    want = []
-    for d in docs:
-        tokens = [*suffix_tree.lowered(d.text), b"\n"]
-        want.append((d.doc_id if d.doc_id is not None else -1, len(tokens), sum(train[t] > 0 for t in tokens), n, round(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens), 6)))
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == sorted(want)
-    assert all(-1e7 < r.score < 0 for r in out)
-
-
-def test_a_word_of_any_length_has_a_finite_score(spark):
-    docs = spark.createDataFrame([row(1, "zq" * 5000), row(2, "a b c"), row(3, None)], SCHEMA)
-    got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs, F.col("doc_id") != 1, depth=2, head=1).collect()}
-    assert -1e6 < got[1] < -1000 and -50 < got[2] < 0
-
-
-def test_scores_without_rows_or_training(odd_docs, no_docs):
-    assert suffix_tree.score_documents(no_docs, fold(7) != 2, depth=2).count() == 0
-    assert suffix_tree.score_documents(odd_docs, F.lit(False), depth=2).count() == odd_docs.count()
-
-
-@pytest.mark.parametrize("cached, head", [(0, 5), (60, 40), (100_000, 100_000)])
-def test_every_context_that_passes_counts_whatever_tasks_hold(spark, cached, head):
-    texts = [prose(i, 200) for i in range(40)] + ["", "zzz \u00e9 qqq", None, "zq" * 300, prose(900, 700)]
-    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
-    train = docs.where("doc_id < 40")
-    counts = suffix_tree.corpus_counts(train, 3).cache()
-    tree = suffix_tree.grow_tree(counts, 3, 1_000_000)
-    words = {bytes(r.word): r.n for r in counts.where("word IS NOT NULL").collect()}
-    n = sum(words.values())
-    got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs, F.col("doc_id") < 40, depth=3, max_contexts=cached, head=head).collect()}
-    for i, t in enumerate(texts):
-        own = suffix_tree.lowered(t)
-        logs = tree.scores([suffix_tree.spelled(own, 3)])
-        u = suffix_tree.UNIGRAM
-        want = sum(math.log10(u * words[w] / n + (1 - u) * 10.0**x) if w in words else math.log10(1 - u) + x for w, x in zip([*own, b"\n"], logs))
-        assert got[i] == pytest.approx(want, rel=1e-4), i
-
-
-def test_held_out_text_is_likelier_than_by_the_base(spark):
-    docs = spark.createDataFrame([row(i, prose(i, 400)) for i in range(150)], SCHEMA)
-    out = suffix_tree.score_documents(docs, fold(7) != 2, depth=4, max_contexts=4000).withColumn("held", fold(7) == 2)
-    r = out.where("held").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
-
-
 def test_gradient():
     rng = np.random.default_rng(1)
     words = ["idiot", "the", "cat", "sat", "on", "mat", "dog"]
