@@ -3,18 +3,22 @@
 A text becomes its 5-word shingles, each labelled with its occurrence number, so that no symbol
 comes twice. For each of ``tables`` hash functions the ``picks`` shingles with the least hashes are
 put in text order; the hash of that sequence is a bucket. Two texts share a bucket only if they
-have the same shingles in the same order, so the chance follows edit similarity, not only overlap.
+have the same shingles in the same order, so the chance follows edit similarity, not only overlap. Where that
+chance is small or none, with at most ``SHORT`` shingles, texts get buckets for their whole sequence
+and for it without each one or two shingles: of two such texts that link, each is left with the other's.
 
 Candidates are verified by aligning the labelled shingles inside the band that the threshold
 leaves: with M aligned of n and m, the similarity is M / (n + m - M), and a pair links at
 ``threshold`` or more. Classes are the connected components of the links, exact copies included.
 
-Copies of one text are folded into one representative first. Inside a bucket every member is
-compared with one leader (linear in the bucket). Where members of a bucket are then in different
-components, pairs across them are looked at in blocks of ``BLOCK`` members, so no task holds a whole
-bucket, and only pairs whose bound reaches the threshold are emitted and aligned: each text
-keeps the distinct 16-bit marks of its symbols. Two texts can share no more symbols than they share
-marks, plus the lesser number of symbols that a mark stands for twice; nothing that could link is lost.
+Copies of one text are folded into one representative first, numbered as they are written. Inside a bucket
+every member is compared with one leader (linear in the bucket). Where members of a bucket are then in
+different components, pairs across them are looked at among members of like length (each length class with
+itself and with the next), in blocks of ``BLOCK`` members, so no task holds a whole bucket; buckets with the
+same members are looked at once. Members of one component are not compared. Only pairs whose bound
+reaches the threshold are emitted and aligned: texts share no more symbols than the lesser counts of their marks in each of
+``BINS`` ranges add up to, and no more than the distinct 16-bit marks they share plus the lesser number of
+symbols that a mark stands for twice; nothing that could link is lost.
 
 Defined results: a null text counts as an empty one; texts of fewer words than a shingle have one
 shingle, of all their words; empty texts are copies of each other; repeated rows share a class; ids that
@@ -24,31 +28,25 @@ come with several texts join those texts' classes; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtally.llm.common import drop_written, words_of, written
+from roadtally.llm.common import drop_written, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair at the threshold shares a bucket with chance 0.8^5 = 0.33 each; 32 tables all miss it with chance 3e-6.
+#: A pair at the threshold shares a bucket with chance 0.26 to 0.33 each; 32 tables all miss it with chance 6e-5 at most.
 PICKS = 5
 TABLES = 32
+SHORT = 12
 BLOCK = 256
-#: Marks that a block's table of members by marks has at once.
-COLUMNS = 8192
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+BINS = 1024
+#: Symbols that are sketched at once.
+SYMBOLS = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,46 +55,133 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def labelled_shingles(text: str | None, known: dict, width: int = SHINGLE) -> np.ndarray:
-    """A 64-bit symbol for each shingle with its occurrence number, in text order."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    s = h[: len(h) - width + 1].copy()
+class _Words:
+    """Hashes of the words of a line of bytes: a polynomial in an odd base, from prefix sums, whatever the place."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.space = np.zeros(256, bool)
+        self.space[list(b" \t\n\v\f\r")] = True
+        self.value = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.powers = self.back = np.ones(1, np.uint64)
+
+    def of(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first place of each word; the line ends with white space."""
+        if len(line) > len(self.powers):
+            base = np.full(len(line), self.BASE, np.uint64)
+            base[0] = 1
+            self.powers = np.cumprod(base)
+            base[1:] = pow(self.BASE, -1, 1 << 64)
+            self.back = np.cumprod(base)
+        white = self.space[line]
+        before = np.r_[True, white[:-1]]
+        starts, ends = np.nonzero(~white & before)[0], np.nonzero(white & ~before)[0]
+        sums = np.r_[np.uint64(0), np.cumsum(self.value[line] * self.powers[: len(line)], dtype=np.uint64)]
+        return _mix((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+WORDS = _Words()
+
+
+def shingles_of(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
+    """A 64-bit symbol for each shingle of each text with its occurrence number, in text order."""
+    out, part, size = [], [], 0
+    for text in texts:
+        own = text.encode("utf-8", "surrogatepass") if text else b""
+        part.append(own)
+        size += len(own) + 1
+        if size > 1 << 20:
+            out += _shingles(part, width)
+            part, size = [], 0
+    return out + (_shingles(part, width) if part else [])
+
+
+def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    h, starts = WORDS.of(np.frombuffer(b"\n".join([*texts, b""]), np.uint8))
+    of = np.searchsorted(ends, starts, "right")
+    n_words = np.bincount(of, minlength=len(texts))
+    n = max(0, len(h) - width + 1)
+    s = h[:n].copy()
     for k in range(1, width):
-        s = _mix(s) + h[k : len(h) - width + 1 + k]
+        s = _mix(s) + h[k : n + k]
     s = _mix(s)
-    order = np.argsort(s, kind="stable")
-    run = s[order]
-    start = np.r_[True, run[1:] != run[:-1]]
+    inside = of[:n] == of[width - 1 :]
+    s, owner = s[inside], of[:n][inside]
+    # a text of fewer words than a shingle has one, of all its words
+    first = np.cumsum(n_words) - n_words
+    few = np.nonzero((n_words > 0) & (n_words < width))[0]
+    for k in few.tolist():
+        x = h[first[k] : first[k] + 1]
+        for m in range(first[k] + 1, first[k] + n_words[k]):
+            x = _mix(x) + h[m]
+        at = np.searchsorted(owner, k)
+        s, owner = np.insert(s, at, _mix(x)[0]), np.insert(owner, at, k)
+    key = _mix(s + _mix(owner.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")
+    run = key[order]
+    start = np.r_[True, run[1:] != run[:-1]] if len(run) else np.zeros(0, bool)
     if not start.all():
         at = np.arange(len(run))
         number = np.empty(len(run), np.uint64)
         number[order] = at - np.maximum.accumulate(np.where(start, at, 0))
         s = np.where(number > 0, _mix(s + number), s)
-    return s
+    return np.split(s, np.searchsorted(owner, np.arange(1, len(texts))))
+
+
+def labelled_shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    return shingles_of([text], width)[0]
 
 
-def sketch(s: np.ndarray, tables: int = TABLES, picks: int = PICKS) -> np.ndarray:
-    """Bucket hashes: for each table the ordered sequence of the least-hashed symbols."""
-    if not len(s):
-        return np.zeros(0, np.int64)
-    picks = min(picks, len(s))
+def sketch(texts: list[np.ndarray], tables: int = TABLES, picks: int = PICKS) -> list[np.ndarray]:
+    """Bucket hashes of each text: for each table the ordered sequence of the least-hashed symbols, then those of short texts.
+
+    The least hashes of a text are looked for among those under a level that about 16 reach; where
+    fewer than ``picks`` do, among all.
+    """
+    sizes = np.array([len(s) for s in texts], np.int64)
+    out = np.zeros((len(texts), tables), np.uint64)
     seeds = _mix(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    out = np.empty(tables, np.uint64)
+    line = np.concatenate([*texts, np.zeros(0, np.uint64)])
+    first = np.cumsum(sizes) - sizes
+    level = np.minimum(16.0 * (1 << 32) / np.maximum(sizes, 1), (1 << 32) - 1).astype(np.uint32)
+    short = (line >> np.uint64(32)).astype(np.uint32) ^ line.astype(np.uint32)
+    of, limit = np.repeat(np.arange(len(texts)), sizes), np.repeat(level, sizes)
+    want = np.minimum(picks, sizes)
     for t, seed in enumerate(seeds):
-        v = (s ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-        v ^= v >> np.uint64(32)
-        at = np.argpartition(v, picks - 1)[:picks] if picks < len(v) else np.arange(picks)
-        at.sort()
-        h = seed
-        for x in s[at].tolist():
-            h = np.uint64((int(h) * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF)
-            h ^= h >> np.uint64(29)
-        out[t] = h
-    return out.view(np.int64)
+        v = (short ^ np.uint32(seed & np.uint64(0xFFFFFFFF))) * np.uint32(0x85EBCA6B | 1)
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x2C1B3C6D)
+        at = np.nonzero(v <= limit)[0]
+        at = at[np.argsort((of[at] << 32) | v[at], kind="stable")]
+        begin = np.searchsorted(of[at], np.arange(len(texts) + 1))
+        few = np.nonzero(np.diff(begin) < want)[0]
+        h = np.full(len(texts), seed, np.uint64)
+        chosen = at[np.minimum(begin[:-1, None] + np.arange(picks), max(0, len(at) - 1))] if len(at) else np.zeros((len(texts), picks), np.int64)
+        for k in few.tolist():
+            own = np.argsort(v[first[k] : first[k] + sizes[k]], kind="stable")[: want[k]] + first[k]
+            chosen[k, : len(own)] = own
+        chosen[np.arange(picks) >= want[:, None]] = len(line)  # after all places
+        chosen.sort(axis=1)
+        symbols = np.r_[line, np.uint64(0)][chosen]
+        for k in range(picks):
+            h = np.where(k < want, _mix(h * np.uint64(0x9E3779B97F4A7C15) + symbols[:, k]), h)
+        out[:, t] = h
+    return [np.zeros(0, np.int64) if not n else (np.r_[row, without(s)] if n <= SHORT else row).view(np.int64) for s, n, row in zip(texts, sizes.tolist(), out)]
+
+
+def without(s: np.ndarray) -> np.ndarray:
+    """Hashes of a short sequence and of what is left of it without any one symbol, from 10 on also without any two."""
+    n = len(s)
+    sets = [()] + [(i,) for i in range(n)] * (n > 1) + [(i, j) for j in range(n) for i in range(j)] * (n >= 10)
+    h = np.full(len(sets), 0x5851F42D4C957F2D, np.uint64)
+    gone = np.zeros((len(sets), n), bool)
+    for row, places in enumerate(sets):
+        gone[row, list(places)] = True
+    for k in range(n):
+        h = np.where(gone[:, k], h, _mix(h * np.uint64(0x9E3779B97F4A7C15) + s[k]))
+    return np.unique(h)
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -127,7 +212,8 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESH
 
 def marks_of(s: np.ndarray) -> bytes:
     """The distinct 16-bit marks of symbols, in order."""
-    return np.unique((s >> np.uint64(17)).astype(np.uint16)).astype("<u2").tobytes()
+    x = np.sort((s >> np.uint64(17)).astype("<u2"))
+    return x[np.r_[True, x[1:] != x[:-1]]].tobytes() if len(x) else b""
 
 
 def likeness_bound(shared, twice, total):
@@ -141,15 +227,17 @@ SKETCHED = "doc_id long, digest string, n_shingles int, buckets array<long>, mar
 
 def sketches(docs: DataFrame, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
     def make(batches):
-        known = _Hashes()
         for batch in batches:
-            rows = []
-            for doc_id, digest, text in zip(batch["doc_id"], batch["digest"], batch["text"]):
-                s = labelled_shingles(text, known)
-                rows.append((doc_id, digest, len(s), sketch(s, tables, picks), marks_of(s)))
-            out = pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "buckets", "marks"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            texts = shingles_of(list(batch["text"]))
+            buckets, own, held = [], [], 0
+            for s in texts:
+                own.append(s)
+                held += len(s)
+                if held > SYMBOLS:
+                    buckets += sketch(own, tables, picks)
+                    own, held = [], 0
+            buckets += sketch(own, tables, picks) if own else []
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "n_shingles": [len(s) for s in texts], "buckets": buckets, "marks": [marks_of(s) for s in texts]})
 
     return _digested(docs).mapInPandas(make, SKETCHED)
 
@@ -202,36 +290,51 @@ def bounded(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of one bucket in different components whose bound reaches the threshold."""
-    placed = members.select("bucket", "t", "size").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("t", "bucket"), F.col("blocks")).cast("int"))
+    placed = members.select("bucket", "t", "n").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    # lengths of a pair that can link are of one class or of two adjacent ones
+    size_class = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-math.log(threshold - 1e-6))).cast("int")
+    placed = placed.withColumn("class", size_class)
+    cells = placed.withColumn("cell", F.explode(F.array("class", F.col("class") - 1)))  # a cell: a class and the one above
+    h = F.xxhash64("t", "class")
+    found = cells.groupBy("bucket", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"), F.min("t").alias("z"))
+    # buckets with the same members need one look
+    found = found.where("lo < hi").groupBy("cell", "size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "cell", "size")
+    rows = cells.join(found, ["bucket", "cell"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("t", "bucket"), F.col("blocks")).cast("int"))
     # block i meets block j once, in the task (i, j) with i <= j
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "root")
+    rows = rows.select("bucket", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "root", "class")
     rows = rows.join(texts.select("t", "n", "marks"), "t")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        t, root, n, own = (group[c].to_numpy() for c in ("t", "root", "n", "own"))
+        i, j, cell = (group[c].iloc[0] for c in ("i", "j", "cell"))
+        t, root, n, own, of = (group[c].to_numpy() for c in ("t", "root", "n", "own", "class"))
         marks = [np.frombuffer(x, "<u2") for x in group["marks"]]
         sizes = np.array([len(x) for x in marks])
-        _, column = np.unique(np.concatenate(marks), return_inverse=True)
-        member = np.repeat(np.arange(len(marks)), sizes)
+        twice = n - sizes
+        bins = np.zeros((len(marks), BINS), np.uint16)
+        for k, x in enumerate(marks):
+            bins[k] = np.minimum(np.bincount(x >> 6, minlength=BINS), 65535)
         left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-        shared = np.zeros((len(left), len(right)), np.float32)
-        for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
-            part = (column >= lo) & (column < lo + COLUMNS)
-            table = np.zeros((len(marks), COLUMNS), np.float32)
-            table[member[part], column[part] - lo] = 1
-            shared += table[left] @ table[right].T
-        twice, total = np.minimum.outer((n - sizes)[left], (n - sizes)[right]), np.add.outer(n[left], n[right])
-        good = (likeness_bound(shared, twice, total) >= threshold - 1e-9) & (root[left][:, None] != root[right])
-        x, y = np.nonzero(good)
-        a, b = t[left[x]], t[right[y]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        a, b = [], []
+        for k in left.tolist():
+            # pairs of the upper class alone belong to its own cell
+            rest = right[(root[right] != root[k]) & ((of[right] == cell) | (of[k] == cell))]
+            rest = rest[rest > k] if i == j else rest
+            least = np.minimum(n[rest], n[k])
+            rest = rest[likeness_bound(least, 0, n[rest] + n[k]) >= threshold - 1e-9]
+            if not len(rest):
+                continue
+            shared = np.minimum(bins[rest], bins[k]).sum(axis=1, dtype=np.int64)
+            rest = rest[likeness_bound(shared, np.minimum(twice[rest], twice[k]), n[rest] + n[k]) >= threshold - 1e-9]
+            for m in rest.tolist():
+                both = len(np.intersect1d(marks[k], marks[m], assume_unique=True))
+                if likeness_bound(both, min(twice[k], twice[m]), n[k] + n[m]) >= threshold - 1e-9:
+                    a.append(min(t[k], t[m]))
+                    b.append(max(t[k], t[m]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
+
+    return rows.groupBy("bucket", "cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, picks: int = PICKS) -> DataFrame:
@@ -239,7 +342,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tables: int =
     and is_first (the one that stays)."""
     rows = written(sketches(docs, tables, picks), "sketches")
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"))
-    texts = written(texts.withColumn("t", F.xxhash64("digest")), "texts")  # t: a text's number
+    texts = written(texts.withColumn("t", F.monotonically_increasing_id()), "texts")  # t: a text's number, written with it
     members = texts.select("t", "n", F.explode("buckets").alias("bucket"))
     crowd = members.groupBy("bucket").agg(F.min("t").alias("leader"), F.min_by("n", "t").alias("n_leader"), F.count("*").alias("size")).where("size > 1")
     members = written(members.join(crowd, "bucket"), "members")
@@ -249,8 +352,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tables: int =
     links = written(verify(first, docs, texts, threshold), "links")
     roots = components(links)
 
+    drop_written(links)
     across = written(across_components(members, texts, roots, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
+    drop_written(members)
+    drop_written(first)
     more = written(verify(across, docs, texts, threshold), "links")
+    drop_written(across)
     named = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left")
     named = named.select("digest", "doc_id", F.coalesce("root", "t").alias("root"))
     if not more.isEmpty():  # of these links only what they join matters: pairs of components
@@ -270,9 +377,8 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Labelled shingles of the wanted texts, once each."""
 
     def make(batches):
-        known = _Hashes()
         for batch in batches:
-            yield pd.DataFrame({"t": batch["t"], "s": [labelled_shingles(x, known).view(np.int64) for x in batch["text"]]})
+            yield pd.DataFrame({"t": batch["t"], "s": [s.view(np.int64) for s in shingles_of(list(batch["text"]))]})
 
     # of a text's copies only the rows of its least id come along
     rows = _digested(docs)

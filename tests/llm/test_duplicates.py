@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadtally.llm import line_dedup, omh
 from tests.llm.conftest import SCHEMA, prose, row
@@ -50,8 +51,7 @@ def near_corpus():
 
 
 def brute_classes(rows):
-    known = omh._Hashes()
-    s = [omh.labelled_shingles(r[1], known) for r in rows]
+    s = [omh.labelled_shingles(r[1]) for r in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -78,6 +78,76 @@ def test_classes_equal_brute_force(spark):
     assert {tuple(sorted(v)) for v in got.values()} == want
 
 
+def test_short_texts_link_whenever_four_fifths_align(spark):
+    """Texts of 1 to 30 words: every link between texts of up to 12 shingles is found, and 99 of 100 of all."""
+    rng, rows = random.Random(5), [row(9000, " ".join(f"w{i}" for i in range(9))), row(9001, " ".join(f"w{i}" for i in range(8)))]
+    for i in range(260):
+        words = [f"{rng.choice('abcdefgh')}{i}q{k}" for k in range(1 + i % 30)]
+        rows.append(row(4 * i, " ".join(words)))
+        for copy in range(1, 4):
+            other = list(words)
+            for _ in range(copy):
+                end = rng.random()
+                if end < 0.4:
+                    other.append(f"x{copy}")
+                elif end < 0.8:
+                    other = other[1:] if end < 0.6 else other[:-1]
+                elif other:
+                    other[rng.randrange(len(other))] = "changed"
+            rows.append(row(4 * i + copy, " ".join(other)))
+    out = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert out[9000] == out[9001] == 9000
+    size = {r[0]: len(omh.labelled_shingles(r[1])) for r in rows}
+    # only rows of one origin have words in common
+    links = {k: [] for k in (True, False)}
+    for at in range(2, len(rows), 4):
+        own = rows[at : at + 4]
+        for i, j in brute_classes(own)[1]:
+            a, b = own[i][0], own[j][0]
+            links[max(size[a], size[b]) <= omh.SHORT].append(out[a] == out[b])
+    assert len(links[True]) > 100 and all(links[True])
+    assert len(links[False]) > 100 and sum(links[False]) >= 0.99 * len(links[False])
+
+
+def test_shingles_are_words_with_their_numbers():
+    texts = ["a b c d e f", "", None, "a b", "x" * 3000 + " a b c d e f", " a\tb\nc d  e f ", "a b c d e a b c d e", "b a", "ab", "\u2028a b", "\x1ca b"]
+    alone = [omh.labelled_shingles(t).tolist() for t in texts]
+    assert [x.tolist() for x in omh.shingles_of(texts)] == alone and [len(x) for x in alone] == [2, 0, 0, 1, 3, 2, 6, 1, 1, 1, 1]
+    assert alone[0] == alone[5] and alone[4][1:] == alone[0] and len({*alone[6]}) == 6 and alone[6][0] == alone[0][0]
+    assert len({alone[k][0] for k in (3, 7, 8, 9, 10)}) == 5
+
+
+def test_sketches_do_not_depend_on_the_batch():
+    texts = [omh.labelled_shingles(prose(i, n)) for i, n in enumerate([0, 1, 5, 6, 9, 14, 16, 40, 200, 3000])]
+    together = omh.sketch(texts)
+    for s, got in zip(texts, together):
+        assert omh.sketch([s])[0].tolist() == got.tolist()
+    # the picks are the least-hashed symbols, in text order: a text without one symbol that is no pick keeps its bucket
+    whole, less = set(omh.sketch([texts[8]])[0].tolist()), set(omh.sketch([np.delete(texts[8], 50)])[0].tolist())
+    assert len(whole & less) >= 28
+
+
+def test_pairs_across_components_equal_all_pairs(spark):
+    """Members of one bucket in many components, of like and unlike lengths, over several blocks."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(1, 1 << 62, 900).astype(np.uint64)
+    kept = [np.sort(rng.choice(900, rng.integers(60, 140), replace=False)) for _ in range(40)]
+    kept += [np.sort(rng.choice(k, int(len(k) * rng.uniform(0.75, 0.99)), replace=False)) for k in kept for _ in range(8)]
+    texts = [(i, len(k), bytearray(omh.marks_of(pool[k]))) for i, k in enumerate(kept)]
+    frame = spark.createDataFrame(texts, "t long, n int, marks binary")
+    members = frame.select(F.lit(7).cast("long").alias("bucket"), "t", "n")
+    roots = spark.createDataFrame([(i, i % 3) for i in range(0, len(kept), 5)], "node long, root long")
+    root = {i: i % 3 for i in range(0, len(kept), 5)}
+    got = {(r.a, r.b) for r in omh.across_components(members, frame, roots, 0.8).collect()}
+    want = set()
+    for a, b in itertools.combinations(range(len(kept)), 2):
+        if root.get(a, a) != root.get(b, b):
+            m = len(np.intersect1d(kept[a], kept[b]))
+            if m / (len(kept[a]) + len(kept[b]) - m) >= 0.8:
+                want.add((a, b))
+    assert len(want) > 50 and want <= got and len(got) < 3 * len(want)
+
+
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     out = omh.near_duplicates(odd_docs).collect()
     assert len(out) == odd_docs.count()
