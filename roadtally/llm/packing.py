@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import json
 import os
 import re
 import zlib
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,79 +35,136 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 CACHE_WORDS = 900_000
 
 
+class IdTable(dict):
+    """Strings numbered as they come, with the token ids of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids, self.used, self.done = np.zeros(1 << 16, "<u4"), 0, 0
+        self.begin = self.size = np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        return n
+
+    def numbers(self, texts) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), np.int64)
+
+    def new(self) -> list[str]:
+        """The strings without ids, in order of their numbers."""
+        return list(itertools.islice(reversed(self), len(self) - self.done))[::-1]
+
+    def learn(self, order: np.ndarray, line: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of all new strings, one after another; order: which of the new strings each is."""
+        if self.used + len(line) > len(self.ids):
+            self.ids = np.r_[self.ids[: self.used], np.zeros(self.used + len(line), "<u4")]
+        if len(self) > len(self.begin):
+            self.begin, self.size = (np.r_[x[: self.done], np.zeros(2 * len(self) - self.done, np.int64)] for x in (self.begin, self.size))
+        if self.begin is self.size:
+            self.size = self.size.copy()
+        self.ids[self.used : self.used + len(line)] = line
+        self.begin[self.done + order] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.done + order] = sizes
+        self.used += len(line)
+        self.done = len(self)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered strings, one after another, and how many each has."""
+        sizes = self.size[numbers]
+        place = np.repeat(self.begin[numbers] - np.cumsum(sizes) + sizes, sizes)
+        place += np.arange(len(place))
+        return self.ids[place], sizes
+
+
 class WordEncoder:
     """Token ids of texts, word by word.
 
     The vocabulary's splitter never joins characters across white space, nor a run of letters with
     a mark after it, so a text's ids are those of its parts one after another, and each distinct
-    part is encoded once. New words of letters are encoded as one line: each is a single run, and
-    the last id of a run is one that ends a word.
+    part is encoded once. A part of letters, with or without a mark, takes the ids of its stem; others are cut by
+    the vocabulary's own pattern into pieces. New stems and pieces of characters up to U+017F need neither the vocabulary's
+    normaliser nor its splitter any more and are encoded in lines: the last id of each is one that ends a word.
     """
 
     MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.splitter = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = dict(zip(self.MARKS, self._ids(list(self.MARKS))))
-        self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words that consist of letters."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.nonzero(self.ends[ids])[0] + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                line, at_byte = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                out += [line[x:y] for x, y in zip(at_byte, at_byte[1:])]
-            else:  # a letter whose small form is no single letter
-                out += self._ids(part)
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        stems, rest = [], []
-        for part in new:
-            mark = part[-1] if part[-1] in self.MARKS else ""
-            stem = part[:-1] if mark else part
-            if stem.isalpha():
-                stems.append((part, stem.lower() if stem.isascii() else stem, mark))
-            else:
-                rest.append(part)
-        words = list({stem for _, stem, _ in stems} - self.plain.keys())
-        self.plain.update(zip(words, self._letters(words)))
-        plain, marks = self.plain, self.marks
-        self.known.update((part, plain[stem] + marks[mark] if mark else plain[stem]) for part, stem, mark in stems)
-        self.known.update(zip(rest, self._ids(rest)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        self.mark = {m: k for k, m in enumerate(self.MARKS, 1)}
+        self.mark_ids = np.array([0, *(e.ids[0] for e in self.tokenizer.encode_batch(list(self.MARKS), add_special_tokens=False))], "<u4")
+        self.parts, self.stems = IdTable(), IdTable()
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn_stems(self) -> None:
+        new = self.stems.new()
+        narrow = np.array([s.isascii() or not _WIDE.search(s) for s in new], bool)
+        lines, sizes = [], []
+        own = list(itertools.compress(new, narrow.tolist()))
+        for at in range(0, len(own), 2000):
+            ids = np.array(self.plain.encode_batch_fast([" ".join(own[at : at + 2000])], add_special_tokens=False)[0].ids, "<u4")
+            lines.append(ids)
+            sizes.append(np.diff(np.nonzero(self.ends[ids])[0], prepend=-1))
+        ids, n = self._each(list(itertools.compress(new, (~narrow).tolist())))
+        self.stems.learn(np.r_[np.nonzero(narrow)[0], np.nonzero(~narrow)[0]], np.concatenate([*lines, ids]), np.concatenate([*sizes, n]))
+
+    def _learn(self) -> None:
+        new = self.parts.new()
+        if not new:
+            return
+        marks = [self.mark.get(p[-1], 0) for p in new]
+        stems = [p[:-1] if m else p for p, m in zip(new, marks)]
+        good = [s.isalpha() and _DOTTED not in s for s in stems]
+        numbers = self.stems.numbers([s.lower() if s.isascii() or not _WIDE.search(s) else s for s in itertools.compress(stems, good)])
+        self._learn_stems()
+        ids, sizes = self.stems.of(numbers)
+        good = np.array(good, bool)
+        mark = np.array(marks, np.int64)[good]
+        sizes = sizes + (mark > 0)
+        line, own = np.zeros(int(sizes.sum()), "<u4"), np.ones(int(sizes.sum()), bool)
+        last = np.cumsum(sizes)[mark > 0] - 1
+        own[last] = False
+        line[last], line[own] = self.mark_ids[mark[mark > 0]], ids
+        # other parts of letters up to U+017F are their pieces, unless a special token may be in them
+        runs = np.array([not g and "<|" not in p and not _WIDE.search(p) for g, p in zip(good.tolist(), new)], bool)
+        pieces = [self.splitter.findall(p.lower()) for p in itertools.compress(new, runs.tolist())]
+        numbers = self.stems.numbers(itertools.chain.from_iterable(pieces))
+        self._learn_stems()
+        ids, n = self.stems.of(numbers)
+        n = np.diff(np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum([len(x) for x in pieces], dtype=np.int64)]])
+        whole = ~good & ~runs
+        other, m = self._each(list(itertools.compress(new, whole.tolist())))
+        self.parts.learn(np.concatenate([np.nonzero(x)[0] for x in (good, runs, whole)]), np.r_[line, ids, other], np.r_[sizes, n, m])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts, one after another, and how many each has."""
         # str.split() also parts at U+001C..U+001F, which the vocabulary takes for characters
-        split = [[t] if _ODD.search(t) else (t if _WIDE.search(t) else t.lower()).split() for t in texts]
-        distinct = set().union(*split)
-        if not distinct <= self.known.keys():
-            new = distinct - self.known.keys()
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, new = {}, distinct
-                self.plain = self.plain if len(self.plain) < CACHE_WORDS // 2 else {}
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        split = [[t] if _ODD.search(t) else (t.lower() if t.isascii() or not _WIDE.search(t) else t).split() for t in texts]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = IdTable()
+            self.stems = self.stems if len(self.stems) < CACHE_WORDS // 2 else IdTable()
+        numbers = self.parts.numbers(itertools.chain.from_iterable(split))
+        self._learn()
+        ids, sizes = self.parts.of(numbers)
+        return ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum([len(x) for x in split])]])
 
 
 _ODD = re.compile("[\x1c-\x1f]")
 #: Beyond these letters (and U+0130) the vocabulary's own rules of small letters are left to it.
 _WIDE = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: Its small form ends with a mark that joins what follows.
+_DOTTED = "\u0130"
 
 
 @functools.cache
@@ -122,14 +182,17 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                rows = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]])):
-                    ids += closing
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
+                ids, sizes = encoder.encode([t or "" for t in part["text"]])
+                line, ends = memoryview(ids.tobytes()), 4 * np.cumsum(sizes)
+                of, rows = [], []
+                for k, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
+                    own = line[end - 4 * n : end]
+                    for piece, start in enumerate(range(0, n + 1, capacity)):  # the closing id is number n
+                        crc = zlib.crc32(own[4 * start : 4 * (start + capacity)])
+                        rows.append((piece, start, min(capacity, n + 1 - start), zlib.crc32(closing, crc) if n < start + capacity else crc))
+                        of.append(k)
+                out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
+                out.insert(0, "doc_id", part["doc_id"].astype("Int64").take(of).array)
                 yield out
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
@@ -205,128 +268,153 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill up room from counts (already without the largest piece), least waste first.
+class Budget:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def _spread(bits: int, slack: int) -> int:
+    """The sums of a set of sums, each raised by 0 to slack."""
+    width = 1
+    while width <= slack:
+        more = min(width, slack + 1 - width)
+        bits |= bits << more
+        width += more
+    return bits
 
-    A single piece dominates every set that would fit in its place, so only the largest single
-    piece counts, and a pair or triple only if it leaves less room than that. What room is left is
-    filled on by best fit.
+
+def dominated(filling: list[int], slack: int, unused: int) -> bool:
+    """Whether a piece that is not in the filling could take the place of none, one smaller or several of its pieces.
+
+    unused: bit x is set if a piece of length x is left outside.
     """
-    have = np.nonzero(counts[: room + 1])[0]
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    single = int(have[-1])
-    if single == room:
-        return [(single,)]
-    below = np.zeros(room + 1, np.int64)
-    below[have] = have
-    below = np.maximum.accumulate(below)
-
-    def pair(space: int, used: int = 0) -> tuple[int, int] | None:
-        first = have[have <= space]
-        first = first[counts[first] > (first == used)]
-        if not len(first):
-            return None
-        second = below[space - first]
-        short = (second == first) & (counts[first] - (first == used) < 2) | (second == used) & (counts[np.maximum(second, 0)] < 2 + (first == used) * (second == used))
-        second = np.where(short, np.where(second > 0, below[np.maximum(second - 1, 0)], 0), second)
-        at = int(np.argmax(first + second))
-        return (int(first[at]), int(second[at])) if second[at] else None
-
-    found = {(single,)}
-    if two := pair(room):
-        found.add(two)
-    for first in have[::-1][: 4 * width : 4]:
-        if two := pair(room - int(first), int(first)):
-            found.add((int(first), *two))
-    out = {}
-    for filling in found:
-        need = Counter(filling)
-        if sum(filling) > room or any(counts[x] < n for x, n in need.items()):
-            continue
-        left, filled = room - sum(filling), list(filling)
-        while left >= have[0]:
-            x = int(below[left])
-            while x and counts[x] <= need[x]:
-                x = int(below[x - 1]) if x > 1 else 0
-            if not x:
-                break
-            n = int(min(left // x, counts[x] - need[x]))
-            need[x] += n
-            filled += [x] * n
-            left -= n * x
-        out[tuple(sorted(filled, reverse=True))] = left
-    return sorted(out, key=lambda f: (out[f], tuple(-x for x in f)))[:width]
+    single, several = 0, 0
+    for x in filling:
+        several |= (single | several) << x
+        single |= 1 << x
+    if unused & _spread(several | 1, slack) & ~1:
+        return True
+    return bool(slack and unused & (_spread(single, slack - 1) << 1))
 
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 4) -> Packing:
-    """Branch and bound over the fillings of the largest piece left.
+def fillings(counts: np.ndarray, room: int, sums: int, budget: Budget):
+    """All undominated ways to fill up room from counts (already without the largest piece), least waste first, one at a time.
 
-    A node takes the largest length left with one of its fillings, as often as the histogram
-    allows. A branch ends when its waste so far, or its sequences plus the bound of the rest,
-    can't beat the incumbent, which starts as best fit. After ``nodes`` nodes the incumbent stands:
-    it is always a whole packing.
+    A filling is dominated if one that wastes no more leaves pieces that fit in the place of its own. sums: bit s is set
+    if any number of pieces of the lengths there are can add up to s; other sums are not tried.
+    """
+    lengths = np.nonzero(counts[: room + 1])[0]
+    lengths = lengths[lengths > 0]
+    unused = sum(1 << x for x in lengths.tolist())
+    left = {x: int(counts[x]) for x in lengths.tolist()}
+    descending = lengths[::-1].tolist()
+    for waste in range(room + 1):
+        if not sums >> (room - waste) & 1:
+            continue
+        # pieces in falling order; at[k]: where to look on for piece k
+        chosen, at, rest = [], [0], room - waste
+        while at:
+            budget.left -= 1
+            if budget.left < 0:
+                return
+            if not rest:
+                if not dominated(chosen, waste, unused):
+                    yield tuple(chosen)
+                k = len(descending)
+            else:
+                k = at[-1]
+                while k < len(descending) and (descending[k] > rest or not left[descending[k]] or not sums >> (rest - descending[k]) & 1):
+                    k += 1
+            if k < len(descending):
+                x = descending[k]
+                at[-1] = k + 1
+                at.append(k)
+                chosen.append(x)
+                rest -= x
+                left[x] -= 1
+                if not left[x]:
+                    unused &= ~(1 << x)
+            else:
+                at.pop()
+                if chosen:
+                    x = chosen.pop()
+                    rest += x
+                    left[x] += 1
+                    unused |= 1 << x
+
+
+def reachable(lengths: list[int], capacity: int) -> int:
+    """Bit s is set if pieces of these lengths, each as often as one likes, can add up to s."""
+    full, bits = (1 << (capacity + 1)) - 1, 1
+    for x in lengths:
+        step = x
+        while step <= capacity:
+            bits |= bits << step & full
+            step *= 2
+    return bits
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, steps: int = 400_000) -> Packing:
+    """Branch and bound over the undominated fillings of the largest piece left.
+
+    A node takes the largest length left with one of its fillings, as often as the histogram allows and
+    then fewer times. A branch ends when its waste so far, or its sequences plus the bound of the rest,
+    can't beat the incumbent, which starts as best fit. The search ends when it is through, when the incumbent meets
+    the lower bound, or after ``nodes`` nodes or ``steps`` steps of enumeration; the incumbent is always a whole packing.
     """
     best = best_fit(counts, capacity)
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    total = int((np.arange(capacity + 1) * left).sum())
+    volume = total = int((np.arange(capacity + 1) * left).sum())
     bound = lower_bound(left, capacity)
-    stack: list[dict] = []  # open nodes: the filling taken, how often, and those not yet tried
-    bins = waste = seen = 0
-    volume = total
-
-    def undo() -> bool:
+    if best.bins <= bound:
+        return best
+    sums = reachable([x for x, n in counts.items() if n], capacity)
+    stack: list[dict] = []  # open nodes: largest length, the filling taken, how often, and those not yet tried
+    bins = waste = 0
+    budget = Budget(steps)
+
+    def change(items: tuple[int, ...], m: int) -> None:
         nonlocal bins, waste, volume
+        for x in items:
+            left[x] -= m
+        bins, waste, volume = bins + m, waste + m * (capacity - sum(items)), volume - m * sum(items)
+
+    def advance() -> bool:
+        """The next choice of the last open node that has one."""
         while stack:
             node = stack[-1]
-            if node["taken"]:
-                items, m = node["taken"]
-                for x in items:
-                    left[x] += m
-                bins, waste, volume = bins - m, waste - m * (capacity - sum(items)), volume + m * sum(items)
-                node["taken"] = None
-            if node["rest"]:
+            if node["m"]:
+                change(node["items"], -1)  # one time fewer
+                node["m"] -= 1
+                if node["m"]:
+                    return True
+            left[node["largest"]] -= 1
+            filling = next(node["ways"], None)
+            left[node["largest"]] += 1
+            if filling is not None:
+                node["items"] = items = (node["largest"], *filling)
+                node["m"] = int(min(left[x] // n for x, n in Counter(items).items()))
+                change(items, node["m"])
                 return True
             stack.pop()
         return False
 
-    def take() -> None:
-        nonlocal bins, waste, volume
-        node = stack[-1]
-        items = (node["largest"], *node["rest"].pop(0))
-        m = int(min(left[x] // n for x, n in Counter(items).items()))
-        for x in items:
-            left[x] -= m
-        bins, waste, volume = bins + m, waste + m * (capacity - sum(items)), volume - m * sum(items)
-        node["taken"] = (items, m)
-
-    top = capacity
-    while best.bins > bound and seen < nodes:
-        seen += 1
-        if volume == 0:
-            if bins < best.bins:
-                best = Packing([n["taken"] for n in stack])
-            if not undo():
-                break
-            take()
-            top = capacity
-            continue
-        if waste > (best.bins - 1) * capacity - total or bins - (-volume // capacity) >= best.bins:
-            if not undo():
+    for _ in range(nodes):
+        if volume == 0 and bins < best.bins:
+            best = Packing([(n["items"], n["m"]) for n in stack])
+            if bins <= bound:
                 break
-            take()
-            top = capacity
-            continue
-        while not left[top]:
-            top -= 1
-        left[top] -= 1
-        ways = fillings(left, capacity - top, width)
-        left[top] += 1
-        stack.append({"largest": top, "rest": ways, "taken": None})
-        take()
+        if volume and waste <= (best.bins - 1) * capacity - total and bins - (-volume // capacity) < best.bins:
+            largest = int(np.nonzero(left)[0][-1])
+            own = left.copy()
+            own[largest] -= 1
+            stack.append({"largest": largest, "ways": fillings(own, capacity - largest, sums, budget), "items": (), "m": 0})
+        if not advance() or budget.left < 0:
+            break
     return best
 
 

@@ -43,6 +43,41 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert used == counts
 
 
+def test_a_packing_that_needs_mixed_fillings():
+    lengths = [56, 45, 40, 33, 31, 29, 27, 26, 26, 26, 25, 22]
+    assert packing.complete_bins({x: lengths.count(x) for x in lengths}, 100).bins == 4
+
+
+def test_a_thousand_small_cases_are_optimal():
+    rng = random.Random(77)
+    for _ in range(1000):
+        n, top = rng.randint(4, 10), rng.choice((8, 14, 25))
+        lengths = sorted((rng.randint(1, top) for _ in range(n)), reverse=True)
+        assert packing.complete_bins({x: lengths.count(x) for x in lengths}, 25).bins == fewest(lengths, 25), lengths
+
+
+def test_fillings_are_the_undominated_sets():
+    rng = random.Random(4)
+    for _ in range(60):
+        pieces = [rng.randint(1, 12) for _ in range(rng.randint(1, 7))]
+        room = rng.randint(1, 20)
+        counts = np.bincount(pieces, minlength=room + 1)
+        got = list(packing.fillings(counts, room, packing.reachable(sorted(set(pieces)), room), packing.Budget(100_000)))
+        waste = [room - sum(f) for f in got]
+        assert waste == sorted(waste) and len(set(got)) == len(got)
+        sets = {tuple(sorted(c, reverse=True)) for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k) if sum(c) <= room}
+
+        def beaten(own):
+            """Some set keeps a part of own and puts one other piece in the place of the rest, which is smaller or several."""
+            outside = list(pieces)
+            for x in own:
+                outside.remove(x)
+            parts = {c for k in range(len(own) + 1) for c in itertools.combinations(own, k)}
+            return any(sum(c) <= x <= sum(c) + room - sum(own) and (len(c) != 1 or c[0] < x) for c in parts for x in outside)
+
+        assert set(got) == {s for s in sets if not beaten(s)}
+
+
 def test_large_histograms_reach_the_bound():
     rng = random.Random(5)
     counts = {rng.randint(1, 4096): rng.randint(1, 5000) for _ in range(800)}
@@ -57,8 +92,19 @@ def test_large_histograms_reach_the_bound():
 def test_encoder_equals_tokenizer():
     encoder = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
     texts = ["", " ", "İstanbul a’b it's don't x.y. A.B, “quoted” ２３ 12a", "a\x1cb c", "é fóo.", "ΣΑΣ ΟΔΟΣ. ΟΔΟΣ", "word! wo'll 'Tis we've.", "ﬁ ǅ. ß ㍿", "漢字 かな", "a\u0085b\u2003c"] * 2
-    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.encode(texts) == want
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # new, and known
+        ids, sizes = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_encoder_equals_tokenizer_on_any_text():
+    encoder, rng = packing.WordEncoder(tokenizer_path("word_bpe_49k.json")), random.Random(8)
+    letters = "abcdefgABCXYZ ,.!?'0129-\n\t" + "éüßñÅŁſĲœ" + "ΣİǅΩжДß漢\u0301\u0130\u2028\x1c"
+    for _ in range(30):
+        texts = ["".join(rng.choice(letters[: rng.choice((20, 35, 60))]) for _ in range(rng.randrange(60))) for _ in range(40)]
+        ids, sizes = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def check_places(rows):
