@@ -14,10 +14,11 @@ leaves: with M aligned of n and m, the similarity is M / (n + m - M), and a pair
 Copies of one text are folded into one representative first, numbered as they are written. Inside a bucket
 every member is compared with one leader (linear in the bucket). Where members of a bucket are then in
 different components, pairs across them are looked at among members of like length (each length class with
-itself and with the next), in blocks of ``BLOCK`` members, so no task holds a whole bucket; buckets with the
-same members are looked at once. Members of one component are not compared. Only pairs whose bound
-reaches the threshold are emitted and aligned: texts share no more symbols than the lesser counts of their marks in each of
-``BINS`` ranges add up to, and no more than the distinct 16-bit marks they share plus the lesser number of
+itself and with the next), in blocks of at most about ``BLOCK`` members, so no task holds a whole bucket; only members outside
+the bucket's largest component go to all of its blocks, and members of one component are not compared. Buckets with the
+same members are looked at once. Only pairs whose bound
+reaches the threshold are emitted and aligned: texts share no more symbols than the distinct 16-bit marks they share (and
+so than the lesser counts of their marks in each of some ranges add up to) plus the lesser number of
 symbols that a mark stands for twice; nothing that could link is lost.
 
 Defined results: a null text counts as an empty one; texts of fewer words than a shingle have one
@@ -43,8 +44,8 @@ THRESHOLD = 0.8
 PICKS = 5
 TABLES = 32
 SHORT = 12
-BLOCK = 256
-BINS = 1024
+#: Members of a block, fewer of texts of over a thousand symbols.
+BLOCK = 2048
 #: Symbols that are sketched at once.
 SYMBOLS = 1 << 16
 
@@ -288,7 +289,7 @@ def bounded(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(possible.asNondeterministic()("ca", "cb", "na", "nb")).select("a", "b")
 
 
-def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of one bucket in different components whose bound reaches the threshold."""
     placed = members.select("bucket", "t", "n").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     # lengths of a pair that can link are of one class or of two adjacent ones
@@ -296,36 +297,37 @@ def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, th
     placed = placed.withColumn("class", size_class)
     cells = placed.withColumn("cell", F.explode(F.array("class", F.col("class") - 1)))  # a cell: a class and the one above
     h = F.xxhash64("t", "class")
-    found = cells.groupBy("bucket", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"), F.min("t").alias("z"))
+    found = cells.groupBy("bucket", "cell", "root").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"), F.min("t").alias("z"))
+    found = found.groupBy("bucket", "cell").agg(F.sum("n").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.min("z").alias("z"))
     # buckets with the same members need one look
-    found = found.where("lo < hi").groupBy("cell", "size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "cell", "size")
-    rows = cells.join(found, ["bucket", "cell"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("t", "bucket"), F.col("blocks")).cast("int"))
-    # block i meets block j once, in the task (i, j) with i <= j
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "root", "class")
+    found = found.where("roots > 1").groupBy("cell", "size", "x", "y", "z", "main").agg(F.min("bucket").alias("bucket"))
+    per_block = F.greatest(F.lit(block / 32), F.least(F.lit(block), F.lit(1024.0 * block) * F.pow(F.lit(threshold), "cell")))
+    found = found.select("bucket", "cell", "main", F.ceil(F.col("size") / per_block).cast("int").alias("blocks"))
+    rows = cells.join(found, ["bucket", "cell"]).withColumn("own", F.pmod(F.xxhash64("t", "bucket"), F.col("blocks")).cast("int"))
+    # a pair across components has a member outside the largest one, and only such members go to all blocks
+    rows = rows.withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = rows.select("bucket", "cell", "block", (F.col("own") == F.col("block")).alias("here"), (F.col("root") != F.col("main")).alias("outside"), "t", "root", "class")
     rows = rows.join(texts.select("t", "n", "marks"), "t")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, cell = (group[c].iloc[0] for c in ("i", "j", "cell"))
-        t, root, n, own, of = (group[c].to_numpy() for c in ("t", "root", "n", "own", "class"))
+        cell = group["cell"].iloc[0]
+        t, root, n, here, outside, of = (group[c].to_numpy() for c in ("t", "root", "n", "here", "outside", "class"))
         marks = [np.frombuffer(x, "<u2") for x in group["marks"]]
-        sizes = np.array([len(x) for x in marks])
-        twice = n - sizes
-        bins = np.zeros((len(marks), BINS), np.uint16)
+        twice = n - np.array([len(x) for x in marks])
+        shift = int(np.clip(17 - int(n.max(initial=1)).bit_length(), 4, 9))  # ranges of marks: about half as many as symbols
+        bins = np.zeros((len(marks), 1 << (16 - shift)), np.uint16)
         for k, x in enumerate(marks):
-            bins[k] = np.minimum(np.bincount(x >> 6, minlength=BINS), 65535)
-        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+            bins[k] = np.bincount(x >> shift, minlength=bins.shape[1])
+        local = np.nonzero(here)[0]
         a, b = [], []
-        for k in left.tolist():
-            # pairs of the upper class alone belong to its own cell
-            rest = right[(root[right] != root[k]) & ((of[right] == cell) | (of[k] == cell))]
-            rest = rest[rest > k] if i == j else rest
-            least = np.minimum(n[rest], n[k])
-            rest = rest[likeness_bound(least, 0, n[rest] + n[k]) >= threshold - 1e-9]
+        for k in np.nonzero(outside)[0].tolist():
+            # pairs of the upper class alone belong to its own cell; of two outside members the lesser comes to the other's block
+            rest = local[(root[local] != root[k]) & ((of[local] == cell) | (of[k] == cell)) & (~outside[local] | (t[local] > t[k]))]
+            rest = rest[likeness_bound(np.minimum(n[rest], n[k]), 0, n[rest] + n[k]) >= threshold - 1e-9]
             if not len(rest):
                 continue
-            shared = np.minimum(bins[rest], bins[k]).sum(axis=1, dtype=np.int64)
+            shared = np.minimum(bins[rest], bins[k]).sum(axis=1, dtype=np.uint16).astype(np.int64)  # at most 65536 marks
+            shared[(shared == 0) & (len(marks[k]) == 65536)] = 65536
             rest = rest[likeness_bound(shared, np.minimum(twice[rest], twice[k]), n[rest] + n[k]) >= threshold - 1e-9]
             for m in rest.tolist():
                 both = len(np.intersect1d(marks[k], marks[m], assume_unique=True))
@@ -334,7 +336,7 @@ def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, th
                     b.append(max(t[k], t[m]))
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
 
-    return rows.groupBy("bucket", "cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("bucket", "cell", "block").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, picks: int = PICKS) -> DataFrame:

@@ -127,7 +127,8 @@ def test_sketches_do_not_depend_on_the_batch():
     assert len(whole & less) >= 28
 
 
-def test_pairs_across_components_equal_all_pairs(spark):
+@pytest.mark.parametrize("block", [16, 2048])
+def test_pairs_across_components_equal_all_pairs(spark, block):
     """Members of one bucket in many components, of like and unlike lengths, over several blocks."""
     rng = np.random.default_rng(3)
     pool = rng.integers(1, 1 << 62, 900).astype(np.uint64)
@@ -138,7 +139,7 @@ def test_pairs_across_components_equal_all_pairs(spark):
     members = frame.select(F.lit(7).cast("long").alias("bucket"), "t", "n")
     roots = spark.createDataFrame([(i, i % 3) for i in range(0, len(kept), 5)], "node long, root long")
     root = {i: i % 3 for i in range(0, len(kept), 5)}
-    got = {(r.a, r.b) for r in omh.across_components(members, frame, roots, 0.8).collect()}
+    got = {(r.a, r.b) for r in omh.across_components(members, frame, roots, 0.8, block).collect()}
     want = set()
     for a, b in itertools.combinations(range(len(kept)), 2):
         if root.get(a, a) != root.get(b, b):
