@@ -7,8 +7,8 @@ word, an attention weight and a logit; a window's own score pools its words, a d
 all words of all its windows, as in training.
 
 The network is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` of each label, those
-with the least hash of their id, and at most ``SAMPLE_WINDOWS`` windows of each, evenly spread. Both
-bounds are parameters; scoring has none.
+with the least hash of their id, as far as all of a label's have at most ``SAMPLE_WINDOWS`` windows together. A row
+of the sample is used whole. Both bounds are parameters; scoring has none.
 
 Defined results: a null or empty text has one empty window and gets the score of no evidence; ids
 with several label rows take the largest label; without both labels every score is the smoothed
@@ -22,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtally.llm.discriminant import label_table
@@ -30,7 +30,7 @@ from roadtally.llm.discriminant import label_table
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 8, 4096
 VOCABULARY = 30_000
-SAMPLE, SAMPLE_WINDOWS = 1200, 40
+SAMPLE, SAMPLE_WINDOWS = 1200, 50_000
 EPOCHS, BATCH_DOCS, RATE = 4, 32, 0.01
 #: A small sample is gone through more often, up to so many batches.
 LEAST_BATCHES = 120
@@ -298,20 +298,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, in_training: Column, col
     ids = [r for y in (0, 1) for r in labelled.where(F.col("label") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     if len(counts) < 2:
         return [], np.zeros(0), share
-    chosen = spark.createDataFrame([(r["doc_id"], r["label"]) for r in ids], "doc_id long, label int")  # 2 * sample rows
+    chosen = spark.createDataFrame([(r["doc_id"], r["label"], k) for k, r in enumerate(ids)], "doc_id long, label int, place int")  # 2 * sample rows
 
     def cut(batches):
         for batch in batches:
             rows = []
             for label, text in zip(batch["label"], batch["text"]):
                 words = split_words(text)
-                starts = list(window_starts(len(words)))
-                picked = starts if len(starts) <= windows else [starts[i * len(starts) // windows] for i in range(windows)]
-                rows.append((label, [words[s : s + WINDOW] for s in picked]))
+                rows.append((label, [words[s : s + WINDOW] for s in window_starts(len(words))]))
             yield pd.DataFrame(rows, columns=["label", "windows"])
 
     texts = docs.where(in_training).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.first("place").alias("place"), F.min("text").alias("text"))
+    n_windows = F.ceil(F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")) - (WINDOW - STRIDE)) / STRIDE)
+    upto = Window.partitionBy("label").orderBy("place")  # sample rows of a label at most
+    texts = texts.withColumn("upto", F.sum(F.coalesce(n_windows, F.lit(1))).over(upto)).where(F.col("upto") <= windows)
     got = texts.orderBy("doc_id").select("label", "text").mapInPandas(cut, SAMPLED).collect()
     return [r["windows"] for r in got], np.array([r["label"] for r in got]), share
 

@@ -97,6 +97,58 @@ def test_scorer_does_not_depend_on_the_batch():
     assert whole == pytest.approx([toxicity.Scorer(net).score([t])[0][0] for t in texts], abs=1e-5)
 
 
+def test_scores_equal_a_plain_forward_pass():
+    """One text at a time, one window at a time, one word at a time."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(["the0", "fox1", "lazy7"], np.array([0.4, -0.3, 0.9], np.float32))
+    for k in ("att", "out", "bias", "cf", "cb"):
+        net.p[k] = rng.normal(0, 0.5, net.p[k].shape).astype(np.float32)
+    net.shift = 0.3
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+
+    def vector(word):
+        plain = toxicity.normal(word)
+        return np.r_[p["word"][net.index.get(plain, 0)], p["char"][toxicity.trigrams([plain])[0]].mean(axis=0)]
+
+    def states(words, d):
+        state, out = np.zeros(h), []
+        for w in words if d == "f" else words[::-1]:
+            x, own = vector(w) @ p[f"x{d}"] + p[f"c{d}"], state @ p[f"u{d}"]
+            z, r = logistic(x[:h] + own[:h]), logistic(x[h : 2 * h] + own[h : 2 * h])
+            state = (1 - z) * np.tanh(x[2 * h :] + r * own[2 * h :]) + z * state
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    texts = [prose(i, 3 + 29 * i) + " The0 fox1, lazy7!" for i in range(5)]
+    got, top, many = toxicity.Scorer(net).score(texts)
+    for text, score, peak, n in zip(texts, got, top, many):
+        words, a, u, windows = text.split(), [], [], []
+        for start in toxicity.window_starts(len(words)):
+            own = words[start : start + toxicity.WINDOW]
+            hidden = [np.r_[x, y] for x, y in zip(states(own, "f"), states(own, "b"))]
+            wa, wu = np.array([x @ p["att"] for x in hidden]), np.array([x @ p["out"] for x in hidden])
+            windows.append((np.exp(wa) * wu).sum() / np.exp(wa).sum())
+            a.extend(wa)
+            u.extend(wu)
+        bias = p["bias"][0] + 0.3
+        assert n == len(windows)
+        assert score == pytest.approx(logistic((np.exp(a) * u).sum() / np.exp(a).sum() + bias), abs=1e-4)
+        assert peak == pytest.approx(logistic(max(windows) + bias), abs=1e-4)
+
+
+def test_sampled_rows_are_whole_and_bounded(spark):
+    docs = spark.createDataFrame([row(i, prose(i, 40 + 25 * i)) for i in range(30)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    n = {tuple(prose(i, 40 + 25 * i).split()[:24]): len(toxicity.window_starts(40 + 25 * i)) for i in range(30)}
+    for bound in (60, 100_000):
+        got, y, _ = toxicity.training_sample(docs, labels, F.lit(True), "toxic", 20, bound)
+        assert all(len(w) == n[tuple(w[0])] for w in got)
+        assert all(sum(len(w) for w, k in zip(got, y) if k == label) <= bound for label in (0, 1)) and len(set(y)) == 2
+    assert len(got) == 30
+
+
 def test_toxicity_on_odd_rows(odd_docs, no_docs, some_labels):
     out = toxicity.score_toxicity(odd_docs, some_labels, fold(5) != 0, epochs=1).collect()
     assert len(out) == odd_docs.count() and all(0 <= r.score <= 1 for r in out)
