@@ -12,8 +12,8 @@ leaves: with M aligned of n and m, the similarity is M / (n + m - M), and a pair
 ``threshold`` or more. Classes are the connected components of the links, exact copies included.
 
 Copies of one text are folded into one representative first, numbered as they are written. Inside a bucket
-every member is compared with one leader (linear in the bucket). Where members of a bucket are then in
-different components, pairs across them are looked at among members of like length (each length class with
+every member is compared with one leader, and those outside its largest component then with one of that component's
+members (linear in the bucket). Where members of a bucket are still in different components, pairs across them are looked at among members of like length (each length class with
 itself and with the next), in blocks of at most about ``BLOCK`` members, so no task holds a whole bucket; only members outside
 the bucket's largest component go to all of its blocks, and members of one component are not compared. Buckets with the
 same members are looked at once. Only pairs whose bound
@@ -289,6 +289,30 @@ def bounded(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(possible.asNondeterministic()("ca", "cb", "na", "nb")).select("a", "b")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links; of these only what they join matters: pairs of components."""
+    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    pairs = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    pairs = written(pairs.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct(), "merges")
+    if pairs.isEmpty():
+        return roots
+    last = components(pairs)
+    alone = last.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")  # single texts
+    both = roots.select("node", "root").union(alone)
+    out = both.join(last.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left")
+    return written(out.select("node", F.coalesce("last", "root").alias("root")), "components")
+
+
+def pivot_pairs(members: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a member outside its bucket's largest component and one of that component, chosen by a hash of text and bucket."""
+    placed = members.select("bucket", "t", "n").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    own = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.min_by(F.struct("t", "n"), F.xxhash64("t", "bucket")).alias("pivot"))
+    own = own.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by(F.struct("root", "pivot"), F.struct("size", "root")).alias("main")).where("roots > 1")
+    both = placed.join(own.select("bucket", F.col("main.root").alias("main"), "main.pivot"), "bucket").where("root <> main")
+    ratio = F.least("n", "pivot.n") >= threshold * F.greatest("n", "pivot.n") - 1e-9
+    return both.where(ratio).select(F.least("t", "pivot.t").alias("a"), F.greatest("t", "pivot.t").alias("b")).distinct()
+
+
 def across_components(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of one bucket in different components whose bound reaches the threshold."""
     placed = members.select("bucket", "t", "n").join(roots.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
@@ -351,23 +375,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tables: int =
     ratio = F.least("n", "n_leader") >= threshold * F.greatest("n", "n_leader") - 1e-9
     first = members.where((F.col("leader") != F.col("t")) & ratio).select(F.col("leader").alias("a"), F.col("t").alias("b")).distinct()
     first = written(bounded(first, texts, threshold), "pairs")
-    links = written(verify(first, docs, texts, threshold), "links")
+    links = verify(first, docs, texts, threshold)
     roots = components(links)
-
     drop_written(links)
-    across = written(across_components(members, texts, roots, threshold).join(first, ["a", "b"], "left_anti"), "pairs")
-    drop_written(members)
-    drop_written(first)
-    more = written(verify(across, docs, texts, threshold), "links")
+    # what is outside a bucket's largest component meets a member of it, another one in each bucket
+    second = pivot_pairs(members, roots, threshold).join(first, ["a", "b"], "left_anti")
+    second = written(bounded(second, texts, threshold), "pairs")
+    roots = merged(roots, verify(second, docs, texts, threshold))
+    across = written(across_components(members, texts, roots, threshold).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
+    for table in (members, first, second):
+        drop_written(table)
+    roots = merged(roots, verify(across, docs, texts, threshold))
     drop_written(across)
     named = texts.join(roots.select(F.col("node").alias("t"), "root"), "t", "left")
     named = named.select("digest", "doc_id", F.coalesce("root", "t").alias("root"))
-    if not more.isEmpty():  # of these links only what they join matters: pairs of components
-        root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        joined = joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-        merged = components(joined).select(F.col("node").alias("root"), F.col("root").alias("last"))
-        named = named.join(merged, "root", "left").select("digest", "doc_id", F.coalesce("last", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min_by("digest", F.struct("doc_id", "digest")).alias("first_digest"))
     named = named.drop("doc_id").join(least, "root")
     out = rows.select("doc_id", "digest").join(named, "digest")
@@ -400,7 +421,9 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float
     left = shingled.select(F.col("t").alias("a"), F.col("s").alias("sa"))
     right = shingled.select(F.col("t").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity.asNondeterministic()("sa", "sb").alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold - 1e-9)
+    links = written(scored.where(F.col("similarity") >= threshold - 1e-9), "links")
+    drop_written(shingled)
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
