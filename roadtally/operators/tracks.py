@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtally.operators.assign import FORBIDDEN, assign
@@ -71,10 +71,10 @@ def minute_runs(files: DataFrame, drift: float = 1.5, most: int = 60, minute: fl
 
 
 def access_runs(frames: list[int], accesses: list[int | None], short: int = 15) -> tuple[int | None, int | None]:
-    """Origin and destination of a track: runs by access, with short stays in the centre between equal accesses merged.
+    """Origin and destination of a track: runs by access, with stays in the centre of under ``short`` frames between equal accesses merged.
 
     The origin is the first access; the destination the last one reached after leaving it. A track that starts in
-    the centre and sees one access only has no origin."""
+    the centre and sees one access only has no origin, but if it also ends in the centre it has that origin and no destination."""
     runs: list[list] = []
     for f, a in zip(frames, accesses):
         a = None if a is None or a != a else int(a)
@@ -85,7 +85,7 @@ def access_runs(frames: list[int], accesses: list[int | None], short: int = 15)
     k = 1
     while k < len(runs) - 1:
         a, lo, hi = runs[k]
-        if a is None and runs[k - 1][0] == runs[k + 1][0] and hi - lo + 1 < short:
+        if a is None and runs[k - 1][0] == runs[k + 1][0] and hi - lo < short:
             runs[k - 1][2] = runs[k + 1][2]
             del runs[k : k + 2]
         else:
@@ -94,7 +94,7 @@ def access_runs(frames: list[int], accesses: list[int | None], short: int = 15)
     if not seen:
         return None, None
     if len(seen) == 1:
-        return (None, seen[0]) if runs[0][0] is None else (seen[0], None)
+        return (None, seen[0]) if runs[0][0] is None and runs[-1][0] is not None else (seen[0], None)
     return seen[0], seen[-1]
 
 
@@ -112,7 +112,9 @@ def origins_destinations(points: DataFrame) -> DataFrame:
 
 
 def resampled(x: np.ndarray, y: np.ndarray, n: int = TEMPLATE_POINTS, window: int = 5) -> np.ndarray:
-    """n points at equal distances along a path smoothed by a running median."""
+    """n points at equal distances along a path smoothed by a running median; none of an empty path."""
+    if not len(x):
+        return np.zeros((0, 2))
     half = window // 2
     smooth = [np.array([np.median(v[max(0, i - half) : i + half + 1]) for i in range(len(v))]) for v in (x, y)]
     along = np.r_[0.0, np.cumsum(np.hypot(np.diff(smooth[0]), np.diff(smooth[1])))]
@@ -121,32 +123,36 @@ def resampled(x: np.ndarray, y: np.ndarray, n: int = TEMPLATE_POINTS, window: in
 
 
 def movement_templates(paths: DataFrame) -> DataFrame:
-    """(project_id, origin, destination, n, example, medoid, points): typical paths of each movement with three whole ones.
-
-    The first 150 by id are resampled and compared with one another; the tenth farthest from the middle one (the
-    medoid) are left out; examples are picked farthest first while they stand .25 heights apart.
-    paths: project_id, origen_id, destino_id, id, xs, ys, height."""
+    """(project_id, origen_id, destino_id, n, seconds, ending, example, medoid, points): typical paths of each movement with three whole ones.
+
+    n, the median duration and the share of paths whose last point lies in the destination are of all paths. The first 150 by
+    id, ranked by Spark, are resampled and compared: the mean distance of two paths is taken in their mean height. The tenth with
+    the greatest mean distance to all is left out; the medoid is the first example, others are picked
+    farthest first while they stand .25 heights apart. Null and empty paths are left out.
+    paths: project_id, origen_id, destino_id, id, xs, ys, height, seconds, inside."""
+    key = ["project_id", "origen_id", "destino_id"]
+    whole = paths.where("size(xs) > 0 AND size(xs) = size(ys)")
+    sums = whole.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("seconds", 0.5).alias("seconds"), F.avg(F.col("inside").cast("double")).alias("ending")).where(F.col("n") >= TEMPLATE_LEAST)
+    kept = whole.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("k") <= TEMPLATE_KEPT)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) < TEMPLATE_LEAST:
-            return pd.DataFrame(columns=["project_id", "origen_id", "destino_id", "n", "example", "medoid", "points"])
-        own = group.sort_values("id").head(TEMPLATE_KEPT)
+        own = group.sort_values("id")
         lines = np.stack([resampled(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(own["xs"], own["ys"])])
-        scale = float(np.median(own["height"])) or 1.0
-        gaps = np.sqrt(((lines[:, None] - lines[None]) ** 2).sum(axis=3)).mean(axis=2) / scale
-        middle = int(gaps.sum(axis=1).argmin())
-        keep = np.argsort(gaps[middle], kind="stable")[: max(1, int(np.ceil(len(own) * (1 - TEMPLATE_DROP))))]
-        chosen = [middle]
+        height = np.maximum(own["height"].to_numpy(float), 1.0)
+        gaps = np.sqrt(((lines[:, None] - lines[None]) ** 2).sum(axis=3)).mean(axis=2) / (np.add.outer(height, height) / 2)
+        keep = np.argsort(gaps.mean(axis=1), kind="stable")[: max(1, int(np.ceil(len(own) * (1 - TEMPLATE_DROP))))]
+        chosen = [int(keep[0])]
         while len(chosen) < TEMPLATE_EXAMPLES:
             apart = gaps[np.ix_(keep, chosen)].min(axis=1)
             if apart.max() < TEMPLATE_APART:
                 break
             chosen.append(int(keep[apart.argmax()]))
-        key = group.iloc[0]
-        ids = own["id"].to_numpy()
-        return pd.DataFrame([(key["project_id"], key["origen_id"], key["destino_id"], len(group), int(ids[c]), c == middle, lines[c].reshape(-1).tolist()) for c in chosen], columns=["project_id", "origen_id", "destino_id", "n", "example", "medoid", "points"])
+        first, ids = own.iloc[0], own["id"].to_numpy()
+        rows = [(*(first[c] for c in key), int(ids[c]), c == chosen[0], lines[c].reshape(-1).tolist()) for c in chosen]
+        return pd.DataFrame(rows, columns=[*key, "example", "medoid", "points"])
 
-    return paths.groupBy("project_id", "origen_id", "destino_id").applyInPandas(run, "project_id long, origen_id long, destino_id long, n long, example long, medoid boolean, points array<double>")
+    examples = kept.join(sums.select(*key), key).groupBy(*key).applyInPandas(run, "project_id long, origen_id long, destino_id long, example long, medoid boolean, points array<double>")
+    return sums.join(examples, key)
 
 
 def twin_pairs(points: DataFrame) -> DataFrame:
@@ -162,6 +168,20 @@ def twin_pairs(points: DataFrame) -> DataFrame:
     return both.where((F.col("shared") >= TWIN_SHARED * F.least("na", "nb")) & (F.col("held") >= TWIN_HELD)).select("job_id", "a", "b")
 
 
+def fused_twins(points: DataFrame) -> DataFrame:
+    """points of a video with each group of twins fused: the longest track stays (ties: the least id), and takes the
+    frames that it lacks from the next longest that has them. Tracks without a twin stay as they are."""
+    groups = twin_groups(twin_pairs(points))
+    length = points.groupBy("job_id", "track_id").agg(F.count("*").alias("frames"))
+    sized = groups.join(length, ["job_id", "track_id"])
+    best = sized.groupBy("job_id", "head").agg(F.min_by("track_id", F.struct(-F.col("frames"), "track_id")).alias("longest"))
+    placed = points.join(sized.join(best, ["job_id", "head"]).select("job_id", "track_id", "longest", "frames"), ["job_id", "track_id"], "left")
+    placed = placed.withColumn("kept", F.coalesce("longest", "track_id"))
+    first = Window.partitionBy("job_id", "kept", "frame").orderBy(F.desc("frames"), "track_id")
+    out = placed.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return out.withColumn("track_id", F.col("kept")).drop("longest", "frames", "kept", "place")
+
+
 def twin_groups(pairs: DataFrame) -> DataFrame:
     """(job_id, track_id, head): connected twins of a video under their least id."""
 

@@ -71,31 +71,27 @@ def _(fx):
     return tracks.join_fragments(tracks.fragment_candidates(end.withColumn("vx", F.lit(0.0)), start, 2.0, 1.0))
 
 
-@query("q150_twin_groups")
+@query("q150_fused_twins")
 def _(fx):
     rows = boxes(fx).select(F.col("job_id").cast("long").alias("job_id"), "frame", F.col("track_id").cast("long").alias("track_id"), "x1", "y1", "x2", "y2")
-    return tracks.twin_groups(tracks.twin_pairs(rows))
+    return tracks.fused_twins(rows)
 
 
 @query("q152_movement_templates")
 def _(fx):
     order = F.array_sort(F.collect_list(F.struct("frame", "gx", "gy")))
-    paths = ground(fx).groupBy("project_id", "lane_id", F.col("track_id").alias("id")).agg(order.alias("p"), F.max(F.col("y2") - F.col("y1")).alias("height"), (F.max_by("gy", "frame") > F.min_by("gy", "frame")).alias("down"))
-    paths = paths.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long").alias("origen_id"), F.when(F.col("down"), 2).otherwise(1).cast("long").alias("destino_id"), F.col("id").cast("long"), F.col("p.gx").alias("xs"), F.col("p.gy").alias("ys"), "height")
+    paths = ground(fx).groupBy("project_id", "lane_id", F.col("track_id").alias("id")).agg(order.alias("p"), F.max(F.col("y2") - F.col("y1")).alias("height"), (F.max_by("gy", "frame") > F.min_by("gy", "frame")).alias("down"), ((F.max("frame") - F.min("frame")) / 20).alias("seconds"), F.max_by("gy", "frame").alias("last"))
+    paths = paths.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long").alias("origen_id"), F.when(F.col("down"), 2).otherwise(1).cast("long").alias("destino_id"), F.col("id").cast("long"), F.col("p.gx").alias("xs"), F.col("p.gy").alias("ys"), "height", "seconds", ((F.col("down") & (F.col("last") > 1020)) | (~F.col("down") & (F.col("last") < 920))).alias("inside"))
     return tracks.movement_templates(paths)
 
 
-@query("q159_box_tracking")
-def _(fx):
-    rows = fx.points.select(F.col("job_id").cast("long").alias("job_id"), F.col("frame").cast("long").alias("frame"), "x1", "y1", "x2", "y2", "class_name")
-    return tracks.track_boxes(rows)
-
-
 @query("q052_remeasured_pairs")
 def _(fx):
-    own = fx.crossings.select("job_id", "lane_id", F.col("id").alias("a"), F.col("cuadro").alias("ca"), F.col("bbox_height").alias("ha"))
-    other = fx.crossings.select("job_id", "lane_id", F.col("id").alias("b"), F.col("cuadro").alias("cb"), F.col("bbox_height").alias("hb"))
-    near = own.join(other, ["job_id", "lane_id"]).where("a <> b AND abs(ca - cb) <= 20 AND abs(ha - hb) <= 0.12 * ha").withColumn("gap", F.abs(F.col("ha") - F.col("hb")))
+    # 20 frames apart at most: a step of 20 frames meets itself and its neighbours
+    step = F.floor(F.col("cuadro") / 20)
+    own = fx.crossings.select("job_id", "lane_id", F.col("id").alias("a"), F.col("cuadro").alias("ca"), F.col("bbox_height").alias("ha"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    other = fx.crossings.select("job_id", "lane_id", F.col("id").alias("b"), F.col("cuadro").alias("cb"), F.col("bbox_height").alias("hb"), step.alias("step"))
+    near = own.join(other, ["job_id", "lane_id", "step"]).where("a <> b AND abs(ca - cb) <= 20 AND abs(ha - hb) <= 0.12 * ha").withColumn("gap", F.abs(F.col("ha") - F.col("hb")))
     return tracks.greedy_pairs(near.select("job_id", "lane_id", "a", "b", "gap"), ["job_id", "lane_id"], "a", "b", ["gap"])
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadtally.functions import columns as C
+
 
 def interval_table(counts: DataFrame, by_class: DataFrame, classes: list[str]) -> DataFrame:
     """A row for each line and interval, one column a class, coverage last.
@@ -50,3 +55,29 @@ def replace_segments(df: DataFrame, path: str, buckets: int = 256) -> None:
         kept = old.join(touched, "job_bucket", "left_semi").join(own.select("job_id").distinct(), "job_id", "left_anti")
         own = own.unionByName(kept.select(*own.columns)).checkpoint()
     own.write.partitionBy("job_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def movement_table(movements: DataFrame, classes: list[str]) -> DataFrame:
+    """(project_id, date, interval, movement, one column a class, total): quarters of complete movements.
+
+    movements: project_id, ts, origin, destination, klass; a movement is named origin_destination."""
+    minute = F.hour("ts") * 60 + F.floor(F.minute("ts") / 15).cast("int") * 15
+    rows = movements.where("origin IS NOT NULL AND destination IS NOT NULL").select(
+        "project_id", F.to_date("ts").alias("date"), F.concat(C.minute_label(minute), F.lit(" - "), C.minute_label((minute + 15) % 1440)).alias("interval"), F.concat_ws("_", "origin", "destination").alias("movement"), "klass"
+    )
+    counts = rows.groupBy("project_id", "date", "interval", "movement").agg(*[F.count_if(F.col("klass") == c).alias(c) for c in classes])
+    total = F.lit(0).cast("long")
+    for c in classes:
+        total = total + F.col(c)
+    return counts.withColumn("total", total)
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's shared one; on one machine, where none is set, a folder of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="roadtally-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadtally.functions import columns as C
-from roadtally.operators import classify, docsearch, geometry, speed, tracks
+from roadtally.operators import classify, docsearch, geometry, imports, speed, tracks
 from roadtally.operators.assign import FORBIDDEN, assign
 from roadtally.sources import files, sinks
 from roadtally.streaming import live
@@ -86,7 +86,7 @@ def test_repeated_crossings(spark):
     assert sorted(r.id for r in tracks.drop_repeated_crossings(df).collect()) == [1, 3, 4, 5]
 
 
-@pytest.mark.parametrize("seen, want", [([1, 1, None, None, 2, 2], (1, 2)), ([None, None, 2, 2], (None, 2)), ([1, 1, None], (1, None)), ([None] * 4, (None, None)), ([1, None, 1, None, 3], (1, 3)), ([3, None, 1], (3, 1))])
+@pytest.mark.parametrize("seen, want", [([1, 1, None, None, 2, 2], (1, 2)), ([None, None, 2, 2], (None, 2)), ([1, 1, None], (1, None)), ([None] * 4, (None, None)), ([1, None, 1, None, 3], (1, 3)), ([3, None, 1], (3, 1)), ([None, 2, None], (2, None)), ([1, *[None] * 14, 1], (1, None)), ([1, *[None] * 16, 1], (1, 1)), ([1, *[None] * 15, 1], (1, None))])
 def test_access_runs(seen, want):
     assert tracks.access_runs(list(range(len(seen))), seen) == want
 
@@ -103,12 +103,59 @@ def test_join_fragments_takes_the_least_total_cost(spark):
     assert sorted((r.job_id, r.a, r.b) for r in tracks.join_fragments(df).collect()) == [(1, 1, 11), (1, 2, 10), (2, 5, 6)]
 
 
-def test_chunks():
+def test_chunks(spark):
     assert docsearch.chunks_of("") == [] and docsearch.chunks_of("one two") == ["one two"]
     text = "This is a sentence. " * 200
     parts = docsearch.chunks_of(text)
     assert all(len(p) <= 1200 for p in parts) and all(p.endswith(".") for p in parts[:-1])
-    assert parts[1][:100] in text and len(parts) == len(docsearch.chunks_of(text))
+    # the latest of the marks counts, with one character of it: a paragraph ends at 700, a sentence at 1001
+    text = "a" * 700 + "\n\n" + "b" * 300 + ". " + "c" * 900
+    assert docsearch.chunks_of(text) == ["a" * 700 + "\n\n" + "b" * 300 + ".", "b" * 199 + ". " + "c" * 900]
+    # no mark past the half: the whole length
+    assert [len(p) for p in docsearch.chunks_of("a" * 500 + ". " + "b" * 1500)] == [1200, 1002]
+    df = spark.createDataFrame([(1, "one\r\ntwo  three-\nfour"), (2, None), (3, "")], "doc_id long, text string")
+    assert [(r.doc_id, r.ord, r.text) for r in docsearch.chunk_documents(df).collect()] == [(1, 0, "one two threefour")]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_nearest_vectors(spark, parts):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [1.0]), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, [9.0]), (12, None), (13, [1.0, 2.0, 3.0])], "query_id long, vector array<double>")
+    got = sorted((r.query_id, r.pos, r.doc_id, r.distance) for r in docsearch.vector_top(df, asked, "doc_id", 3, parts=parts).collect())
+    assert got == [(10, 0, 2, 0.0), (10, 1, 6, 0.0), (10, 2, 1, 1.0), (11, 0, 5, 64.0)]
+    assert docsearch.vector_top(df.limit(0), asked, "doc_id", 3).count() == 0
+
+
+def test_lexical_search_of_empty_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, "red car"), (2, None), (3, ""), (4, "red red bus")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a Red car"), (8, None)], "query_id long, query string")
+    assert [(r.query_id, r.doc_id, r.pos) for r in docsearch.lexical_top(docs, asked, "doc_id", "text", 9).orderBy("pos").collect()] == [(7, 1, 0), (7, 4, 1)]
+
+
+def test_templates_leave_out_the_least_typical(spark):
+    line = lambda k, dx: (1, 1, 2, k, [float(dx)] * 20, [10.0 * i for i in range(20)], 100.0, 2.0 + k, k % 2 == 0)
+    rows = [line(k, k) for k in range(9)] + [line(9, 500), (1, 1, 2, 10, [], [], 100.0, 1.0, True), (1, 1, 2, 11, None, None, 100.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "project_id long, origen_id long, destino_id long, id long, xs array<double>, ys array<double>, height double, seconds double, inside boolean")
+    got = tracks.movement_templates(df).collect()
+    assert [(r.example, r.medoid, r.n, r.seconds, r.ending) for r in got] == [(4, True, 10, 6.5, 0.5)]
+    assert tracks.movement_templates(df.limit(0)).count() == 0
+
+
+def test_fused_twins_keep_the_longest_track_and_its_missing_frames(spark):
+    box = lambda track, frames, dx=0.0: [(1, f, track, dx, 0.0, 100.0 + dx, 100.0) for f in frames]
+    df = spark.createDataFrame(box(1, range(5)) + box(2, [0, 1, 3, 4, 5, 6, 7], 5.0) + box(3, range(4), 900.0), "job_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double")
+    got = tracks.fused_twins(df).collect()
+    assert {(r.track_id, r.frame, r.x1) for r in got} == {(2, f, 0.0 if f == 2 else 5.0) for f in range(8)} | {(3, f, 900.0) for f in range(4)}
+
+
+def test_hand_count_blocks(spark):
+    cells = [("b", "s1", 1, 3, "PTE - OTE"), ("b", "s1", 2, 1, "Hr/Mov"), ("b", "s1", 2, 8, "Hr/Mov"), ("b", "s1", 2, 9, "ote-pte"), ("b", "s1", 3, 2, "b"), ("b", "s1", 3, 3, "a")]
+    for r, values in ((4, ["7:00 AM - 7:15 AM", "4", "2", None, None, None]), (5, ["7:15 AM - 7:30 AM", None, " ", "x", None, None]), (6, ["7:00 AM - 7:15 AM", "9", None, None, None, None])):
+        cells += [("b", "s1", r, c, v) for c, v in enumerate(values, 1)] + [("b", "s1", r, c, v) for c, v in enumerate(values, 8)]
+    got = imports.hand_counts(spark.createDataFrame(cells, "book string, sheet string, row int, col int, value string"))
+    one = {(r.direction, r.minute, r.klass): r.n for r in got.collect()}
+    assert one == {("pte-ote", 420, "B"): 4.0, ("pte-ote", 420, "A"): 2.0, **{("pte-ote", 420, k): 0.0 for k in ("C", "T-S", "T-S-R")}, ("ote-pte", 420, "A"): 4.0, ("ote-pte", 420, "B"): 2.0, **{("ote-pte", 420, k): 0.0 for k in ("C", "T-S", "T-S-R")}}
 
 
 def test_track_and_detection_files(spark, tmp_path):
