@@ -299,33 +299,43 @@ def dominated(filling: list[int], slack: int, unused: int) -> bool:
     return bool(slack and unused & (_spread(single, slack - 1) << 1))
 
 
-def fillings(counts: np.ndarray, room: int, sums: int, budget: Budget):
-    """All undominated ways to fill up room from counts (already without the largest piece), least waste first, one at a time.
+def fillings(left: np.ndarray, room: int, sums: int, budget: Budget, largest: int = 0):
+    """All undominated ways to fill up room from the histogram left (one piece of length largest is taken already), least waste first, one at a time.
 
     A filling is dominated if one that wastes no more leaves pieces that fit in the place of its own. sums: bit s is set
-    if any number of pieces of the lengths there are can add up to s; other sums are not tried.
+    if any number of pieces of the lengths there are can add up to s; other sums are not tried. Between two fillings left
+    may change if it is put back; only the last filling is kept meanwhile, as thousands of enumerations are open at once.
     """
-    lengths = np.nonzero(counts[: room + 1])[0]
-    lengths = lengths[lengths > 0]
-    unused = sum(1 << x for x in lengths.tolist())
-    left = {x: int(counts[x]) for x in lengths.tolist()}
-    descending = lengths[::-1].tolist()
+
+    def unused_by(chosen: list[int]) -> tuple[list[int], int]:
+        """Lengths that fit, falling, and those of which the filling leaves a piece, as bits."""
+        there = left[: room + 1] > 0
+        there[0] = False
+        descending = np.nonzero(there)[0][::-1].tolist()
+        for x in {largest, *chosen}:
+            if 0 < x <= room:
+                there[x] = left[x] > (x == largest) + chosen.count(x)
+        return descending, int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+
     for waste in range(room + 1):
         if not sums >> (room - waste) & 1:
             continue
         # pieces in falling order; at[k]: where to look on for piece k
         chosen, at, rest = [], [0], room - waste
+        descending, unused = unused_by(chosen)
         while at:
             budget.left -= 1
             if budget.left < 0:
                 return
             if not rest:
                 if not dominated(chosen, waste, unused):
+                    descending = unused = None
                     yield tuple(chosen)
+                    descending, unused = unused_by(chosen)
                 k = len(descending)
             else:
                 k = at[-1]
-                while k < len(descending) and (descending[k] > rest or not left[descending[k]] or not sums >> (rest - descending[k]) & 1):
+                while k < len(descending) and (descending[k] > rest or not unused >> descending[k] & 1 or not sums >> (rest - descending[k]) & 1):
                     k += 1
             if k < len(descending):
                 x = descending[k]
@@ -333,15 +343,13 @@ def fillings(counts: np.ndarray, room: int, sums: int, budget: Budget):
                 at.append(k)
                 chosen.append(x)
                 rest -= x
-                left[x] -= 1
-                if not left[x]:
+                if left[x] <= (x == largest) + chosen.count(x):
                     unused &= ~(1 << x)
             else:
                 at.pop()
                 if chosen:
                     x = chosen.pop()
                     rest += x
-                    left[x] += 1
                     unused |= 1 << x
 
 
@@ -392,9 +400,7 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, st
                 node["m"] -= 1
                 if node["m"]:
                     return True
-            left[node["largest"]] -= 1
             filling = next(node["ways"], None)
-            left[node["largest"]] += 1
             if filling is not None:
                 node["items"] = items = (node["largest"], *filling)
                 node["m"] = int(min(left[x] // n for x, n in Counter(items).items()))
@@ -410,9 +416,7 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000, st
                 break
         if volume and waste <= (best.bins - 1) * capacity - total and bins - (-volume // capacity) < best.bins:
             largest = int(np.nonzero(left)[0][-1])
-            own = left.copy()
-            own[largest] -= 1
-            stack.append({"largest": largest, "ways": fillings(own, capacity - largest, sums, budget), "items": (), "m": 0})
+            stack.append({"largest": largest, "ways": fillings(left, capacity - largest, sums, budget, largest), "items": (), "m": 0})
         if not advance() or budget.left < 0:
             break
     return best
