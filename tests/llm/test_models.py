@@ -154,3 +154,24 @@ def test_toxicity_on_odd_rows(odd_docs, no_docs, some_labels):
     assert len(out) == odd_docs.count() and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score_toxicity(no_docs, some_labels, fold(5) != 0).count() == 0
     assert {r.score for r in toxicity.score_toxicity(odd_docs, some_labels.limit(0), fold(5) != 0).collect()} == {0.5}
+
+
+def test_discriminant_equals_direct_log_densities():
+    """Class covariances from the rows themselves, shrunk, inverted and put into the Gaussian density without factors."""
+    rng = np.random.default_rng(9)
+    d = discriminant.DIM
+    rows = {0: rng.normal(1, 2, (90, d)) @ rng.normal(0, 1, (d, d)), 1: rng.normal(0, 1, (40, d)) @ rng.normal(0, 1, (d, d)) + 1}
+    model = discriminant.Discriminant.fit({k: (float(len(x)), x.sum(axis=0), x.T @ x) for k, x in rows.items()})
+    every = np.vstack([rows[0], rows[1]])
+    center, scale = every.mean(axis=0), every.std(axis=0)
+    z = {k: (x - center) / scale for k, x in rows.items()}
+    pooled = sum(len(x) * np.cov(x.T, bias=True) for x in z.values()) / len(every)
+    logs, new = [], (rng.normal(0, 3, (25, d)) - center) / scale
+    for k in (0, 1):
+        trust = len(z[k]) / (len(z[k]) + 5 * d)
+        c = trust * np.cov(z[k].T, bias=True) + (1 - trust) * pooled
+        c = (1 - discriminant.SHRINK) * c + discriminant.SHRINK * np.diag(np.diag(c)) + 1e-3 * np.eye(d)
+        away = new - z[k].mean(axis=0)
+        logs.append(-0.5 * (np.einsum("ni,ij,nj->n", away, np.linalg.inv(c), away) + np.linalg.slogdet(c)[1]) + np.log(len(z[k])))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    assert model.scores(new * scale + center) == pytest.approx(want, abs=1e-9)
