@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtally.functions.columns import geh
+from roadtally.operators.tracks import greedy_pairs
 
 GEH_LIMIT, PASS_SHARE = 5.0, 0.85
 
@@ -127,3 +128,29 @@ def reliability(rows: DataFrame) -> DataFrame:
         .otherwise("Poco confiable")
     )
     return rows.withColumn("level", level).withColumn("note", F.when(F.coalesce(small, F.lit(False)), "orden de magnitud").otherwise(""))
+
+
+def paired_directions(ours: DataFrame, hand: DataFrame) -> DataFrame:
+    """(project_id, zone, direction, r): each roadway with the counted direction whose quarters go most like its own, one to one, best first.
+
+    ours: project_id, zone, bin, n. hand: project_id, direction, bin, n; bins of one key are distinct. A site's bins are those of
+    its hand counts, and a bin without a row is 0. r is -2 with under three bins or a constant side; ties go by zone, then
+    direction. Rows with a null zone, direction or bin are left out; a null n is 0; a zone that gets no direction has null there.
+    """
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    hand = hand.where("direction IS NOT NULL AND bin IS NOT NULL").select("project_id", "direction", "bin", n.alias("h"))
+    ours = ours.where("zone IS NOT NULL AND bin IS NOT NULL").select("project_id", "zone", "bin", n.alias("o"))
+    bins = hand.select("project_id", "bin").distinct()
+    size = bins.groupBy("project_id").agg(F.count("*").alias("bins"))
+    inside = ours.join(bins, ["project_id", "bin"], "left_semi")
+    moments = lambda rows, key, v: rows.groupBy("project_id", key).agg(F.sum(v).alias(f"s{v}"), F.sum(F.col(v) * F.col(v)).alias(f"q{v}"))
+    zones = ours.select("project_id", "zone").distinct()
+    own = zones.join(moments(inside, "zone", "o"), ["project_id", "zone"], "left").fillna(0, ["so", "qo"])
+    both = inside.join(hand, ["project_id", "bin"]).groupBy("project_id", "zone", "direction").agg(F.sum(F.col("o") * F.col("h")).alias("oh"))
+    # a site has a few roadways and directions; its quarters are summed by here
+    pairs = own.join(moments(hand, "direction", "h"), "project_id").join(size, "project_id").join(both, ["project_id", "zone", "direction"], "left")
+    spread = (F.col("bins") * F.col("qo") - F.col("so") * F.col("so")).cast("double") * (F.col("bins") * F.col("qh") - F.col("sh") * F.col("sh"))
+    shared = F.col("bins") * F.coalesce("oh", F.lit(0)) - F.col("so") * F.col("sh")
+    r = F.when((F.col("bins") >= 3) & (spread > 0), F.round(shared / F.sqrt(F.when(spread > 0, spread)), 9)).otherwise(-2.0)
+    best = greedy_pairs(pairs.select("project_id", "zone", "direction", r.alias("r"), (-r).alias("low")), ["project_id"], "zone", "direction", ["low"])
+    return zones.join(best.drop("low"), ["project_id", "zone"], "left").select("project_id", "zone", "direction", "r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadtally.functions import columns as C
-from roadtally.operators import imports
+from roadtally.operators import imports, validate
 from roadtally.plans.counts import STAMP
 from roadtally.plans.fixtures import Fixtures, oracle
 from roadtally.sources import sinks
@@ -112,3 +112,24 @@ def _(fx):
     clocks = own.select("job_id", F.col("total_frames").alias("n_frames"), (F.col("total_frames") / F.when(F.col("hidx") % 13 == 0, 22.0).otherwise(20.2)).alias("seconds"))
     rows = fx.crossings.select("id", "job_id", "ts", F.when(F.col("id") % 9 != 0, F.col("cuadro")).alias("frame"))
     return imports.retimed(rows, own, clocks).select("id", C.stamp(F.col("ts")).alias("ts"))
+
+
+# two roadways and two directions a site: after the best pair one is left
+@query(
+    "q058_paired_directions",
+    """SELECT project_id, zone, direction, r FROM (SELECT s.*, b.zone AS z, b.direction AS d FROM scores s JOIN best b USING (project_id)) WHERE (zone = z) = (direction = d)""",
+    """hand AS (SELECT project_id, CASE lane_id % 2 WHEN 1 THEN 'nte-sur' ELSE 'sur-nte' END AS direction, dd * 1440 + minuto AS bin, n FROM manual)""",
+    """ours AS (SELECT project_id, lane_id AS zone, day(ts) * 1440 + hh * 60 + minute(ts) // 15 * 15 AS bin, count(*) AS n FROM crossings GROUP BY ALL)""",
+    """bins AS (SELECT DISTINCT project_id, bin FROM hand)""",
+    """grid AS (SELECT b.project_id, b.bin, z.zone, d.direction, coalesce(o.n, 0) AS o, coalesce(h.n, 0) AS h FROM bins b JOIN (SELECT DISTINCT project_id, zone FROM ours) z USING (project_id)
+       JOIN (SELECT DISTINCT project_id, direction FROM hand) d USING (project_id) LEFT JOIN ours o ON (o.project_id, o.zone, o.bin) = (b.project_id, z.zone, b.bin)
+       LEFT JOIN hand h ON (h.project_id, h.direction, h.bin) = (b.project_id, d.direction, b.bin))""",
+    """scores AS (SELECT project_id, zone, direction, round(corr(o, h), 9) AS r FROM grid GROUP BY ALL)""",
+    """best AS (SELECT project_id, zone, direction FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY r DESC, zone, direction) AS place FROM scores) WHERE place = 1)""",
+)
+def _(fx):
+    direction = F.when(F.col("lane_id") % 2 == 1, "nte-sur").otherwise("sur-nte")
+    hand = fx.manual.select("project_id", direction.alias("direction"), (F.col("dd") * 1440 + F.col("minuto")).alias("bin"), "n")
+    quarter = F.day("ts") * 1440 + F.col("hh") * 60 + F.floor(F.minute("ts") / 15) * 15
+    ours = fx.crossings.groupBy("project_id", F.col("lane_id").alias("zone"), quarter.alias("bin")).agg(F.count("*").alias("n"))
+    return validate.paired_directions(ours, hand)

@@ -212,3 +212,16 @@ def test_stream_crossings(spark, tmp_path):
     job = lambda d: live.live_crossings(d.withColumn("ts", F.to_timestamp("ts")).withWatermark("ts", "1 second"), 960.0)
     got = streamed(spark, tmp_path, rows, "job_id long, track_id long, frame long, gy double, ts string", job)
     assert sorted((r.track_id, r.frame, r.direction) for r in got) == [(1, 4, "in"), (2, 4, "out")]
+
+
+def test_paired_directions(spark):
+    from roadtally.operators import validate
+
+    ours = [(1, "a", b, n) for b, n in enumerate((1, 5, 9, 2))] + [(1, "b", b, n) for b, n in enumerate((9, 4, 1, 8))] + [(1, "c", 0, 3), (1, "a", 99, 50), (2, "e", 0, 1), (2, None, 1, 1)]
+    hand = [(1, "x", b, n) for b, n in enumerate((2, 6, 9, 3))] + [(1, "y", 0, 8), (1, "y", 1, None), (1, "y", 3, 7)] + [(2, "z", 0, 1), (2, None, 1, 4)]
+    ours = spark.createDataFrame(ours, "project_id long, zone string, bin long, n long")
+    hand = spark.createDataFrame(hand, "project_id long, direction string, bin long, n long")
+    got = {(r["project_id"], r["zone"]): (r["direction"], r["r"] and round(r["r"], 3)) for r in validate.paired_directions(ours, hand).collect()}
+    r = lambda x, y: round(float(np.corrcoef(x, y)[0, 1]), 3)
+    assert got == {(1, "a"): ("x", r((1, 5, 9, 2), (2, 6, 9, 3))), (1, "b"): ("y", r((9, 4, 1, 8), (8, 0, 0, 7))), (1, "c"): (None, None), (2, "e"): ("z", -2.0)}
+    assert validate.paired_directions(ours.limit(0), hand).count() == 0
