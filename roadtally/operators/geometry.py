@@ -35,8 +35,8 @@ def in_polygon(x: Column, y: Column, points: Column) -> Column:
 
     def crossed(i: Column) -> Column:
         p, q = F.get(points, i), F.get(points, F.when(i == 0, n - 1).otherwise(i - 1))
-        at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + 1e-12) + p["x"]
-        return ((p["y"] > y) != (q["y"] > y)) & (x < at)
+        side = _side(p["x"], p["y"], q["x"], q["y"], x, y)
+        return ((p["y"] <= y) & (q["y"] > y) & (side > 0)) | ((p["y"] > y) & (q["y"] <= y) & (side < 0))
 
     return F.size(F.filter(sides, crossed)) % 2 == 1
 

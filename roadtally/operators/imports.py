@@ -11,6 +11,11 @@ from roadtally.functions import columns as C
 SHEET_CLASSES = ["A", "B", "C", "T-S", "T-S-R"]
 DIRECTION = r"(?i)^\s*[\p{L}.]+\s*-\s*[\p{L}.]+\s*$"
 RATE_TOLERANCE, WARM_SECONDS = 0.05, 3.0
+# Columns of the axle counter's class table, its speed bands (km/h), day names, and the days that a cell may hold as a date.
+AXLE_CLASSES = ["Cycle", "Cars", "2A-4T", "Buses", "2A-SU", "3A-SU", "4A-SU", "4A-ST", "5A-ST", "6A-ST", "5A-MT", "6A-MT", "Other"]
+SPEED_BANDS = ["0.0", "32.2", "40.2", "48.2", "56.3", "64.3", "72.4", "80.4", "88.5", "96.5", "104.6", "112.6", "120.7", "128.7", "136.8", "Other"]
+DAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+DATES, SUM_TOLERANCE = (40_000, 60_000), 0.5
 
 
 def hand_counts(cells: DataFrame) -> DataFrame:
@@ -45,6 +50,62 @@ def hand_counts(cells: DataFrame) -> DataFrame:
     return each.groupBy("book", "direction", "minute", F.coalesce("klass", usual[F.col("at")]).alias("klass")).agg(F.max_by(F.coalesce("v", F.lit(0.0)), "k").alias("n"))
 
 
+def axle_counts(cells: DataFrame) -> DataFrame:
+    """(book, kind, lane, date, minute, label, n) from an axle counter's sheet: cells (book, row, col, text, number).
+
+    kind: clasificatorio (label: a class), velocidad (label: the start of a band) or volumen (label null), from the
+    heading of the section above, as is the lane; a summary or chart ends the section. The date is carried down a section,
+    and is the next day where the hour goes back. Rows with a label other than a day's name are sums. A row counts only if
+    its values add up to its total; the last of two rows of one minute wins. In a volume row a quarter is known by its
+    distance from the total. Null and blank cells are ignored; a book without a section gives no rows.
+    """
+    text = F.trim("text")
+    heading = text.contains("Lane #") & text.contains("Data From")
+    one = cells.where("number IS NOT NULL OR trim(text) <> ''")
+    numbers = F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("col", "number"))))
+    at = lambda cond, x: F.max_by(F.when(cond, x), F.when(cond, F.col("col")))
+    rows = one.groupBy("book", "row").agg(
+        numbers.alias("x"),
+        F.count_if(text.contains("Summary") | text.contains("Charts")).alias("ends"),
+        at(heading, F.regexp_extract(text, r"Lane #(\d)", 1).cast("int")).alias("head"),
+        F.max(F.when(heading & text.contains("Speed"), "velocidad").when(heading & text.contains("Axle"), "clasificatorio")).alias("says"),
+        F.count_if(~text.isin(DAYS)).alias("labels"),
+        F.max(F.when((F.col("row") < 30) & text.contains("Volume Report"), "volumen").when((F.col("row") < 30) & text.contains("Classification Report"), "clasificatorio")).alias("report"),
+    )
+    down = Window.partitionBy("book").orderBy("row")
+    rows = rows.withColumns({"span": F.sum(F.when(F.col("ends") > 0, 1).otherwise(0)).over(down), "report": F.last("report", ignorenulls=True).over(Window.partitionBy("book").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    headed = F.when(F.col("ends") == 0, F.col("head"))
+    inside = Window.partitionBy("book", "span").orderBy("row")
+    rows = rows.withColumn("lane", F.last(headed, ignorenulls=True).over(inside))
+    rows = rows.withColumn("kind", F.when(F.col("lane").isNotNull(), F.coalesce(F.last(F.when(headed.isNotNull(), F.col("says")), ignorenulls=True).over(inside), F.lit("volumen"))))
+    state = F.struct("span", "kind", "lane")
+    rows = rows.withColumn("section", F.sum(F.when(F.lag(state).over(down).eqNullSafe(state), 0).otherwise(1)).over(down))
+    rows = rows.where("kind IS NOT NULL AND labels = 0 AND size(x) >= 3").where("kind <> 'volumen' OR report = 'volumen'")
+    first = F.col("x")[0]["number"]
+    rows = rows.withColumn("dated", (first > DATES[0]) & (first < DATES[1]))
+    section = Window.partitionBy("book", "section").orderBy("row")
+    rows = rows.withColumns({"day": F.last(F.when(F.col("dated"), F.floor(first)), ignorenulls=True).over(section), "stretch": F.sum(F.col("dated").cast("int")).over(section)})
+    rows = rows.withColumn("x", F.when(F.col("dated"), F.slice("x", 2, 1000)).otherwise(F.col("x")))
+    rows = rows.withColumns({"hour": F.col("x")[0]["number"], "v": F.slice("x", 2, 1000)}).where("hour >= 0 AND hour < 1 AND day IS NOT NULL AND size(v) > 0")
+    rows = rows.withColumn("minute", F.bround(F.col("hour") * 1440).cast("int"))
+    stretch = Window.partitionBy("book", "section", "stretch").orderBy("row")
+    rows = rows.withColumn("back", (F.col("minute") < F.lag("minute").over(stretch)).cast("int"))
+    rows = rows.withColumn("date", F.date_add(F.lit("1899-12-30").cast("date"), (F.col("day") + F.coalesce(F.sum("back").over(stretch), F.lit(0))).cast("int")))
+    total = F.element_at("v", -1)
+    number = lambda c: c["number"]
+    added = lambda v: F.aggregate(v, F.lit(0.0), lambda s, c: s + c["number"])
+    n_of = F.when(F.col("kind") == "clasificatorio", len(AXLE_CLASSES)).otherwise(len(SPEED_BANDS))
+    table = rows.where(F.col("kind") != "volumen").where(F.size("v") > n_of).where(F.abs(added(F.slice("v", F.lit(1), n_of)) - number(F.get("v", n_of))) <= SUM_TOLERANCE)
+    names = F.when(F.col("kind") == "clasificatorio", F.array(*map(F.lit, AXLE_CLASSES))).otherwise(F.array(*map(F.lit, SPEED_BANDS)))
+    table = table.select("book", "row", "kind", "lane", "date", "minute", F.explode(F.arrays_zip(names.alias("label"), F.transform(F.slice("v", F.lit(1), n_of), number).alias("n"))).alias("e"))
+    table = table.select("book", "row", "kind", "lane", "date", "minute", "e.label", "e.n")
+    quarters = F.slice("v", F.lit(1), F.size("v") - 1)
+    volume = rows.where("kind = 'volumen' AND size(v) > 1").where((number(total) >= 0) & (total["col"] - F.get("v", F.lit(0))["col"] <= 4) & (F.abs(added(quarters) - number(total)) <= SUM_TOLERANCE))
+    volume = volume.select("book", "row", "kind", "lane", "date", "minute", total["col"].alias("last"), F.explode(quarters).alias("e"))
+    volume = volume.select("book", "row", "kind", "lane", "date", (F.col("minute") + 15 * (4 - (F.col("last") - F.col("e.col")))).cast("int").alias("minute"), F.lit(None).cast("string").alias("label"), F.col("e.number").alias("n"))
+    return table.union(volume).groupBy("book", "kind", "lane", "date", "minute", "label").agg(F.max_by("n", "row").alias("n"))
+
+
 def retimed(rows: DataFrame, segments: DataFrame, clocks: DataFrame) -> DataFrame:
     """rows (job_id, ts, frame) with ts from the file's own clock where the segment's frame rate is more than 5 % off.
 

@@ -19,7 +19,7 @@ base AS (
          CAST((day(ts) - 1) * 24 + hour(ts) AS INT)            AS hidx,
          CAST(hour(ts) AS INT)                                 AS hh,
          CAST(floor(minute(ts) * 60 + second(ts)) AS INT)      AS sec_in_hour
-  FROM events WHERE hour(ts) BETWEEN 7 AND 18 OR event_id % 3 <> 0),
+  FROM events),
 one AS (
   SELECT event_id AS id, project_id, lane_id, event_id AS track_id, ts, hh, hidx,
          project_id * 1000 + hidx                              AS job_id,
@@ -65,13 +65,13 @@ movements AS (
   SELECT id, project_id, job_id, ts, vehicle_type, bbox_height, confidence,
          CASE WHEN id % 11 = 0 THEN NULL ELSE CAST(id % 3 AS INT) + 1 END AS origen_id,
          CASE WHEN id % 7 = 0 THEN NULL ELSE CAST((id * 13 + hh) % 3 AS INT) + 1 END AS destino_id
-  FROM boxed WHERE id % 2 = 0),
+  FROM boxed),
 points AS (
   SELECT b.job_id, b.track_id, b.lane_id, b.cuadro + k.k AS frame, b.vehicle_type AS class_name, b.confidence,
          CAST(b.bbox_x AS DOUBLE) AS x1, CAST(b.bbox_x + b.bbox_width AS DOUBLE) AS x2,
          CAST(CASE WHEN b.direction = 'in' THEN 860 + 25 * k.k ELSE 1060 - 25 * k.k END - b.bbox_height AS DOUBLE) AS y1,
          CAST(CASE WHEN b.direction = 'in' THEN 860 + 25 * k.k ELSE 1060 - 25 * k.k END AS DOUBLE) AS y2
-  FROM boxed b CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) AS k(k) WHERE b.track_id % 4 = 0),
+  FROM boxed b CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) AS k(k)),
 manual AS (
   SELECT project_id, lane_id, day(ts) AS dd, hh * 60 + CAST(floor(minute(ts) / 15) AS INT) * 15 AS minuto,
          count(*) + hidx % 3 AS n

@@ -77,12 +77,16 @@ def _(fx):
     return tracks.fused_twins(rows)
 
 
-@query("q152_movement_templates")
-def _(fx):
+def whole_paths(fx):
+    """Each track as one path, from its line to the side that it goes to."""
     order = F.array_sort(F.collect_list(F.struct("frame", "gx", "gy")))
     paths = ground(fx).groupBy("project_id", "lane_id", F.col("track_id").alias("id")).agg(order.alias("p"), F.max(F.col("y2") - F.col("y1")).alias("height"), (F.max_by("gy", "frame") > F.min_by("gy", "frame")).alias("down"), ((F.max("frame") - F.min("frame")) / 20).alias("seconds"), F.max_by("gy", "frame").alias("last"))
-    paths = paths.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long").alias("origen_id"), F.when(F.col("down"), 2).otherwise(1).cast("long").alias("destino_id"), F.col("id").cast("long"), F.col("p.gx").alias("xs"), F.col("p.gy").alias("ys"), "height", "seconds", ((F.col("down") & (F.col("last") > 1020)) | (~F.col("down") & (F.col("last") < 920))).alias("inside"))
-    return tracks.movement_templates(paths)
+    return paths.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long").alias("origen_id"), F.when(F.col("down"), 2).otherwise(1).cast("long").alias("destino_id"), F.col("id").cast("long"), F.col("p.gx").alias("xs"), F.col("p.gy").alias("ys"), "height", "seconds", ((F.col("down") & (F.col("last") > 1020)) | (~F.col("down") & (F.col("last") < 920))).alias("inside"))
+
+
+@query("q152_movement_templates")
+def _(fx):
+    return tracks.movement_templates(whole_paths(fx))
 
 
 @query("q052_remeasured_pairs")

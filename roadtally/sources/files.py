@@ -63,3 +63,14 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df in a table's declared columns: missing ones null, extra ones left out."""
     have = set(df.columns)
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_table(spark: SparkSession, path: str, schema: str, geometry: dict[str, str] | None = None) -> DataFrame:
+    """A stored table in its declared columns; geometry kept as JSON text (column -> new name) becomes arrays of points.
+
+    Text that is no JSON gives null, as does a missing column; extra columns are left out."""
+    geometry = geometry or {}
+    text = T.StructType([T.StructField(c, T.StringType()) for c in geometry])
+    rows = typed(spark.read.parquet(path), T.StructType(T.StructType.fromDDL(schema).fields + text.fields))
+    shapes = {n: F.from_json(c, "array<array<double>>") for c, n in geometry.items()}
+    return rows.withColumns(shapes).drop(*geometry) if geometry else rows
