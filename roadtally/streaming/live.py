@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from roadtally.sources import sinks
+
 #: A track unseen for so long is forgotten.
 FORGET_SECONDS = 3
 
@@ -63,3 +66,42 @@ def live_crossings(points: DataFrame, level: float) -> DataFrame:
     return points.groupBy("job_id", "track_id").applyInPandasWithState(
         step, "job_id long, track_id long, frame long, direction string", "last double, seen int, crossed boolean, frame long, latest long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def speed_pairs(points: DataFrame, first: float, second: float) -> DataFrame:
+    """(job_id, track_id, direction, seconds): the time between a track's first crossings of two levels, given out once, when both are known.
+
+    points: job_id, track_id, frame, gy, ts (with a watermark). A track that reaches the first level before the second goes in.
+    State of a track: its last height, the times of both crossings and whether the pair was given out; it goes when the watermark passes the
+    last point by FORGET_SECONDS. Points of a null height are skipped."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, one, two, given, latest = state.get if state.exists else (float("nan"), -1.0, -1.0, False, 0)
+        out = []
+        for row in pd.concat(list(batches)).dropna(subset=["gy"]).sort_values("frame").itertuples():
+            now = row.ts.timestamp()
+            if last == last:
+                if one < 0 and (last < first) != (row.gy < first):
+                    one = now
+                if two < 0 and (last < second) != (row.gy < second):
+                    two = now
+            if one >= 0 and two >= 0 and not given:
+                given = True
+                out.append((key[0], key[1], "in" if one < two else "out", abs(two - one)))
+            last, latest = row.gy, max(latest, int(now * 1000))
+        state.update((last, one, two, given, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + FORGET_SECONDS * 1000)
+        yield pd.DataFrame(out, columns=["job_id", "track_id", "direction", "seconds"])
+
+    return points.groupBy("job_id", "track_id").applyInPandasWithState(
+        step, "job_id long, track_id long, direction string, seconds double", "last double, one double, two double, given boolean, latest long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def replacing_segments(crossings: DataFrame, path: str, marks: str) -> StreamingQuery:
+    """A query that reads all there is of the stream and replaces the segments that come in each batch, so a batch that is run again changes nothing."""
+    writer = crossings.writeStream.trigger(availableNow=True).option("checkpointLocation", marks)
+    return writer.foreachBatch(lambda batch, _: sinks.replace_segments(batch, path)).start()

@@ -225,3 +225,65 @@ def test_paired_directions(spark):
     r = lambda x, y: round(float(np.corrcoef(x, y)[0, 1]), 3)
     assert got == {(1, "a"): ("x", r((1, 5, 9, 2), (2, 6, 9, 3))), (1, "b"): ("y", r((9, 4, 1, 8), (8, 0, 0, 7))), (1, "c"): (None, None), (2, "e"): ("z", -2.0)}
     assert validate.paired_directions(ours.limit(0), hand).count() == 0
+
+
+def test_axle_sheet(spark):
+    from roadtally.operators import imports
+
+    def numbers(row, *values, col=0):
+        return [("b", row, col + i, None, float(v)) for i, v in enumerate(values) if v is not None]
+
+    def words(row, *values):
+        return [("b", row, i, v, None) for i, v in enumerate(values)]
+
+    table = lambda *ns: [*ns, *[0] * (13 - len(ns))]
+    speeds = lambda *ns: [*ns, *[0] * (16 - len(ns))]
+    cells = [
+        *words(0, "Classification Report"), *words(1, "Lane #2 Axle", " Data From: x"), *words(2, "Lane #2 Axle Data From: x"),
+        *numbers(3, 45292, 23 / 24, *table(1, 4), 5), *numbers(4, 0.0, *table(0, 3), 3), *numbers(5, 1 / 24, *table(9), 8),
+        *words(6, "Percent"), *numbers(6, 0.5, *table(1, 1), 2, col=1), *words(7, "Mon"), *numbers(7, 2 / 24, *table(0, 0, 2), 2, col=1),
+        *words(8, "Summary"), *numbers(9, 45292, 0.5, *table(7), 7),
+        *words(10, "Lane #1 Speed Data From: x"), *numbers(11, 45300, 0.25, *speeds(0, 6), 6), *words(12, None),
+    ]
+    df = spark.createDataFrame(cells, "book string, row int, col int, text string, number double")
+    got = {(r.kind, r.lane, str(r.date), r.minute, r.label): r.n for r in imports.axle_counts(df).where("n > 0").collect()}
+    assert got == {
+        ("clasificatorio", 2, "2024-01-01", 1380, "Cycle"): 1, ("clasificatorio", 2, "2024-01-01", 1380, "Cars"): 4, ("clasificatorio", 2, "2024-01-02", 0, "Cars"): 3,
+        ("clasificatorio", 2, "2024-01-02", 120, "2A-4T"): 2, ("velocidad", 1, "2024-01-09", 360, "32.2"): 6,
+    }
+    volume = [*words(0, "Volume Report"), *words(1, "Lane #1 Data From: x"), *numbers(2, 45292, 0.5, 3, 4, 5, 6, 18), *numbers(3, 13 / 24, 2, 1, 3)]
+    rows = imports.axle_counts(spark.createDataFrame(volume, df.schema)).collect()
+    assert {(r.kind, r.minute): r.n for r in rows} == {("volumen", 720): 3, ("volumen", 735): 4, ("volumen", 750): 5, ("volumen", 765): 6, ("volumen", 810): 2, ("volumen", 825): 1}
+    assert imports.axle_counts(df.limit(0)).count() == 0
+
+
+def test_assigned_paths(spark):
+    from roadtally.operators import trajectories
+
+    straight = [float(v) for k in range(32) for v in (0.0, 10.0 * k)]
+    across = [float(v) for k in range(32) for v in (10.0 * k, 0.0)]
+    beside = [float(v) for k in range(32) for v in (5.0, 10.0 * k)]
+    templates = spark.createDataFrame([(1, 1, 2, 20, straight), (1, 1, 3, 20, across), (2, 1, 2, 5, straight), (2, 1, 4, 5, beside)], "project_id long, origen_id long, destino_id long, n long, points array<double>")
+    ys = [20.0 * k for k in range(8)]
+    rows = [
+        (1, 10, [1.0] * 8, ys, 20.0), (1, 11, [1.0] * 8, ys[::-1], 20.0), (1, 12, [100.0] * 8, [100.0 + y for y in ys], 20.0), (1, 13, [1.0] * 2, [0.0, 20.0], 20.0),
+        (1, 14, None, None, 20.0), (1, 15, [], [], 20.0), (2, 16, [2.5] * 8, ys, 20.0), (3, 17, [1.0] * 8, ys, 20.0),
+    ]
+    paths = spark.createDataFrame(rows, "project_id long, id long, xs array<double>, ys array<double>, height double")
+    got = {r.id: (r.origen_id, r.destino_id, r.reason) for r in trajectories.assigned_paths(paths, templates).collect()}
+    none, open_ = (None, None, "sin plantilla"), (None, None, "ambiguo")
+    assert got == {10: (1, 2, "asignado"), 11: none, 12: none, 13: none, 14: none, 15: none, 16: open_, 17: none}
+    assert trajectories.assigned_paths(paths.limit(0), templates).count() == 0
+
+
+def test_piece_then_whole_in_order(spark):
+    from roadtally.operators import trajectories
+
+    box = (0.0, 0.0, 10.0, 10.0)
+    rows = [(1, 1, t, f, d, a, *box) for t, f, d, a in [(1, 0, "in", 50), (2, 5, "in", 8), (3, 12, "in", 8), (4, 14, "in", 50), (5, 15, "out", 3), (6, 30, "in", 3)]]
+    crossings = spark.createDataFrame(rows, "job_id long, lane_id long, track_id long, frame long, direction string, age int, x1 double, y1 double, x2 double, y2 double")
+    boxes = crossings.select("job_id", "track_id", "frame", "x1", "y1", "x2", "y2").limit(0)
+    got = {r.track_id for r in trajectories.piece_then_whole(crossings, boxes).collect()}
+    # 2 goes with 1; 3 follows 2 only, which was not counted; 4 is old, 5 goes the other way, 6 comes late
+    assert got == {1, 3, 4, 5, 6}
+    assert trajectories.piece_then_whole(crossings.limit(0), boxes).count() == 0
