@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtally.llm import discriminant, fingerprints, line_dedup, mixing, omh, packing, quality_rules, suffix_tree, toxicity, url_filters
+from roadtally.llm import collocations, discriminant, fingerprints, line_dedup, merkle, mixing, neighbours, omh, packing, quality_rules, suffix_tree, toxicity, url_filters
 from roadtally.llm.common import id_crc32, read_table
 
 
@@ -60,12 +60,25 @@ def op10_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_butterfly_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_bin_completion_packing, op2_quality_rules, op3_order_minhash, op4_quality_discriminant, op5_suffix_tree,
         op6_line_alignment, op7_toxicity_bigru, op8_source_mix, op9_syncmer_fingerprints, op10_url_digest_filter,
+        op11_stream_collocations, op12_butterfly_manifest, op13_collision_neighbours,
     )}
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_source_mix": mixing.ORACLE, "op10_url_digest_filter": url_filters.ORACLE}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_source_mix": mixing.ORACLE, "op10_url_digest_filter": url_filters.ORACLE, "op11_stream_collocations": collocations.ORACLE, "op12_butterfly_manifest": merkle.oracle_sql()}
