@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtally.llm.common import drop_written, partitions, written
+from roadtally.llm.common import partitions, written
 
 ORDER = 4
 LEAST, SHOWN, COVERED = 30, 2000, 80

@@ -12,8 +12,9 @@ nearer vector was verified with at least that probability. Nothing caps candidat
 
 The largest inner product is the least distance once each vector gets one more component, sqrt(M^2 - |x|^2) with M the
 block's largest norm, and queries get zero. Blocks hold vectors of one length whose norms differ by less than a factor of two,
-so M fits all of them. Each query meets every block once, in groups of bounded size; a block
-returns its k best, and Spark keeps the k best of all blocks.
+so M fits all of them. A query first widens its windows in its own block; its k-th score there is a floor, and in
+every other block the windows take at once the width that finds what reaches the floor. Each query meets every block once, in groups of
+bounded size; a block returns its k best, and Spark keeps the k best of all blocks.
 
 Defined results: null and zero vectors and those with null or non-finite components take no part; vectors are compared with those of
 their own length only; a row whose id is null is no query, but a candidate (after others of its score); of rows that repeat an id each is
@@ -69,8 +70,27 @@ class Block:
         self.order = np.argsort(places, 1, kind="stable")
         self.sorted = np.take_along_axis(places, self.order, 1)
 
+    def at_once(self, queries: np.ndarray, least: int, far: float, floors: np.ndarray):
+        """For each query the places and scores of vectors that reach its floor, from windows that are wide enough for it at once.
+
+        Windows that hold most of an array are counted by what they leave out."""
+        n, arrays = len(self.vectors), len(self.order)
+        middle, size = queries @ self.directions[:-1], (queries**2).sum(1)
+        half = far * np.sqrt(np.maximum(size + self.square - 2 * floors, 0.0))
+        edges = np.stack([np.searchsorted(self.sorted[i], np.stack([middle[:, i] - half, middle[:, i] + half])) for i in range(arrays)])
+        for q in range(len(queries)):
+            low, high = edges[:, 0, q].tolist(), edges[:, 1, q].tolist()
+            if 2 * (sum(high) - sum(low)) > n * arrays:
+                outside = np.concatenate([x for line, a, b in zip(self.order, low, high) for x in (line[:a], line[b:])])
+                over = np.flatnonzero(np.bincount(outside, minlength=n) <= arrays - least)
+            else:
+                over = np.flatnonzero(np.bincount(np.concatenate([line[a:b] for line, a, b in zip(self.order, low, high)]), minlength=n) >= least)
+            scores = (self.vectors[over] * queries[q]).sum(1)
+            good = scores >= floors[q]
+            yield over[good], scores[good]
+
     def search(self, queries: np.ndarray, k: int, least: int, far: float, skip: np.ndarray):
-        """For each query the places and scores of the k best vectors found (and of all that tie with the last). skip: the query's own place, or -1."""
+        """For each query the places and scores of the k best vectors found (and of all that tie with the last), from windows that widen until they are wide enough. skip: the query's own place, or -1."""
         n, arrays = len(self.vectors), len(self.order)
         spread = np.abs(self.sorted[:, [n // 4, 3 * n // 4]] - self.sorted[:, [n // 2]])
         first = max(float(np.median(spread)) / 2, 1e-300)
@@ -113,6 +133,7 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+FOUND_NAMES = ["query_row", "query_id", "vec_id", "score"]
 FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -129,30 +150,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, projections: int = PRO
     asked = rows.where("asks").groupBy("dim").agg(F.count("*").alias("n_asked"))
     sizes = sizes.join(asked, "dim").select("dim", "fold", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("n_asked") / GROUP).alias("groups"))
     spread = lambda of: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(of))
-    left = rows.join(sizes, ["dim", "fold"]).withColumn("block", spread("blocks"))
-    left = left.select("dim", "fold", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"), "row", "vec_id", "v")
-    cells = sizes.select("dim", "fold", "groups", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    right = rows.where("asks").select("dim", "row", "vec_id", "v").join(cells, "dim").withColumn("grp", spread("groups"))
-    right = right.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "fold", "block", "grp", "row", "vec_id", "v")])
+    dealt = rows.join(sizes, ["dim", "fold"]).withColumn("block", spread("blocks"))
 
     def look(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        """Queries of a group in a block: of their own block, or with the floor that they found there."""
         parts = []
         if mine.num_rows and theirs.num_rows:
-            own = mine.column("row").to_numpy()
+            own, asks = mine.column("row").to_numpy(), theirs.column("q_row").to_numpy()
+            ids, query_ids = mine.column("vec_id").combine_chunks(), theirs.column("q_vec_id").combine_chunks()
+            order = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).max, ids.fill_null(0).to_numpy())
+            block, queries = Block(_matrix(mine.column("v")), projections, seed), _matrix(theirs.column("q_v"))
+            floors = theirs.column("q_floor").to_pandas().to_numpy(float)
             by_row = np.argsort(own)
-            asks = theirs.column("q_row").to_numpy()
             at = np.minimum(np.searchsorted(own[by_row], asks), len(own) - 1)
             skip = np.where(own[by_row][at] == asks, by_row[at], -1)
-            ids, query_ids = mine.column("vec_id").combine_chunks(), theirs.column("q_vec_id").combine_chunks()
-            order = np.where(mine.column("vec_id").is_null().to_numpy(), np.iinfo(np.int64).max, mine.column("vec_id").fill_null(0).to_numpy())
-            block = Block(_matrix(mine.column("v")), projections, seed)
-            for q, (places, scores) in enumerate(block.search(_matrix(theirs.column("q_v")), k, least, far, skip)):
-                best = np.lexsort((order[places], -scores))[:k]
-                n = len(best)
-                parts.append(pa.table([pa.array(np.full(n, asks[q])), pa.repeat(query_ids[q], n), ids.take(pa.array(places[best])), pa.array(scores[best])], names=["query_row", "query_id", "vec_id", "score"]))
-        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["query_row", "query_id", "vec_id", "score"])
-
-    key = ["dim", "fold", "block", "grp"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*[f"q_{c}" for c in key])).applyInArrow(look, FOUND)
+            for known, some in ((False, np.flatnonzero(np.isnan(floors))), (True, np.flatnonzero(~np.isnan(floors)))):
+                results = block.at_once(queries[some], least, far, floors[some]) if known else block.search(queries[some], k, least, far, skip[some])
+                for q, (places, scores) in zip(some.tolist(), results):
+                    best = np.lexsort((order[places], -scores))[:k]
+                    n = len(best)
+                    parts.append(pa.table([pa.array(np.full(n, asks[q])), pa.repeat(query_ids[q], n), ids.take(pa.array(places[best])), pa.array(scores[best])], names=FOUND_NAMES))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=FOUND_NAMES)
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        key = ["dim", "fold", "block", "grp"]
+        right = right.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "row", "vec_id", "v", "floor")])
+        return left.select(*key, "row", "vec_id", "v").groupBy(*key).cogroup(right.groupBy(*[f"q_{c}" for c in key])).applyInArrow(look, FOUND)
+
+    none, zero = F.lit(None).cast("double").alias("floor"), F.lit(0).cast("long")
+    # first each query in its own block; its k-th score there is a floor for all other blocks
+    near = written(met(dealt.withColumn("grp", zero), dealt.where("asks").withColumn("grp", zero).withColumn("floor", none)), "near")
+    floors = near.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("score")).select(F.col("query_row").alias("row"), F.when(F.col("n") >= k, F.col("score")).alias("floor"))
+    cells = sizes.select("dim", F.col("fold").alias("to_fold"), "groups", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("to_block"))
+    asks = dealt.where("asks").select("dim", "fold", "block", "row", "vec_id", "v").join(floors, "row", "left").join(cells, "dim")
+    asks = asks.where("fold <> to_fold OR block <> to_block").withColumn("grp", spread("groups")).drop("fold", "block").withColumnsRenamed({"to_fold": "fold", "to_block": "block"})
+    copies = dealt.withColumn("grp", F.explode(F.sequence(zero, F.col("groups") - 1)))
+    found = near.unionByName(met(copies, asks))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
