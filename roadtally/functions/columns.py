@@ -16,6 +16,11 @@ def seconds(ts: Column) -> Column:
     return F.unix_timestamp(ts.cast("timestamp"))
 
 
+def exact_seconds(ts: Column) -> Column:
+    """Seconds of a zone-less time since 1970, with fractions."""
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
 def from_seconds(s: Column) -> Column:
     return F.timestamp_seconds(s).cast("timestamp_ntz")
 

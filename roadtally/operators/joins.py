@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtally.functions.columns import seconds
+from roadtally.functions.columns import exact_seconds
 
 
 def named_crossings(crossings: DataFrame, lanes: DataFrame, zones: DataFrame, cordon: DataFrame | None = None) -> DataFrame:
@@ -29,11 +29,20 @@ def latest_by_key(rows: DataFrame, key: str, *newest: str) -> DataFrame:
 
 
 def previous_segment(segments: DataFrame, reach: float = 1.0) -> DataFrame:
-    """(id, previous_id): the latest segment that starts no later and ends within a second of this one's start."""
-    order = Window.partitionBy("project_id").orderBy("start_ts", "id")
-    before = F.lag(F.struct("id", "end_ts")).over(order)
-    rows = segments.withColumn("before", before).where("before IS NOT NULL")
-    gap = seconds(F.col("start_ts")) - seconds(F.col("before.end_ts"))
+    """(id, previous_id): the latest other segment that starts no later and ends within a second of this one's start; of equal starts the greatest id.
+
+    Segments that start together are each other's previous ones. Starts and ends keep their fractions; null ones have no previous."""
+    by_start = Window.partitionBy("project_id").orderBy("start_ts")
+    by_id = Window.partitionBy("project_id", "start_ts").orderBy("id")
+    whole = by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct("id", "end_ts")
+    # of its own start the greatest other id; else the greatest id of the last start before
+    rows = segments.where("start_ts IS NOT NULL").withColumn("top", F.last(row).over(whole)).withColumn("near", F.lag(row).over(by_id))
+    earlier = rows.groupBy("project_id", "start_ts").agg(F.first("top").alias("top")).withColumn("earlier", F.lag("top").over(by_start)).select("project_id", "start_ts", "earlier")
+    rows = rows.join(earlier, ["project_id", "start_ts"])
+    before = F.when(F.col("top.id") != F.col("id"), F.col("top")).otherwise(F.coalesce("near", "earlier"))
+    rows = rows.withColumn("before", before).where("before IS NOT NULL")
+    gap = exact_seconds(F.col("start_ts")) - exact_seconds(F.col("before.end_ts"))
     return rows.where(F.abs(gap) <= reach).select("id", F.col("before.id").alias("previous_id"))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtally.functions.columns import seconds
+from roadtally.functions.columns import exact_seconds
 
 
 def touching(buckets: DataFrame, segments: DataFrame, minutes: int) -> DataFrame:
     """The intervals that overlap any of the segments; both sides are cut at hours, so the join is on the hour."""
-    a, b = seconds(F.col("start_ts")), seconds(F.col("end_ts"))
+    a, b = exact_seconds(F.col("start_ts")), exact_seconds(F.col("end_ts"))
     cut = segments.select("project_id", a.alias("a"), b.alias("b")).withColumn("hour", F.explode(F.sequence(F.floor(F.col("a") / 3600), F.floor(F.col("b") / 3600))))
     own = buckets.withColumn("until", F.col("bucket") + minutes * 60)
     own = own.withColumn("hour", F.explode(F.sequence(F.floor(F.col("bucket") / 3600), F.floor((F.col("until") - 1) / 3600))))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtally.operators import shapes
 from roadtally.operators.assign import FORBIDDEN, assign
 
 # Limits under which the counts were compared with hand counts.
@@ -53,102 +54,63 @@ def monotonic_clock(instants: DataFrame) -> DataFrame:
     return instants.groupBy("job_id").applyInPandas(run, "job_id long, frame long, at double")
 
 
-def minute_runs(files: DataFrame, drift: float = 1.5, most: int = 60, minute: float = 60.0) -> DataFrame:
-    """(project_id, id, run): consecutive minute files; a run ends when a file lies more than drift seconds from where
-    the run's start puts it, or when it is full."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "id"])
-        number, first, length, out = -1, 0.0, 0, []
-        for s in group["s"]:
-            if number < 0 or length >= most or abs(s - (first + minute * length)) > drift:
-                number, first, length = number + 1, s, 0
-            length += 1
-            out.append(number)
-        return pd.DataFrame({"project_id": group["project_id"], "id": group["id"], "run": out})
-
-    return files.groupBy("project_id").applyInPandas(run, "project_id long, id long, run int")
-
-
-def access_runs(frames: list[int], accesses: list[int | None], short: int = 15) -> tuple[int | None, int | None]:
-    """Origin and destination of a track: runs by access, with stays in the centre of under ``short`` frames between equal accesses merged.
-
-    The origin is the first access; the destination the last one reached after leaving it. A track that starts in
-    the centre and sees one access only has no origin, but if it also ends in the centre it has that origin and no destination."""
-    runs: list[list] = []
-    for f, a in zip(frames, accesses):
-        a = None if a is None or a != a else int(a)
-        if runs and runs[-1][0] == a:
-            runs[-1][2] = f
-        else:
-            runs.append([a, f, f])
-    k = 1
-    while k < len(runs) - 1:
-        a, lo, hi = runs[k]
-        if a is None and runs[k - 1][0] == runs[k + 1][0] and hi - lo < short:
-            runs[k - 1][2] = runs[k + 1][2]
-            del runs[k : k + 2]
-        else:
-            k += 1
-    seen = [r[0] for r in runs if r[0] is not None]
-    if not seen:
-        return None, None
-    if len(seen) == 1:
-        return (None, seen[0]) if runs[0][0] is None and runs[-1][0] is not None else (seen[0], None)
-    return seen[0], seen[-1]
-
-
-def origins_destinations(points: DataFrame) -> DataFrame:
-    """(job_id, track_id, origin, destination) from points with the access that each lies in (null: the centre)."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for track, own in group.sort_values("frame").groupby("track_id"):
-            rows.append((group["job_id"].iloc[0], track, *access_runs(own["frame"].tolist(), own["access"].tolist())))
-        out = pd.DataFrame(rows, columns=["job_id", "track_id", "origin", "destination"])
-        return out.astype({"origin": "Int64", "destination": "Int64"})
-
-    return points.groupBy("job_id").applyInPandas(run, "job_id long, track_id long, origin long, destination long")
-
-
-def resampled(x: np.ndarray, y: np.ndarray, n: int = TEMPLATE_POINTS, window: int = 5) -> np.ndarray:
-    """n points at equal distances along a path smoothed by a running median; none of an empty path."""
-    if not len(x):
-        return np.zeros((0, 2))
-    half = window // 2
-    smooth = [np.array([np.median(v[max(0, i - half) : i + half + 1]) for i in range(len(v))]) for v in (x, y)]
-    along = np.r_[0.0, np.cumsum(np.hypot(np.diff(smooth[0]), np.diff(smooth[1])))]
-    goal = np.linspace(0, along[-1], n)
-    return np.stack([np.interp(goal, along, v) for v in smooth], axis=1)
+def origins_destinations(points: DataFrame, short: int = 15) -> DataFrame:
+    """(job_id, track_id, origin, destination) from points (frame, access; null: the centre).
+
+    Points are put together as runs of one access; a stay in the centre of under ``short`` frames between runs of one access is left
+    out and joins them. The origin is the first access; the destination the last one reached after leaving it. A track that starts in
+    the centre and has one run only, at its end, has no origin. Windows are of single tracks."""
+    own = Window.partitionBy("job_id", "track_id")
+    begins = lambda order: F.coalesce(~F.col("access").eqNullSafe(F.lag("access").over(order)), F.lit(True)) | (F.row_number().over(order) == 1)
+    by_frame = own.orderBy("frame")
+    marked = points.select("job_id", "track_id", "frame", F.col("access").cast("long").alias("access")).withColumn("new", begins(by_frame).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(by_frame)).groupBy("job_id", "track_id", "run", "access").agg(F.min("frame").alias("low"), F.max("frame").alias("high"))
+    by_run = own.orderBy("run")
+    back = F.col("access").isNull() & (F.lag("access").over(by_run) == F.lead("access").over(by_run)) & (F.col("high") - F.col("low") < short)
+    stays = runs.withColumn("back", F.coalesce(back, F.lit(False))).where("NOT back")
+    stays = stays.withColumn("new", begins(by_run)).where("new")
+    at = F.struct("run", "access")
+    sums = stays.groupBy("job_id", "track_id").agg(F.count("access").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.min(F.when(F.col("access").isNotNull(), at)).alias("one"), F.max(F.when(F.col("access").isNotNull(), at)).alias("other"))
+    late = (F.col("n") == 1) & F.col("first.access").isNull() & F.col("last.access").isNotNull()
+    several = F.col("n") > 1
+    return sums.select("job_id", "track_id", F.when(~late, F.col("one.access")).alias("origin"), F.when(late | several, F.col("other.access")).alias("destination"))
 
 
 def movement_templates(paths: DataFrame) -> DataFrame:
     """(project_id, origen_id, destino_id, n, seconds, ending, example, medoid, points): typical paths of each movement with three whole ones.
 
     n, the median duration and the share of paths whose last point lies in the destination are of all paths. The first 150 by
-    id, ranked by Spark, are resampled and compared: the mean distance of two paths is taken in their mean height. The tenth with
-    the greatest mean distance to all is left out; the medoid is the first example, others are picked
-    farthest first while they stand .25 heights apart. Null and empty paths are left out.
-    paths: project_id, origen_id, destino_id, id, xs, ys, height, seconds, inside."""
+    id, ranked by Spark, are resampled and compared: the mean distance of two paths, each pair of points in its own mean height. Paths
+    whose mean distance to all is over the 90th percentile are left out; the medoid is the first example, others are picked
+    farthest first while they stand .25 heights apart. Null and empty paths, those of one point and of no length are left out.
+    paths: project_id, origen_id, destino_id, id, xs, ys, hs (or one height), seconds, inside."""
     key = ["project_id", "origen_id", "destino_id"]
-    whole = paths.where("size(xs) > 0 AND size(xs) = size(ys)")
+    whole = shapes.with_heights(paths)
+    whole = whole.where(shapes.has_length(F.col("xs"), F.col("ys")) & (F.size("hs") == F.size("xs")))
     sums = whole.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("seconds", 0.5).alias("seconds"), F.avg(F.col("inside").cast("double")).alias("ending")).where(F.col("n") >= TEMPLATE_LEAST)
     kept = whole.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("k") <= TEMPLATE_KEPT)
+    kept = kept.withColumn("p", shapes.resampled(F.col("xs"), F.col("ys"), F.col("hs"), TEMPLATE_POINTS))
+    kept = kept.select(*[F.col(c).cast("long").alias(c) for c in (*key, "id")], "p.x", "p.y", "p.h")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group.sort_values("id")
-        lines = np.stack([resampled(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(own["xs"], own["ys"])])
-        height = np.maximum(own["height"].to_numpy(float), 1.0)
-        gaps = np.sqrt(((lines[:, None] - lines[None]) ** 2).sum(axis=3)).mean(axis=2) / (np.add.outer(height, height) / 2)
-        keep = np.argsort(gaps.mean(axis=1), kind="stable")[: max(1, int(np.ceil(len(own) * (1 - TEMPLATE_DROP))))]
-        chosen = [int(keep[0])]
-        while len(chosen) < TEMPLATE_EXAMPLES:
+        x, y, h = (np.stack(own[c]) for c in ("x", "y", "h"))
+        gaps = np.zeros((len(own), len(own)))
+        for place in range(x.shape[1]):
+            scale = np.maximum(np.add.outer(h[:, place], h[:, place]) / 2, 1.0)
+            gaps += np.hypot(np.subtract.outer(x[:, place], x[:, place]), np.subtract.outer(y[:, place], y[:, place])) / scale
+        gaps /= x.shape[1]
+        usual = gaps.mean(axis=1)
+        keep = np.nonzero(usual <= np.quantile(usual, 1 - TEMPLATE_DROP))[0]
+        chosen = [int(usual.argmin())]
+        while len(chosen) < min(TEMPLATE_EXAMPLES, len(keep)):
             apart = gaps[np.ix_(keep, chosen)].min(axis=1)
             if apart.max() < TEMPLATE_APART:
                 break
             chosen.append(int(keep[apart.argmax()]))
         first, ids = own.iloc[0], own["id"].to_numpy()
-        rows = [(*(first[c] for c in key), int(ids[c]), c == chosen[0], lines[c].reshape(-1).tolist()) for c in chosen]
+        lines = np.stack([x, y], axis=2).reshape(len(own), -1)
+        rows = [(*(first[c] for c in key), int(ids[c]), c == chosen[0], lines[c].tolist()) for c in chosen]
         return pd.DataFrame(rows, columns=[*key, "example", "medoid", "points"])
 
     examples = kept.join(sums.select(*key), key).groupBy(*key).applyInPandas(run, "project_id long, origen_id long, destino_id long, example long, medoid boolean, points array<double>")
@@ -299,47 +261,3 @@ def class_by_vote(points: DataFrame, by: str = "confidence") -> DataFrame:
     weight = F.sum("confidence") if by == "confidence" else F.count("*").cast("double")
     votes = points.groupBy("job_id", "track_id", "class_name").agg(F.round(weight, 9).alias("w"))
     return votes.groupBy("job_id", "track_id").agg(F.min_by("class_name", F.struct(-F.col("w"), "class_name")).alias("class_name"))
-
-
-def fragment_candidates(ends: DataFrame, starts: DataFrame, gap: float, tolerance: float) -> DataFrame:
-    """(job_id, a, b, cost): later pieces b that may go on with piece a.
-
-    ends: job_id, track_id, t, x, y, vx, vy, h of pieces without a destination. starts: job_id, track_id, t, x, y, h.
-    Times are cut into steps of ``gap``, so a piece meets only the starts of its own step and the next."""
-    cut = ends.withColumn("step", F.explode(F.array(F.floor(F.col("t") / gap), F.floor(F.col("t") / gap) + 1)))
-    later = starts.select("job_id", F.floor(F.col("t") / gap).alias("step"), *[F.col(c).alias(f"b_{c}") for c in ("track_id", "t", "x", "y", "h")])
-    both = cut.join(later, ["job_id", "step"]).withColumn("dt", F.col("b_t") - F.col("t")).where((F.col("dt") > 0) & (F.col("dt") <= gap) & (F.col("track_id") != F.col("b_track_id")))
-    ratio = F.col("b_h") / F.col("h")
-    speed = F.hypot("vx", "vy")
-    away = F.least(F.hypot(F.col("x") + F.col("vx") * F.col("dt") - F.col("b_x"), F.col("y") + F.col("vy") * F.col("dt") - F.col("b_y")), F.hypot(F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y")))
-    limit = tolerance * F.col("h") + 0.5 * speed * F.col("dt")
-    good = both.where(ratio.between(0.5, 2.0) & (away <= limit))
-    return good.select("job_id", F.col("track_id").alias("a"), F.col("b_track_id").alias("b"), (away / limit + 0.5 * F.col("dt") / gap).alias("cost"))
-
-
-def join_fragments(candidates: DataFrame) -> DataFrame:
-    """(job_id, a, b): the assignment of least cost in each video, solved on each connected part of its candidates."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(set(group["a"])), sorted(set(group["b"]))
-        ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-        part = list(range(len(a) + len(b)))
-
-        def find(x: int) -> int:
-            while part[x] != x:
-                part[x] = part[part[x]]
-                x = part[x]
-            return x
-
-        for x, y in zip(group["a"], group["b"]):
-            part[find(ia[x])] = find(len(a) + ib[y])
-        rows = []
-        for _, own in group.groupby([find(ia[x]) for x in group["a"]]):
-            left, right = sorted(set(own["a"])), sorted(set(own["b"]))
-            cost = np.full((len(left), len(right)), FORBIDDEN)
-            for x, y, c in zip(own["a"], own["b"], own["cost"]):
-                cost[left.index(x), right.index(y)] = c
-            rows += [(group["job_id"].iloc[0], left[i], right[j]) for i, j in assign(cost)]
-        return pd.DataFrame(rows, columns=["job_id", "a", "b"])
-
-    return candidates.groupBy("job_id").applyInPandas(run, "job_id long, a long, b long")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtally.operators import geometry, tracks
+from roadtally.operators import geometry, shapes, tracks
 
 # Limits under which the counts were compared with hand counts.
 YOUNG, PIECE_FRAMES, PIECE_SHARE = 20, 9, 0.7
 LINE_MOVED, ACCESS_MOVED = 0.5, 2.0
 APART, SPREAD, POSTERIOR, COVERED, FORWARD, BACKWARD = 1.0, 0.5, 0.9, 0.25, 0.8, -0.02
-PIECE_POINTS = 16
+KEYS = ["project_id", "id", "origen_id", "destino_id", "n"]
+PIECE_POINTS, SECOND_POINTS, SECOND_NEAR = 16, 5, 1.0
 
 
 def piece_then_whole(crossings: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -78,14 +80,16 @@ def compared_methods(one: DataFrame, other: DataFrame) -> DataFrame:
     )
 
 
-def segment_movements(points: DataFrame, chains: DataFrame) -> DataFrame:
-    """(job_id, track_id, origin, destination, first_frame, last_frame, class_name, height, confidence, pieces, complete) of each whole path.
+def segment_movements(points: DataFrame, chains: DataFrame, fps: Column | float = 15.0) -> DataFrame:
+    """(job_id, track_id, origin, destination, first_frame, last_frame, class_name, height, confidence, pieces, complete, path) of each whole path.
 
     points: job_id, track_id, frame, gx, gy, x1, y1, x2, y2, class_name, confidence, access (null: the centre). Pieces that
     never get two box heights away from their start are left out before they are joined. A path that saw no access is no
     movement; an incomplete one must have moved as a whole. The class has most frames (ties: by name); the height is the upper
-    median of the boxes in the origin, of all boxes without one.
+    median of the boxes in the origin, of all boxes without one. path is stored as ``shapes.STORED``. chains: as
+    ``fragments.chains_of_points`` gives them.
     """
+    fps = fps if isinstance(fps, Column) else F.lit(float(fps))
     alive = geometry.moved(points, ACCESS_MOVED).where("moved").select("job_id", "track_id")
     own = chained(points.join(alive, ["job_id", "track_id"]), chains)
     ends = tracks.origins_destinations(own.select(F.col("job_id").cast("long").alias("job_id"), F.col("track_id").cast("long").alias("track_id"), "frame", "access")).where("origin IS NOT NULL OR destination IS NOT NULL")
@@ -95,72 +99,79 @@ def segment_movements(points: DataFrame, chains: DataFrame) -> DataFrame:
     median = lambda hs: F.get(hs, F.floor(F.size(hs) / 2).cast("int"))
     inside, every = F.array_sort(F.collect_list(F.when(F.col("access") == F.col("origin"), h))), F.array_sort(F.collect_list(h))
     sums = own.join(ends, ["job_id", "track_id"]).groupBy("job_id", "track_id", "origin", "destination").agg(
-        F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), inside.alias("hs"), every.alias("all"), F.round(F.avg("confidence"), 3).alias("confidence"), F.count_distinct("piece").alias("pieces")
-    )
+        F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), inside.alias("hs"), every.alias("all"), F.round(F.avg("confidence"), 3).alias("confidence"), F.count_distinct("piece").alias("pieces"),
+        F.array_sort(F.collect_list(F.struct("frame", F.col("gx").alias("x"), F.col("gy").alias("y"), h.alias("h"), "access"))).alias("ps"),
+    )
     whole = F.col("origin").isNotNull() & F.col("destination").isNotNull()
     out = sums.join(far, ["job_id", "track_id"]).where(whole | F.col("moved")).join(klass, ["job_id", "track_id"])
     height = F.when(F.size("hs") > 0, median(F.col("hs"))).otherwise(median(F.col("all")))
-    return out.select("job_id", "track_id", "origin", "destination", "first_frame", "last_frame", "class_name", height.cast("int").alias("height"), "confidence", "pieces", whole.alias("complete"))
+    return out.select("job_id", "track_id", "origin", "destination", "first_frame", "last_frame", "class_name", height.cast("int").alias("height"), "confidence", "pieces", whole.alias("complete"), shapes.packed(F.col("ps"), fps, F.element_at("ps", -1)["access"] == F.col("destination")).alias("path"))
 
 
 def resampled_paths(paths: DataFrame, n: int = tracks.TEMPLATE_POINTS) -> DataFrame:
     """(job_id, track_id, place, x, y): n points at equal distances along each path (job_id, track_id, xs, ys), smoothed by a running median of five.
 
-    Null, empty and unequal arrays give no rows."""
+    Paths of two to four points are not smoothed. Null, empty and unequal arrays, single points and paths of no length give no rows."""
+    own = paths.select("job_id", "track_id", shapes.resampled(F.col("xs"), F.col("ys"), F.col("ys"), n).alias("p")).where("p IS NOT NULL")
+    rows = own.select("job_id", "track_id", F.posexplode("p").alias("place", "q"))
+    return rows.select(F.col("job_id").cast("long"), F.col("track_id").cast("long"), "place", "q.x", "q.y")
 
-    def run(batches):
-        for batch in batches:
-            parts = [(j, t, *tracks.resampled(np.asarray(x, float), np.asarray(y, float), n).T) for j, t, x, y in zip(batch["job_id"], batch["track_id"], batch["xs"], batch["ys"])]
-            if parts:
-                j, t, x, y = zip(*parts)
-                yield pd.DataFrame({"job_id": np.repeat(j, n), "track_id": np.repeat(t, n), "place": np.tile(np.arange(n), len(j)), "x": np.concatenate(x), "y": np.concatenate(y)})
 
-    whole = paths.where("size(xs) > 0 AND size(xs) = size(ys)").select(F.col("job_id").cast("long").alias("job_id"), F.col("track_id").cast("long").alias("track_id"), "xs", "ys")
-    return whole.mapInPandas(run, "job_id long, track_id long, place int, x double, y double")
+def nearest_places(lines: tuple[np.ndarray, np.ndarray], points: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For many lines (a row each: x and y of its points) and the points that belong to each, how far every point is from its line and what share of the line lies before the nearest place.
+
+    The legs are walked one by one, for all lines and points at once; the first of equally near legs counts, and a leg of no length is the place where it stands."""
+    (lx, ly), (px, py) = lines, points
+    best, way, done = np.full(px.shape, np.inf), np.zeros(px.shape), np.zeros((len(lx), 1))
+    for k in range(lx.shape[1] - 1):
+        sx, sy = lx[:, k, None], ly[:, k, None]
+        ex, ey = lx[:, k + 1, None] - sx, ly[:, k + 1, None] - sy
+        long = np.hypot(ex, ey)
+        ex, ey = (np.divide(e, long, out=np.zeros_like(e), where=long > 0) for e in (ex, ey))
+        foot = np.minimum(np.maximum((px - sx) * ex + (py - sy) * ey, 0.0), long)
+        gap = np.hypot(px - sx - foot * ex, py - sy - foot * ey)
+        nearer = gap < best
+        best, way = np.where(nearer, gap, best), np.where(nearer, done + foot, way)
+        done = done + long
+    return best, way / np.maximum(done, 1e-9)
+
 
+def fitted(paths: DataFrame, templates: DataFrame) -> DataFrame:
+    """(project_id, id, origen_id, destino_id, n, apart, first, last, forward): every path (project_id, id, p: equally many points x, y, h of each) held against
+    the examples of every movement of its site: separation in heights, first and last place along the example, share of steps that go forward.
+
+    The nearest example (least separation) stands for the movement: one row for each path and movement.
+    templates: project_id, origen_id, destino_id, n, points (x and y in turn, equally many of each)."""
+    lines = templates.select("project_id", *[F.col(c).cast("long").alias(c) for c in ("origen_id", "destino_id", "n")], F.col("points").cast("array<double>").alias("points"))
+    both = paths.select("project_id", "id", "p.x", "p.y", "p.h").join(lines, "project_id")
+
+    def measure(batches):
+        for batch in batches:
+            of = lambda name: np.asarray(batch.column(name).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+            x, y, h, line = of("x"), of("y"), of("h"), of("points")
+            gap, way = nearest_places((line[:, ::2], line[:, 1::2]), (x, y))
+            out = [(gap / np.maximum(h, 1.0)).max(axis=1), way[:, 0], way[:, -1], (np.diff(way, axis=1) >= BACKWARD).mean(axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in KEYS] + [pa.array(v) for v in out], names=[*KEYS, "apart", "first", "last", "forward"])
 
-def _along(line: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each point from a line of points, and how far along it (0 to 1) the nearest place is."""
-    leg = np.diff(line, axis=0)
-    square = np.maximum((leg**2).sum(axis=1), 1e-9)
-    share = np.clip(np.einsum("psk,sk->ps", points[:, None] - line[None, :-1], leg) / square, 0, 1)
-    gap = np.linalg.norm(points[:, None] - (line[None, :-1] + share[..., None] * leg), axis=2)
-    near, row = gap.argmin(axis=1), np.arange(len(points))
-    length = np.sqrt((leg**2).sum(axis=1))
-    done = (np.cumsum(length) - length)[near] + share[row, near] * length[near]
-    return gap[row, near], done / max(length.sum(), 1e-9)
+    both = both.select(F.col("project_id").cast("long"), F.col("id").cast("long"), "origen_id", "destino_id", "n", "x", "y", "h", "points")
+    measured = both.mapInArrow(measure, ", ".join(f"{c} long" for c in KEYS) + ", apart double, first double, last double, forward double")
+    best = measured.groupBy(*KEYS).agg(F.min(F.struct("apart", "first", "last", "forward")).alias("m"))
+    return best.select(*KEYS, "m.*")
 
 
 def assigned_paths(paths: DataFrame, templates: DataFrame) -> DataFrame:
     """(project_id, id, origen_id, destino_id, reason) of each incomplete path: the movement whose template it fits, or why none.
 
-    paths: project_id, id, xs, ys, height. templates: project_id, origen_id, destino_id, n, points (x and y in turn), as
-    ``tracks.movement_templates`` gives: at most twelve a movement. A path fits an example if no point of it lies more than one
-    height away, it covers a quarter and four fifths of its steps go forward; the nearest example stands for the movement. Movements weigh
+    paths: project_id, id, xs, ys and hs (or one height). templates: project_id, origen_id, destino_id, n, points (x and y in turn), as
+    ``tracks.movement_templates`` gives: at most twelve a movement. A path fits an example if no point of it lies more than one of its
+    heights away, it covers a quarter and four fifths of its steps go forward; the nearest example stands for the movement. Movements weigh
     exp(-(gap / .5)^2 / 2) (n + 1); the greatest must have nine tenths of all weight, else the path is ambiguous.
-    Paths without points and sites without templates: sin plantilla.
+    Paths of under two points or no length, and sites without templates: sin plantilla.
     """
-    key = ["project_id", "origen_id", "destino_id"]
-    own = paths.select("project_id", "id", "xs", "ys", F.col("height").cast("double").alias("height"))
-    # a row for each path and movement of its site; examples travel as one short array
-    examples = templates.groupBy(*key).agg(F.first("n").alias("n"), F.collect_list("points").alias("examples"))
-    both = own.where("size(xs) > 1 AND size(xs) = size(ys)").join(examples, "project_id")
-
-    def measure(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                points, best = tracks.resampled(np.asarray(r.xs, float), np.asarray(r.ys, float), PIECE_POINTS), None
-                for e in r.examples:
-                    gap, at = _along(np.asarray(e, float).reshape(-1, 2), points)
-                    apart = float(gap.max() / max(r.height, 1.0))
-                    if best is None or apart < best[0]:
-                        best = (apart, float(at[-1] - at[0]), float((np.diff(at) >= BACKWARD).mean()))
-                if best[0] <= APART and best[1] >= COVERED and best[2] >= FORWARD:
-                    rows.append((r.project_id, r.id, r.origen_id, r.destino_id, float(np.exp(-0.5 * (best[0] / SPREAD) ** 2) * (r.n + 1))))
-            yield pd.DataFrame(rows, columns=["project_id", "id", "origen_id", "destino_id", "weight"])
-
-    fits = both.mapInPandas(measure, "project_id long, id long, origen_id long, destino_id long, weight double")
+    own = shapes.with_heights(paths).select("project_id", "id", shapes.resampled(F.col("xs"), F.col("ys"), F.col("hs"), PIECE_POINTS).alias("p"))
+    measured = fitted(own.where("p IS NOT NULL"), templates)
+    fits = measured.where((F.col("apart") <= APART) & (F.col("last") - F.col("first") >= COVERED) & (F.col("forward") >= FORWARD))
+    fits = fits.withColumn("weight", F.exp(-0.5 * F.pow(F.col("apart") / SPREAD, F.lit(2))) * (F.col("n") + 1))
     best = fits.groupBy("project_id", "id").agg(F.max_by(F.struct("origen_id", "destino_id"), F.struct("weight", -F.col("origen_id"), -F.col("destino_id"))).alias("m"), (F.max("weight") / F.sum("weight")).alias("share"))
     out = own.select("project_id", "id").join(best, ["project_id", "id"], "left")
     good = F.col("share") >= POSTERIOR
@@ -168,6 +179,29 @@ def assigned_paths(paths: DataFrame, templates: DataFrame) -> DataFrame:
     return out.select("project_id", "id", F.when(good, F.col("m.origen_id")).alias("origen_id"), F.when(good, F.col("m.destino_id")).alias("destino_id"), reason.alias("reason"))
 
 
+def second_boxes(pieces: DataFrame, wholes: DataFrame, step: float = 10.0) -> DataFrame:
+    """(job_id, id) of the pieces that are a second box of a whole vehicle of their movement: of the piece's points in the whole one's time,
+    five or more, half lie within one height of where the whole one was.
+
+    Both: job_id, id, origen_id, destino_id, path (as stored: t, x, y, h). Time is cut into steps, and paths meet in the first
+    step that both are in, so a piece is held against the paths of its own seconds only. Null and empty paths are no second boxes."""
+    key = ["job_id", "origen_id", "destino_id"]
+
+    def timed(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.where("size(path.t) > 0").select(*key, F.col("id").alias(f"{name}_id"), F.col("path").alias(name))
+        low, high = F.floor(F.get(f"{name}.t", F.lit(0)) / step), F.floor(F.element_at(f"{name}.t", -1) / step)
+        return own.withColumn(f"{name}_low", low).withColumn("step", F.explode(F.sequence(low, high)))
+
+    both = timed(pieces, "p").join(timed(wholes, "w"), [*key, "step"]).where("step = greatest(p_low, w_low) AND p_id <> w_id")
+    both = both.where((F.get("w.t", F.lit(0)) <= F.element_at("p.t", -1)) & (F.element_at("w.t", -1) >= F.get("p.t", F.lit(0))))
+    inside = F.filter(F.arrays_zip("p.t", "p.x", "p.y"), lambda q: q["t"].between(F.get("w.t", F.lit(0)), F.element_at("w.t", -1)))
+    both = both.select("job_id", "p_id", "w", inside.alias("seen"))
+    then = shapes.between(F.col("w.t"), {c: F.col(f"w.{c}") for c in "xyh"}, F.col("seen.t"))
+    gaps = F.zip_with("seen", then, lambda q, w: F.hypot(q["x"] - w["x"], q["y"] - w["y"]) / F.greatest(w["h"], F.lit(1.0)))
+    near = both.select("job_id", F.col("p_id").alias("id"), gaps.alias("gaps"))
+    return near.where((F.size("gaps") >= SECOND_POINTS) & (shapes.middle(F.col("gaps")) <= SECOND_NEAR)).select("job_id", "id").distinct()
+
+
 def row_fates(movements: DataFrame, vehicles: DataFrame, undecided: DataFrame) -> DataFrame:
     """(id, counts, origen_id, destino_id, how) of every movement row (id, project_id, origen_id, destino_id, traced).
 

@@ -95,7 +95,7 @@ jobs AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(hidx * 3600) AS
 
 def oracle(select: str, *more: str) -> str:
     """SQL for DuckDB: the fixtures, further table expressions and the final select."""
-    return "WITH " + ",\n".join([BLOCK, DIMENSIONS, SEGMENT_TIMES, *more]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([BLOCK, DIMENSIONS, SEGMENT_TIMES, *more]) + "\n" + select
 
 
 class Fixtures:

@@ -8,7 +8,7 @@ from roadtally.functions import columns as C
 from roadtally.operators import imports, validate
 from roadtally.plans.counts import STAMP
 from roadtally.plans.fixtures import Fixtures, oracle
-from roadtally.sources import sinks
+from roadtally.sources import segments, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,9 +72,9 @@ def _(fx):
 def _(fx):
     """All segments are written; every fifth is then counted again, if it has a row of even id, and finds only those."""
     place = sinks.shared_place(fx.spark, "segments")
-    sinks.replace_segments(fx.crossings, place)
-    sinks.replace_segments(fx.crossings.where("hidx % 5 = 0 AND id % 2 = 0"), place)
-    return fx.spark.read.parquet(place).groupBy("job_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    segments.replace_segments(fx.crossings, place)
+    segments.replace_segments(fx.crossings.where("hidx % 5 = 0 AND id % 2 = 0"), place)
+    return segments.read_segments(fx.spark, place).groupBy("job_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtally.functions import columns as C
-from roadtally.operators import classify, intervals, peaks, tracks
+from roadtally.operators import classify, fragments, intervals, peaks, regions, runs, tracks
 from roadtally.plans.counts import CLASSES, COUNTS, COVERED, HOURS, MERGED, RANGES, SCALES, STAMP, counts_of, shown
 from roadtally.plans.fixtures import Fixtures, oracle
-from roadtally.plans.measures import boxes, ground
+from roadtally.plans.measures import GROUND, boxes, ground
 from roadtally.sources import files, sinks
 
 QUERIES, ORACLES = {}, {}
@@ -41,16 +41,44 @@ def _(fx):
     return tracks.class_by_vote(rows)
 
 
-@query("q123_minute_runs")
+#: Sites of 2000 files that last about a minute; their clock loses .9 s every 37 files, and every 211th file can't be read.
+FILES = """
+files AS (SELECT id // 2000 AS project_id, id, round(id % 2000 * 60.0e0 + id % 2000 // 37 * 0.9e0 + id * 13 % 4 * 0.3e0, 6) AS s, CASE WHEN id % 211 = 5 THEN NULL WHEN id % 499 = 7 THEN 4000.0e0 ELSE 60 + (id % 5 - 2) * 0.1e0 END AS duration FROM crossings WHERE id < 1000000000),
+placed AS (SELECT *, row_number() OVER w AS pos, round(coalesce(sum(duration) OVER (PARTITION BY project_id ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS p, count(*) FILTER (duration IS NULL) OVER w AS block FROM files WINDOW w AS (PARTITION BY project_id ORDER BY s, id)),
+usable AS (SELECT *, round(s - p, 6) AS d FROM placed WHERE duration IS NOT NULL),
+jumps AS (SELECT a.project_id, a.pos, min(b.pos) AS next FROM usable a JOIN usable b ON a.project_id = b.project_id AND a.block = b.block AND b.pos > a.pos AND (b.p >= a.p + 3600 OR abs(b.d - a.d) > 1.5) GROUP BY ALL),
+starts AS (SELECT project_id, min(pos) AS pos FROM usable GROUP BY project_id, block UNION SELECT j.project_id, j.next FROM starts s JOIN jumps j ON j.project_id = s.project_id AND j.pos = s.pos)"""
+
+
+@query("q123_minute_runs", "SELECT u.project_id, u.id, CAST(count(s.pos) OVER (PARTITION BY u.project_id ORDER BY u.pos) - 1 AS INTEGER) AS run FROM usable u LEFT JOIN starts s ON s.project_id = u.project_id AND s.pos = u.pos", FILES)
 def _(fx):
-    rows = fx.crossings.select("project_id", "id", (F.col("hidx") * 3600 + F.floor(F.col("cuadro") / 20 / 60) * 60).cast("double").alias("s")).dropDuplicates(["project_id", "s"])
-    return tracks.minute_runs(rows.select(F.col("project_id").cast("long"), F.col("id").cast("long"), "s"))
+    k, i = F.col("id") % 2000, F.col("id")
+    start = F.round(k * 60.0 + F.floor(k / 37) * 0.9 + i * 13 % 4 * 0.3, 6)
+    length = F.when(i % 211 == 5, None).when(i % 499 == 7, 4000.0).otherwise(60 + (i % 5 - 2) * 0.1)
+    rows = fx.crossings.where("id < 1000000000").select(F.floor(i / 2000).alias("project_id"), "id", start.alias("s"), length.alias("duration"))
+    return runs.minute_runs(rows)
+
 
+#: Every third track turns back into its first access; steps are one or nine frames long, and single points fall out of their access.
+SEEN = """
+seen AS (SELECT job_id, track_id, frame * CASE WHEN track_id % 2 = 0 THEN 1 ELSE 9 END AS frame,
+  CASE WHEN (track_id + frame) % 4 = 0 THEN NULL WHEN gy < 920 THEN 1 WHEN gy > 1020 THEN CASE WHEN track_id % 3 = 0 THEN 1 ELSE 2 END END AS access FROM ground)"""
 
-@query("q124_origins_destinations")
+
+@query(
+    "q124_origins_destinations",
+    """SELECT job_id, track_id, CASE WHEN n = 1 AND a IS NULL AND z IS NOT NULL THEN NULL ELSE one END AS origin, CASE WHEN n > 1 OR (n = 1 AND a IS NULL AND z IS NOT NULL) THEN other END AS destination FROM
+       (SELECT job_id, track_id, count(access) AS n, list(access ORDER BY run)[1] AS a, list(access ORDER BY run)[-1] AS z, arg_min(access, run) AS one, arg_max(access, run) AS other FROM
+         (SELECT *, access IS DISTINCT FROM lag(access) OVER w OR row_number() OVER w = 1 AS new FROM stays WINDOW w AS (PARTITION BY job_id, track_id ORDER BY run)) WHERE new GROUP BY ALL)""",
+    GROUND, SEEN,
+    """runs AS (SELECT job_id, track_id, run, access, min(frame) AS low, max(frame) AS high FROM (SELECT *, sum(new) OVER (PARTITION BY job_id, track_id ORDER BY frame) AS run FROM
+       (SELECT *, CASE WHEN access IS DISTINCT FROM lag(access) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM seen WINDOW w AS (PARTITION BY job_id, track_id ORDER BY frame))) GROUP BY ALL)""",
+    """stays AS (SELECT * FROM (SELECT *, lag(access) OVER w AS before, lead(access) OVER w AS after FROM runs WINDOW w AS (PARTITION BY job_id, track_id ORDER BY run)) WHERE NOT coalesce(access IS NULL AND before = after AND high - low < 15, false))""",
+)
 def _(fx):
-    access = F.when(F.col("gy") < 920, 1).when(F.col("gy") > 1020, 2)
-    return tracks.origins_destinations(ground(fx).select(F.col("job_id").cast("long"), F.col("track_id").cast("long"), "frame", access.alias("access")))
+    access = F.when((F.col("track_id") + F.col("frame")) % 4 == 0, None).when(F.col("gy") < 920, 1).when(F.col("gy") > 1020, F.when(F.col("track_id") % 3 == 0, 1).otherwise(2))
+    frame = F.col("frame") * F.when(F.col("track_id") % 2 == 0, 1).otherwise(9)
+    return tracks.origins_destinations(ground(fx).select("job_id", "track_id", frame.alias("frame"), access.alias("access")))
 
 
 @query("q125_monotonic_clock")
@@ -59,16 +87,49 @@ def _(fx):
     return tracks.monotonic_clock(rows).withColumn("at", F.round("at", 6))
 
 
-@query("q148_joined_fragments")
+LATE = 7_000_000_000  # added to the track of a path's second piece
+
+#: Tracks cut after their fifth point; every fifth of them stood still before and comes back two seconds later.
+CUT = f"""
+cut AS (SELECT job_id, CASE WHEN k <= 5 THEN track_id ELSE track_id + {LATE} END AS track_id, CASE WHEN k > 5 AND track_id % 5 = 0 THEN frame + 40 ELSE frame END AS frame, gx, CASE WHEN k <= 5 AND track_id % 5 = 0 THEN 960.0e0 ELSE gy END AS gy, y2 - y1 AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_id, track_id ORDER BY frame) AS k FROM ground)),
+ends AS (SELECT job_id, track_id, max(h) AS h, min(frame) AS f0, max(frame) AS f1, any_value(gx) AS x, arg_min(gy, frame) AS y0, arg_max(gy, frame) AS y1, (arg_max(gy, frame) - arg_min(gy, frame)) / 4.0e0 AS v FROM cut GROUP BY ALL),
+pairs AS (SELECT a.job_id, a.track_id AS a, b.track_id AS b, b.f0 - a.f1 AS dt, abs(a.v) * 20 <= 0.15 * a.h AS standing, greatest(a.h, b.h, 1) AS scale, a.v AS va, b.v AS vb,
+    sqrt((b.x - a.x) ** 2 + (b.y0 - a.y1) ** 2) AS stayed, sqrt((b.x - a.x) ** 2 + (b.y0 - a.y1 - a.v * (b.f0 - a.f1)) ** 2) AS meant
+  FROM ends a JOIN ends b ON a.job_id = b.job_id AND a.track_id <> b.track_id AND b.f0 - a.f1 BETWEEN 1 AND 60 AND b.h BETWEEN 0.5 * a.h AND 2 * a.h
+  WHERE a.track_id < {LATE} AND NOT (b.y0 < 920 OR b.y0 > 1020))"""
+
+
+def cut_tracks(fx):
+    order = Window.partitionBy("job_id", "track_id").orderBy("frame")
+    k, fifth = F.col("k"), F.col("track_id") % 5 == 0
+    rows = ground(fx).withColumn("k", F.row_number().over(order)).withColumn("gy", F.when((k <= 5) & fifth, F.lit(960.0)).otherwise(F.col("gy"))).withColumn("frame", F.when((k > 5) & fifth, F.col("frame") + 40).otherwise(F.col("frame")))
+    access = F.when(F.col("gy") < 920, 1).when(F.col("gy") > 1020, 2)
+    return rows.select(F.col("job_id").cast("long"), F.when(k <= 5, F.col("track_id")).otherwise(F.col("track_id") + F.lit(LATE)).cast("long").alias("track_id"), "frame", "gx", "gy", "x1", "x2", "y1", "y2", (F.col("y2") - F.col("y1")).alias("h"), access.alias("access"))
+
+
+@query(
+    "q056_fragment_candidates",
+    """SELECT job_id, a, b, round(CASE WHEN dt > 20 THEN 1 + stayed / (0.35 * scale) + dt / 60.0e0 ELSE least(meant, stayed) / (2 * scale + 0.5 * abs(va) * dt) + 0.5 * dt / 20 - 0.3 * CASE WHEN abs(va) > 0.5 AND abs(vb) > 0.5 THEN sign(va * vb) ELSE 0 END END, 9) AS cost
+       FROM pairs WHERE CASE WHEN dt > 20 THEN standing AND stayed <= 0.35 * scale ELSE least(meant, stayed) <= 2 * scale + 0.5 * abs(va) * dt AND NOT (abs(va) > 0.5 AND abs(vb) > 0.5 AND va * vb < 0) END""",
+    GROUND, CUT,
+)
+def _(fx):
+    rows = cut_tracks(fx)
+    ends = fragments.piece_ends(rows).join(tracks.origins_destinations(rows).select("job_id", "track_id", "destination"), ["job_id", "track_id"])
+    return fragments.fragment_candidates(ends, 20.0, standing_gap=3.0).withColumn("cost", F.round("cost", 9))
+
+
+@query(
+    "q148_joined_fragments",
+    f"""SELECT job_id, track_id + CASE WHEN place = 1 THEN {LATE} ELSE 0 END AS track_id, track_id AS chain, CAST(place AS INTEGER) AS place FROM (SELECT job_id, track_id, max(y2 - y1) AS h FROM points GROUP BY ALL), (VALUES (0), (1)) p(place) WHERE 100 >= 2 * h""",
+)
 def _(fx):
     """Every track is cut after its fifth point and put together again."""
-    first = F.min("frame").over(Window.partitionBy("job_id", "track_id"))
-    piece = ground(fx).withColumn("late", F.col("frame") - first >= 5)
-    one = lambda late: piece.where(F.col("late") == late).groupBy(F.col("job_id").cast("long").alias("job_id"), F.col("track_id").cast("long").alias("track_id"))
-    end = one(False).agg((F.max("frame") / 20).alias("t"), F.max_by("gx", "frame").alias("x"), F.max_by("gy", "frame").alias("y"), ((F.max_by("gy", "frame") - F.min_by("gy", "frame")) / 0.2).alias("vy"), F.first(F.col("y2") - F.col("y1")).alias("h"))
-    start = one(True).agg((F.min("frame") / 20).alias("t"), F.min_by("gx", "frame").alias("x"), F.min_by("gy", "frame").alias("y"), F.first(F.col("y2") - F.col("y1")).alias("h"))
-    start = start.withColumn("track_id", F.col("track_id") + F.lit(7000000000))
-    return tracks.join_fragments(tracks.fragment_candidates(end.withColumn("vx", F.lit(0.0)), start, 2.0, 1.0))
+    order = Window.partitionBy("job_id", "track_id").orderBy("frame")
+    late = F.when(F.row_number().over(order) > 5, F.lit(LATE)).otherwise(F.lit(0))
+    access = F.when(F.col("gy") < 920, 1).when(F.col("gy") > 1020, 2)
+    return fragments.chains_of_points(ground(fx).withColumn("track_id", F.col("track_id") + late).withColumn("access", access), 20.0)
 
 
 @query("q150_fused_twins")
@@ -99,6 +160,13 @@ def _(fx):
     return tracks.greedy_pairs(near.select("job_id", "lane_id", "a", "b", "gap"), ["job_id", "lane_id"], "a", "b", ["gap"])
 
 
+@query("q158_region_matrix")
+def _(fx):
+    """Movements between the regions that are found from the tracks of each site."""
+    ends = sinks.kept_table(regions.track_ends(ground(fx).select("project_id", "job_id", "track_id", "frame", "gx", "gy"), 1920, 1080), "ends")
+    return regions.region_matrix(regions.movements_by_region(ends, regions.regions(ends)))
+
+
 PATHS = """
 names AS (SELECT id, 'site' || project_id || '/2024-01-' || lpad(CAST(day(start_ts) AS VARCHAR), 2, '0') || '/' || CASE WHEN id % 2 = 0 THEN lpad(CAST(hour(start_ts) AS VARCHAR), 2, '0') || '-15-30.mp4' ELSE lpad(CAST(hour(start_ts) AS VARCHAR), 2, '0') || '/05.mp4' END AS path,
   CAST('2024-01-' || lpad(CAST(day(start_ts) AS VARCHAR), 2, '0') AS DATE) AS day, hour(start_ts) * 3600 + CASE WHEN id % 2 = 0 THEN 930 ELSE 300 END AS seconds FROM jobs)"""

@@ -9,7 +9,7 @@ from roadtally.functions import columns as C
 from roadtally.plans.counts import STAMP
 from roadtally.plans.fixtures import Fixtures, oracle
 from roadtally.plans.measures import GROUND, STEPS, ground
-from roadtally.sources import sinks
+from roadtally.sources import segments, sinks
 from roadtally.streaming import live
 
 QUERIES, ORACLES = {}, {}
@@ -25,11 +25,12 @@ def query(name: str, sql: str | None = None, *ctes: str):
     return add
 
 
-def stored(fx, rows: DataFrame) -> DataFrame:
-    """A stream of the rows."""
+def stored(fx, rows: DataFrame, files: int | None = None) -> DataFrame:
+    """A stream of the rows, with so many files a batch."""
     place = sinks.shared_place(fx.spark, "stream")
     rows.write.parquet(place)
-    return fx.spark.readStream.schema(rows.schema).parquet(place)
+    reader = fx.spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(place)
 
 
 def settled(fx, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -96,9 +97,11 @@ def _(fx):
 
 @query("q147_live_replacement", "SELECT job_id, count(*) AS n FROM crossings WHERE hidx % 5 <> 0 OR direction = 'in' OR job_id NOT IN (SELECT job_id FROM crossings WHERE hidx % 5 = 0 AND direction = 'in') GROUP BY ALL")
 def _(fx):
-    """Every fifth segment comes again on a stream, with its entries alone, after all were written."""
+    """Every fifth segment comes again on a stream, with its entries alone and in several batches, after all were written; then the store is compacted."""
     place, marks = sinks.shared_place(fx.spark, "replaced"), sinks.shared_place(fx.spark, "marks")
-    sinks.replace_segments(crossings(fx), place)
+    segments.replace_segments(crossings(fx), place)
     again = fx.crossings.where("hidx % 5 = 0 AND direction = 'in'").select("job_id", "track_id", "lane_id", "direction", "vehicle_type", F.col("ts").cast("timestamp").alias("ts"))
-    live.replacing_segments(stored(fx, again), place, marks).awaitTermination()
-    return fx.spark.read.parquet(place).groupBy("job_id").agg(F.count("*").alias("n"))
+    live.staged_stream(stored(fx, again.repartition(3), 1), place, marks).awaitTermination()
+    live.commit_stream(fx.spark, place, marks)
+    segments.compact(fx.spark, place)
+    return segments.read_segments(fx.spark, place).groupBy("job_id").agg(F.count("*").alias("n"))

@@ -244,24 +244,40 @@ def _(fx):
     return fx.segments.join(last, "id", "left").select("id", "status", "colour")
 
 
+#: Segments that end up to three seconds late, in tenths; every seventh comes a second time.
+PARTS = """
+late AS (SELECT id, project_id, start_ts, end_ts + to_microseconds(CAST(id * 7 % 31 AS BIGINT) * 100000) AS end_ts FROM jobs),
+parts AS (SELECT * FROM late UNION ALL SELECT id + 500000, project_id, start_ts, start_ts + INTERVAL 100 MILLISECOND FROM late WHERE id % 7 = 0)"""
+
+
+def fractional(fx):
+    tenths = (F.col("id") * 7 % 31 / 10).cast("decimal(18,6)")
+    add = lambda ts, s: ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s)
+    late = fx.segments.select(F.col("id").cast("long").alias("id"), "project_id", "start_ts", add(F.col("end_ts"), tenths).alias("end_ts"))
+    again = late.where("id % 7 = 0").select(F.col("id") + 500_000, "project_id", "start_ts", add(F.col("start_ts"), F.lit(0.1).cast("decimal(18,6)")))
+    return late.union(again)
+
+
 @query(
     "q045_intervals_touching_bad_video",
-    f"""SELECT project_id, {STAMP.format('bucket')} AS bucket FROM (SELECT DISTINCT g.project_id, g.bucket FROM grid g JOIN jobs j ON j.project_id = g.project_id AND j.id % 9 = 0 AND j.start_ts < g.bucket + INTERVAL 15 MINUTE AND j.end_ts > g.bucket)""",
-    RANGES,
-)
+    f"""SELECT project_id, {STAMP.format('bucket')} AS bucket FROM (SELECT DISTINCT g.project_id, g.bucket FROM grid g JOIN parts j ON j.project_id = g.project_id AND j.id % 9 = 0 AND j.start_ts < g.bucket + INTERVAL 15 MINUTE AND j.end_ts > g.bucket)""",
+    RANGES, PARTS,
+)
 def _(fx):
     from roadtally.operators import quality
 
     buckets = intervals.bucket_grid(intervals.site_ranges(fx.segments), 15).select("project_id", "bucket")
-    return shown(quality.touching(buckets, fx.segments.where("id % 9 = 0"), 15), "bucket")
+    return shown(quality.touching(buckets, fractional(fx).where("id % 9 = 0"), 15), "bucket")
 
 
 @query(
     "q046_previous_segment",
-    """SELECT id, previous_id FROM (SELECT id, lag(id) OVER w AS previous_id, epoch(start_ts - lag(end_ts) OVER w) AS gap FROM jobs WINDOW w AS (PARTITION BY project_id ORDER BY start_ts, id)) WHERE previous_id IS NOT NULL AND abs(gap) <= 1""",
+    """SELECT a.id, b.id AS previous_id FROM parts a JOIN parts b ON b.project_id = a.project_id AND b.id <> a.id AND b.start_ts <= a.start_ts
+       WHERE abs(epoch_us(a.start_ts) - epoch_us(b.end_ts)) <= 1000000 AND NOT EXISTS (SELECT 1 FROM parts c WHERE c.project_id = a.project_id AND c.id <> a.id AND c.start_ts <= a.start_ts AND (c.start_ts > b.start_ts OR (c.start_ts = b.start_ts AND c.id > b.id)))""",
+    PARTS,
 )
 def _(fx):
-    return joins.previous_segment(fx.segments)
+    return joins.previous_segment(fractional(fx))
 
 
 @query(

@@ -6,15 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadtally.functions import columns as C
-from roadtally.operators import geometry, imports, tracks, trajectories
+from roadtally.operators import fragments, geometry, imports, shapes, tracks, trajectories
 from roadtally.plans.counts import STAMP
 from roadtally.plans.fixtures import Fixtures, oracle
 from roadtally.plans.measures import GROUND, LINES, STEPS, TILTED, ground, tilted
-from roadtally.plans.paths import whole_paths
+from roadtally.plans.paths import LATE, whole_paths
 from roadtally.sources import files, sinks
 
 QUERIES, ORACLES = {}, {}
-LATE = 7_000_000_000  # added to the track of a path's second piece
 
 
 def query(name: str, sql: str | None = None, *ctes: str):
@@ -120,13 +119,15 @@ def _(fx):
 
 @query(
     "q127_resampled_paths",
-    """SELECT job_id, track_id, CAST(j AS INTEGER) AS place, gx AS x, round(y + way * 175.0e0 * j / 31, 6) AS y FROM (SELECT job_id, track_id, gx, gy AS y, CASE WHEN lead(gy) OVER w > gy THEN 1 ELSE -1 END AS way, row_number() OVER w AS k
-       FROM ground WINDOW w AS (PARTITION BY job_id, track_id ORDER BY frame)), range(32) r(j) WHERE k = 2""",
+    """SELECT job_id, track_id, CAST(j AS INTEGER) AS place, gx AS x, round(y + way * CASE WHEN m = 10 THEN 175.0e0 ELSE 25.0e0 * (m - 1) END * j / 31, 6) AS y FROM (SELECT job_id, track_id, gx, gy AS y, CASE WHEN lead(gy) OVER w > gy THEN 1 ELSE -1 END AS way, row_number() OVER w AS k,
+       CASE track_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 10 END AS m FROM ground WINDOW w AS (PARTITION BY job_id, track_id ORDER BY frame)), range(32) r(j) WHERE k = CASE WHEN m = 10 THEN 2 ELSE 1 END AND m > 1""",
     GROUND,
 )
 def _(fx):
-    """Paths of ten points in a straight line: a running median of five leaves those from the second to the ninth."""
+    """Straight paths of one, two, four and ten points: a running median of five leaves those from the second to the ninth of ten, and paths under five as they are."""
     paths = ground(fx).groupBy("job_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "gx", "gy"))).alias("p"))
+    m = F.create_map(*[F.lit(v) for v in (0, 1, 1, 2, 2, 4, 3, 10, 4, 10)])[(F.col("track_id") % 5).cast("int")]
+    paths = paths.withColumn("p", F.slice("p", F.lit(1), m))
     out = trajectories.resampled_paths(paths.select("job_id", "track_id", F.col("p.gx").alias("xs"), F.col("p.gy").alias("ys")))
     return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
@@ -149,7 +150,9 @@ def tilted_lines(fx):
 
 
 def by_trajectory(fx):
-    points, chains = pieces(fx, F.lit(True))
+    """All tracks are cut; pieces within two frames of each other are joined again."""
+    points, _ = pieces(fx, F.lit(True))
+    chains = fragments.chains_of_points(points.withColumn("access", F.lit(None).cast("int")), 20.0, trajectories.LINE_MOVED, gap=0.1)
     return trajectories.count_by_trajectory(points.drop("lane_id"), chains, tilted_lines(fx))
 
 
@@ -170,17 +173,60 @@ def _(fx):
     return trajectories.compared_methods(instant, by_trajectory(fx))
 
 
+MOVED = """
+moved AS (SELECT job_id, track_id, CASE WHEN down THEN 1 WHEN lane_id <> 3 THEN 2 END AS origin, CASE WHEN NOT down THEN 1 WHEN lane_id <> 3 THEN 2 END AS destination, first_frame, last_frame, class_name, height, confidence,
+  CASE WHEN track_id % 2 = 0 THEN 2 ELSE 1 END AS pieces, lane_id <> 3 AS complete FROM (SELECT job_id, track_id, lane_id, min(frame) AS first_frame, max(frame) AS last_frame, any_value(class_name) AS class_name, CAST(max(y2 - y1) AS INTEGER) AS height,
+  round(max(confidence), 3) AS confidence, arg_max(y2, frame) > arg_min(y2, frame) AS down FROM points GROUP BY ALL) WHERE CASE WHEN track_id % 2 = 0 THEN 100 ELSE 225 END >= 2 * height)"""
+
+
+def movements_of(fx):
+    """Tracks of even number come in two pieces; the third line's tracks never reach the lower access."""
+    points, _ = pieces(fx, F.col("track_id") % 2 == 0)
+    access = F.when(F.col("y2") < 930, 1).when((F.col("y2") > 990) & (F.col("lane_id") != 3), 2)
+    points = points.withColumn("access", access.cast("long"))
+    return trajectories.segment_movements(points, fragments.chains_of_points(points, 20.0), 20.0)
+
+
 @query(
     "q151_segment_movements",
-    """SELECT job_id, track_id, CASE WHEN down THEN 1 WHEN lane_id <> 3 THEN 2 END AS origin, CASE WHEN NOT down THEN 1 WHEN lane_id <> 3 THEN 2 END AS destination, first_frame, last_frame, class_name, height, confidence,
-       CASE WHEN track_id % 2 = 0 THEN 2 ELSE 1 END AS pieces, lane_id <> 3 AS complete FROM (SELECT job_id, track_id, lane_id, min(frame) AS first_frame, max(frame) AS last_frame, any_value(class_name) AS class_name, CAST(max(y2 - y1) AS INTEGER) AS height,
-       round(max(confidence), 3) AS confidence, arg_max(y2, frame) > arg_min(y2, frame) AS down FROM points GROUP BY ALL) WHERE CASE WHEN track_id % 2 = 0 THEN 100 ELSE 225 END >= 2 * height""",
+    """SELECT *, 10 AS n_points, round(first_frame / 20.0e0, 2) AS t_first, round(last_frame / 20.0e0, 2) AS t_last, coalesce(destination IS NOT NULL, false) AS ends_in_dest FROM moved""",
+    MOVED,
 )
 def _(fx):
-    """Tracks of even number come in two pieces; the third line's tracks never reach the lower access."""
-    points, chains = pieces(fx, F.col("track_id") % 2 == 0)
-    access = F.when(F.col("y2") < 930, 1).when((F.col("y2") > 990) & (F.col("lane_id") != 3), 2)
-    return trajectories.segment_movements(points.withColumn("access", access.cast("long")), chains)
+    rows = movements_of(fx)
+    return rows.select(*[c for c in rows.columns if c != "path"], F.size("path.t").alias("n_points"), F.get("path.t", F.lit(0)).alias("t_first"), F.element_at("path.t", -1).alias("t_last"), "path.ends_in_dest")
+
+
+@query(
+    "q140_retimed_paths",
+    """SELECT m.job_id, m.track_id, CAST(k - 1 AS INTEGER) AS place, round(CASE WHEN p.frame < 36000 THEN p.frame / 18.0e0 ELSE 2000 + (p.frame - 36000) / 24.0e0 END, 2) AS t FROM moved m JOIN (SELECT job_id, track_id, frame, row_number() OVER (PARTITION BY job_id, track_id ORDER BY frame) AS k FROM points) p USING (job_id, track_id)""",
+    MOVED,
+)
+def _(fx):
+    """The stored paths of whole movements, of a camera that gave 18 frames a second in the first half of its video and 24 in the second."""
+    clock = F.array(*[F.struct(F.lit(f).cast("long").alias("frame"), F.lit(s).cast("double").alias("at")) for f, s in ((0, 0.0), (36_000, 2_000.0), (72_000, 3_500.0))])
+    rows = movements_of(fx).select("job_id", "track_id", shapes.retimed(F.col("path"), F.lit(20.0), clock).alias("path"))
+    return rows.select("job_id", "track_id", F.posexplode("path.t").alias("place", "t"))
+
+
+@query(
+    "q057_second_boxes",
+    """SELECT DISTINCT job_id, id FROM (SELECT p.job_id, p.id, w.id AS other, count(*) AS n, median(sqrt((p.x - w.x) ** 2 + (p.y - (w.y + (w.ny - w.y) * (p.t - w.t) / CASE WHEN w.nt > w.t THEN w.nt - w.t ELSE 1 END)) ** 2) / greatest(w.h, 1)) AS gap
+       FROM second p JOIN firsts w ON w.job_id = p.job_id AND w.lane_id = p.lane_id AND w.down = p.down AND p.t >= w.t AND (p.t < w.nt OR (w.nt = w.t AND p.t = w.t)) GROUP BY ALL) WHERE n >= 5 AND gap <= 1""",
+    GROUND,
+    """placed AS (SELECT *, row_number() OVER w AS k, round(frame / 20.0e0, 2) AS t, last_value(gy) OVER (PARTITION BY job_id, track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) > first_value(gy) OVER w AS down FROM ground WINDOW w AS (PARTITION BY job_id, track_id ORDER BY frame))""",
+    """firsts AS (SELECT job_id, lane_id, down, track_id AS id, t, gx AS x, gy AS y, y2 - y1 AS h, coalesce(lead(t) OVER w, t) AS nt, coalesce(lead(gy) OVER w, gy) AS ny FROM placed WINDOW w AS (PARTITION BY job_id, track_id ORDER BY frame))""",
+    f"""second AS (SELECT job_id, lane_id, down, track_id + {LATE} AS id, round((frame + 0.4e0) / 20, 2) AS t, gx + track_id % 7 * 15.0e0 AS x, gy AS y FROM placed WHERE k <= CASE WHEN track_id % 3 = 0 THEN 4 ELSE 8 END)""",
+)
+def _(fx):
+    """A piece beside every whole path, up to 90 pixels off and two fifths of a frame late; every third has four points only."""
+    order = F.array_sort(F.collect_list(F.struct("frame", F.col("gx").alias("x"), F.col("gy").alias("y"), (F.col("y2") - F.col("y1")).alias("h"))))
+    own = ground(fx).groupBy("job_id", "lane_id", F.col("track_id").alias("id")).agg(order.alias("p"), (F.max_by("gy", "frame") > F.min_by("gy", "frame")).cast("int").alias("destino_id"))
+    own = own.withColumnRenamed("lane_id", "origen_id")
+    whole = own.withColumn("path", shapes.packed(F.col("p"), F.lit(20.0), F.lit(True))).drop("p")
+    moved = F.transform(F.slice("p", F.lit(1), F.when(F.col("id") % 3 == 0, 4).otherwise(8)), lambda q: F.struct((q["frame"] + 0.4).alias("frame"), (q["x"] + F.col("id") % 7 * 15).alias("x"), q["y"].alias("y"), q["h"].alias("h")))
+    piece = own.withColumn("path", shapes.packed(moved, F.lit(20.0), F.lit(False))).withColumn("id", F.col("id") + F.lit(LATE)).drop("p")
+    return trajectories.second_boxes(piece, whole)
 
 
 @query("q154_assigned_paths")

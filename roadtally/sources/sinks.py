@@ -37,26 +37,6 @@ def write_days(df: DataFrame, path: str) -> None:
     df.withColumn("date", F.to_date("ts")).write.partitionBy("project_id", "date").mode("overwrite").parquet(path)
 
 
-def replace_segments(df: DataFrame, path: str, buckets: int = 256) -> None:
-    """Write whole segments so that counting one again replaces its rows and no others.
-
-    Rows lie under job_bucket = job_id mod buckets; the buckets that df touches are rewritten with the rows of their
-    other segments kept, into a new version that replaces the folders by dynamic partition overwrite."""
-    spark = df.sparkSession
-    own = df.withColumn("job_bucket", F.pmod("job_id", F.lit(buckets)).cast("int"))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as missing:  # the first write finds no table
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        old = None
-    if old is not None:
-        touched = own.select("job_bucket").distinct()
-        kept = old.join(touched, "job_bucket", "left_semi").join(own.select("job_id").distinct(), "job_id", "left_anti")
-        own = own.unionByName(kept.select(*own.columns)).checkpoint()
-    own.write.partitionBy("job_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
 def movement_table(movements: DataFrame, classes: list[str]) -> DataFrame:
     """(project_id, date, interval, movement, one column a class, total): quarters of complete movements.
 
@@ -81,3 +61,10 @@ def shared_place(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="roadtally-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back, so later jobs neither repeat it nor need the executors that made it."""
+    place = shared_place(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from roadtally.sources import sinks
+from roadtally.sources import segments
 
 #: A track unseen for so long is forgotten.
 FORGET_SECONDS = 3
@@ -101,7 +102,30 @@ def speed_pairs(points: DataFrame, first: float, second: float) -> DataFrame:
     )
 
 
-def replacing_segments(crossings: DataFrame, path: str, marks: str) -> StreamingQuery:
-    """A query that reads all there is of the stream and replaces the segments that come in each batch, so a batch that is run again changes nothing."""
-    writer = crossings.writeStream.trigger(availableNow=True).option("checkpointLocation", marks)
-    return writer.foreachBatch(lambda batch, _: sinks.replace_segments(batch, path)).start()
+def segment_version(marks: str) -> str:
+    """The version of segments that a stream writes: one for each folder of marks, so a stream that is started again goes on with its own."""
+    return "stream-" + hashlib.sha256(marks.encode()).hexdigest()[:16]
+
+
+def staged_stream(crossings: DataFrame, path: str, marks: str, closes: str | None = None) -> StreamingQuery:
+    """A query that writes a stream's segments as one version of a store (``sources.segments``), whatever batches their rows come in.
+
+    A batch that fails and runs again overwrites its own rows. closes: name of a boolean column; a row where it is true is
+    the last of its segment, and the batch that brings it commits the segment. Without it the segments become visible when
+    ``commit_stream`` is called. Late rows of a committed segment join the rows that are seen."""
+    version = segment_version(marks)
+
+    def put(batch: DataFrame, number: int) -> None:
+        segments.stage(batch.drop(closes) if closes else batch, path, f"{version}-{number}", version)
+        if closes:
+            done = batch.where(closes).select("job_id").distinct()
+            if not done.isEmpty():
+                segments.commit(batch.sparkSession, path, done, version)
+
+    return crossings.writeStream.trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(put).start()
+
+
+def commit_stream(spark: SparkSession, path: str, marks: str) -> None:
+    """Make all that a stream has written the version that readers see of its segments."""
+    version = segment_version(marks)
+    segments.commit(spark, path, segments.staged_segments(spark, path, version), version)

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadtally.functions import columns as C
-from roadtally.operators import classify, docsearch, geometry, imports, speed, tracks
+from roadtally.operators import classify, docsearch, fragments, geometry, imports, runs, speed, tracks
 from roadtally.operators.assign import FORBIDDEN, assign
-from roadtally.sources import files, sinks
+from roadtally.sources import files, segments, sinks
 from roadtally.streaming import live
 
 
@@ -87,20 +87,21 @@ def test_repeated_crossings(spark):
 
 
 @pytest.mark.parametrize("seen, want", [([1, 1, None, None, 2, 2], (1, 2)), ([None, None, 2, 2], (None, 2)), ([1, 1, None], (1, None)), ([None] * 4, (None, None)), ([1, None, 1, None, 3], (1, 3)), ([3, None, 1], (3, 1)), ([None, 2, None], (2, None)), ([1, *[None] * 14, 1], (1, None)), ([1, *[None] * 16, 1], (1, 1)), ([1, *[None] * 15, 1], (1, None))])
-def test_access_runs(seen, want):
-    assert tracks.access_runs(list(range(len(seen))), seen) == want
+def test_access_runs(spark, seen, want):
+    df = spark.createDataFrame([(1, 2, f, a) for f, a in enumerate(seen)], "job_id long, track_id long, frame long, access int")
+    assert [(r.origin, r.destination) for r in tracks.origins_destinations(df).collect()] == [want]
 
 
 def test_clock_and_minute_runs(spark):
     df = spark.createDataFrame([(1, i, s, 10.0) for i, s in enumerate([0.0, 0.1, 0.1, 0.1, 5.0])], "job_id long, frame long, s double, fps double")
     assert [round(r.at, 3) for r in tracks.monotonic_clock(df).orderBy("frame").collect()] == [0.0, 0.1, 0.2, 0.3, 5.0]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([0.0, 60.5, 121.0, 182.0, 240.0])], "project_id long, id long, s double")
-    assert [r.run for r in tracks.minute_runs(df).orderBy("id").collect()] == [0, 0, 0, 1, 2]
+    assert [r.run for r in runs.minute_runs(df).orderBy("id").collect()] == [0, 0, 0, 1, 2]
 
 
 def test_join_fragments_takes_the_least_total_cost(spark):
     df = spark.createDataFrame([(1, 1, 10, 0.2), (1, 1, 11, 0.3), (1, 2, 10, 0.25), (2, 5, 6, 0.9)], "job_id long, a long, b long, cost double")
-    assert sorted((r.job_id, r.a, r.b) for r in tracks.join_fragments(df).collect()) == [(1, 1, 11), (1, 2, 10), (2, 5, 6)]
+    assert sorted((r.job_id, r.a, r.b) for r in fragments.joined_fragments(df).collect()) == [(1, 1, 11), (1, 2, 10), (2, 5, 6)]
 
 
 def test_chunks(spark):
@@ -178,9 +179,9 @@ def test_replaced_segments(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
     path = str(tmp_path / "t")
     make = lambda rows: spark.createDataFrame(rows, "job_id long, id long")
-    sinks.replace_segments(make([(1, 1), (1, 2), (257, 3), (2, 4)]), path)
-    sinks.replace_segments(make([(1, 9)]), path)
-    assert sorted((r.job_id, r.id) for r in spark.read.parquet(path).collect()) == [(1, 9), (2, 4), (257, 3)]
+    segments.replace_segments(make([(1, 1), (1, 2), (257, 3), (2, 4)]), path)
+    segments.replace_segments(make([(1, 9)]), path)
+    assert sorted((r.job_id, r.id) for r in segments.read_segments(spark, path).collect()) == [(1, 9), (2, 4), (257, 3)]
 
 
 def streamed(spark, tmp_path, rows, schema, job, mode="append"):
