@@ -7,8 +7,9 @@ word, an attention weight and a logit; a window's own score pools its words, a d
 all words of all its windows, as in training.
 
 The network is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` of each label, those
-with the least hash of their id, as far as all of a label's have at most ``SAMPLE_WINDOWS`` windows together. A row
-of the sample is used whole. Both bounds are parameters; scoring has none.
+with the least hash of their id, without those that don't fit any more into ``SAMPLE_WINDOWS`` windows of a label. A row
+of the sample is used whole; only if no row of a label fits, its shortest one gives every so-manieth window. Both bounds are
+parameters; scoring has none.
 
 Defined results: a null or empty text has one empty window and gets the score of no evidence; ids
 with several label rows take the largest label; without both labels every score is the smoothed
@@ -22,7 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtally.llm.discriminant import label_table
@@ -223,7 +224,7 @@ def fit_network(texts: list[list[list[str]]], labels: np.ndarray, share: float,
     sure = odds**2 * (one + 1) * (none + 1) / (one + none + 2)  # squared standard scores
     net = Network(vocabulary, np.clip(odds * sure / (sure + 9), -2, 2).astype(np.float32))
     net.fit(texts, labels, epochs)
-    sampled = (labels == 1).mean()
+    sampled = ((labels == 1).sum() + 0.5) / (len(labels) + 1) if len(set(labels.tolist())) < 2 else (labels == 1).mean()
     net.shift = float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
     return net
 
@@ -289,6 +290,25 @@ class Scorer:
 SAMPLED = "label int, windows array<array<string>>"
 
 
+def fitting(rows: list[tuple[int, int, int]], windows: int) -> list[tuple[int, float]]:
+    """(doc_id, step) of the rows (doc_id, label, windows), in their order, that fit into so many windows a label.
+
+    A row that doesn't fit is left out, and the rows after it are still taken. A label of which no row fits gives its
+    shortest row, of whose windows every step-th is used; all others are used whole (step 1)."""
+    out = []
+    for label in sorted({y for _, y, _ in rows}):
+        own, taken, left = [r for r in rows if r[1] == label], [], windows
+        for doc_id, _, n in own:
+            if n <= left:
+                taken.append((doc_id, 1.0))
+                left -= n
+        if not taken:
+            doc_id, _, n = min(own, key=lambda r: r[2])
+            taken = [(doc_id, n / windows)]
+        out += taken
+    return out
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, in_training: Column, column: str, sample: int, windows: int) -> tuple[list, np.ndarray, float]:
     """Windows and labels of the bounded sample, and label 1's share of all training labels."""
     spark = docs.sparkSession
@@ -303,17 +323,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, in_training: Column, col
     def cut(batches):
         for batch in batches:
             rows = []
-            for label, text in zip(batch["label"], batch["text"]):
+            for label, text, step in zip(batch["label"], batch["text"], batch["step"]):
                 words = split_words(text)
-                rows.append((label, [words[s : s + WINDOW] for s in window_starts(len(words))]))
+                starts = list(window_starts(len(words)))
+                starts = starts if step <= 1 else [starts[int(k * step)] for k in range(int(len(starts) / step))]
+                rows.append((label, [words[s : s + WINDOW] for s in starts]))
             yield pd.DataFrame(rows, columns=["label", "windows"])
 
     texts = docs.where(in_training).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.first("place").alias("place"), F.min("text").alias("text"))
-    n_windows = F.ceil(F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")) - (WINDOW - STRIDE)) / STRIDE)
-    upto = Window.partitionBy("label").orderBy("place")  # sample rows of a label at most
-    texts = texts.withColumn("upto", F.sum(F.coalesce(n_windows, F.lit(1))).over(upto)).where(F.col("upto") <= windows)
-    got = texts.orderBy("doc_id").select("label", "text").mapInPandas(cut, SAMPLED).collect()
+    n_windows = F.coalesce(F.ceil(F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")) - (WINDOW - STRIDE)) / STRIDE), F.lit(1))
+    sizes = texts.select("doc_id", "label", n_windows.alias("n")).orderBy("label", "place").collect()  # 2 * sample rows of numbers
+    kept = fitting([(r["doc_id"], r["label"], r["n"]) for r in sizes], windows)
+    kept = spark.createDataFrame(kept, "doc_id long, step double")
+    got = texts.join(F.broadcast(kept), "doc_id").orderBy("doc_id").select("label", "text", "step").mapInPandas(cut, SAMPLED).collect()
     return [r["windows"] for r in got], np.array([r["label"] for r in got]), share
 
 

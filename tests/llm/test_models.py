@@ -149,6 +149,28 @@ def test_sampled_rows_are_whole_and_bounded(spark):
     assert len(got) == 30
 
 
+def test_rows_that_do_not_fit_leave_the_others():
+    assert toxicity.fitting([(1, 0, 70), (2, 0, 40), (3, 0, 20), (4, 0, 10)], 100) == [(1, 1.0), (3, 1.0), (4, 1.0)]
+    assert toxicity.fitting([(4, 1, 900), (6, 1, 500)], 100) == [(6, 5.0)] and toxicity.fitting([], 100) == []
+
+
+def test_one_very_long_text_does_not_take_the_sample(spark):
+    good, bad = "the calm river runs past green fields", "you vile rotten stupid fool be gone"
+    texts = [f"{good} {i} and {i + 1}" if i % 2 == 0 else f"{bad} {i} and {i + 1}" for i in range(60)]
+    rows = [row(i, t) for i, t in enumerate(texts)] + [row(100 + k, f"{bad} " * 30_000) for k in range(2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (101, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    windows, y, _ = toxicity.training_sample(docs, labels, F.lit(True), "toxic", 100, 1000)
+    assert y.tolist().count(1) == 30 and max(map(len, windows)) == 1
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, F.lit(True), windows=1000).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2)) and got[100] > 0.5
+    only = docs.where("doc_id >= 100 OR doc_id % 2 = 0")  # no toxic row fits
+    windows, y, _ = toxicity.training_sample(only, labels, F.lit(True), "toxic", 100, 1000)
+    assert y.tolist().count(1) == 1 and 900 <= max(map(len, windows)) <= 1000
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(only, labels, F.lit(True), windows=1000, epochs=1).collect())
+    assert {r.score for r in toxicity.score_toxicity(docs.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 0"), F.lit(True), epochs=1).collect()} != set()
+
+
 def test_toxicity_on_odd_rows(odd_docs, no_docs, some_labels):
     out = toxicity.score_toxicity(odd_docs, some_labels, fold(5) != 0, epochs=1).collect()
     assert len(out) == odd_docs.count() and all(0 <= r.score <= 1 for r in out)
