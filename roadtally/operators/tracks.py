@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from roadtally.operators import shapes
 from roadtally.operators.assign import FORBIDDEN, assign
+from roadtally.sources.sinks import kept_table
 
 # Limits under which the counts were compared with hand counts.
+REMEASURED_SECONDS, REMEASURED_SHARE = 1, 0.12
 REPEAT_FRAMES, REPEAT_PIXELS, REPEAT_SHARE = 5, 6.0, 0.2
 TWIN_SHARED, TWIN_HELD = 0.5, 0.65
 LEAST_IOU, CONFIRM_HITS, MOST_MISSES = 0.3, 3, 30
@@ -256,6 +258,45 @@ def greedy_pairs(candidates: DataFrame, keys: list[str], left: str, right: str,
     return candidates.groupBy(*keys).applyInPandas(run, schema)
 
 
+def mutual_pairs(candidates: DataFrame, left: list[str], right: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
+    """One-to-one pairs (left, right) of candidates in rounds: a pair is taken when each is the other's best of all that is left.
+
+    left_order ranks the rights of a left, right_order the lefts of a right; they must leave no ties. Every round is joins and
+    sums over what is left, and takes at least the first pair of each connected part. Null keys are left out."""
+    rows = kept_table(candidates.dropna(subset=[*left, *right]), "pairs")
+    out = None
+    while not rows.isEmpty():
+        best = lambda key, order, other: rows.groupBy(*key).agg(F.min(F.struct(F.struct(*order).alias("o"), F.struct(*other).alias("k"))).alias("best")).select(*key, *[F.col(f"best.k.{c}").alias(c) for c in other if c not in key])
+        mine, theirs = best(left, left_order, right), best(right, right_order, left)
+        both = list(dict.fromkeys([*left, *right]))
+        taken = kept_table(mine.select(*both).intersect(theirs.select(*both)), "taken")
+        out = taken if out is None else out.unionByName(taken)
+        rows = kept_table(rows.join(taken.select(*left), left, "left_anti").join(taken.select(*right), right, "left_anti"), "pairs")
+    return rows.select(*dict.fromkeys([*left, *right])) if out is None else out
+
+
+def remeasured_pairs(stored: DataFrame, measured: DataFrame) -> DataFrame:
+    """(job_id, lane_id, id, measured_id): which of the crossings measured again belongs to each stored one, if any.
+
+    Both: job_id, lane_id, id, track_id, s (seconds), height. Two are the same crossing if their whole seconds are at most one apart (a
+    stored one without a time fits any) and the measured height is within 12 % of the stored one's (without a height: any). First by track: of several
+    measured with one track the last, of several stored the first. Then, in order of the stored ids, each takes the free one of nearest height (ties: the least id)."""
+    key = ["job_id", "lane_id"]
+    other = measured.select(*key, F.col("id").alias("measured_id"), F.col("track_id").alias("m_track"), F.floor("s").alias("m_s"), F.col("height").alias("m_height"))
+    same = (F.col("s").isNull() | (F.abs(F.col("m_s") - F.floor("s")) <= REMEASURED_SECONDS)) & (F.coalesce("height", F.lit(0)).eqNullSafe(0) | (F.abs(F.col("m_height") - F.col("height")) <= REMEASURED_SHARE * F.col("height")))
+    last = other.groupBy(*key, "m_track").agg(F.max("measured_id").alias("measured_id"))
+    by_track = stored.join(other.join(last, [*key, "m_track", "measured_id"]).withColumn("track_id", F.col("m_track")), [*key, "track_id"]).where(same)
+    first = kept_table(by_track.groupBy(*key, "measured_id").agg(F.min("id").alias("id")).select(*key, "id", "measured_id"), "by_track")
+    open_ = stored.join(first.select(*key, "id"), [*key, "id"], "left_anti")
+    free = other.join(first.select(*key, "measured_id"), [*key, "measured_id"], "left_anti")
+    # seconds meet in their own step and the neighbours; stored rows without a time meet all of their line in the video
+    timed = open_.where("s IS NOT NULL").withColumn("m_s", F.explode(F.array(*[F.floor("s") + d for d in range(-REMEASURED_SECONDS, REMEASURED_SECONDS + 1)]))).join(free, [*key, "m_s"])
+    loose = open_.where("s IS NULL").join(free, key)
+    near = timed.unionByName(loose.select(*timed.columns)).where(same).select(*key, "id", "measured_id", F.abs(F.col("m_height") - F.coalesce("height", F.lit(0))).alias("gap"))
+    rest = mutual_pairs(near, [*key, "id"], [*key, "measured_id"], ["gap", "measured_id"], ["id"])
+    return first.unionByName(rest.select(*key, "id", "measured_id"))
+
+
 def class_by_vote(points: DataFrame, by: str = "confidence") -> DataFrame:
     """(job_id, track_id, class_name): the class with the greatest sum of confidence, or most frames; ties by name."""
     weight = F.sum("confidence") if by == "confidence" else F.count("*").cast("double")

@@ -152,12 +152,11 @@ def _(fx):
 
 @query("q052_remeasured_pairs")
 def _(fx):
-    # 20 frames apart at most: a step of 20 frames meets itself and its neighbours
-    step = F.floor(F.col("cuadro") / 20)
-    own = fx.crossings.select("job_id", "lane_id", F.col("id").alias("a"), F.col("cuadro").alias("ca"), F.col("bbox_height").alias("ha"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    other = fx.crossings.select("job_id", "lane_id", F.col("id").alias("b"), F.col("cuadro").alias("cb"), F.col("bbox_height").alias("hb"), step.alias("step"))
-    near = own.join(other, ["job_id", "lane_id", "step"]).where("a <> b AND abs(ca - cb) <= 20 AND abs(ha - hb) <= 0.12 * ha").withColumn("gap", F.abs(F.col("ha") - F.col("hb")))
-    return tracks.greedy_pairs(near.select("job_id", "lane_id", "a", "b", "gap"), ["job_id", "lane_id"], "a", "b", ["gap"])
+    """All crossings measured again, up to a second and a half later and a little higher; those of every third video got other track numbers."""
+    s, h = F.col("cuadro") / 20, F.col("bbox_height")
+    rows = fx.crossings.select("job_id", "lane_id", "id", "track_id", F.when(F.col("id") % 41 != 0, s).alias("s"), h.cast("double").alias("height"))
+    again = fx.crossings.select("job_id", "lane_id", (F.col("id") * 7 % 1_000_003).alias("id"), F.when(F.col("job_id") % 3 == 0, -F.col("track_id")).otherwise(F.col("track_id")).alias("track_id"), (s + F.col("id") % 4 / 2).alias("s"), (h * (1 + F.col("id") % 5 / 50)).alias("height"))
+    return tracks.remeasured_pairs(rows, again)
 
 
 @query("q158_region_matrix")

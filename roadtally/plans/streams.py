@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadtally.functions import columns as C
 from roadtally.plans.counts import STAMP
 from roadtally.plans.fixtures import Fixtures, oracle
-from roadtally.plans.measures import GROUND, STEPS, ground
+from roadtally.plans.measures import GROUND, LINES, STEPS, TILTED, ground
 from roadtally.sources import segments, sinks
 from roadtally.streaming import live
 
@@ -59,6 +59,20 @@ def _(fx):
     return settled(fx, live.live_crossings(stored(fx, timed_points(fx)).withWatermark("ts", "10 seconds"), 960.0))
 
 
+@query(
+    "q142_live_line_crossings",
+    """SELECT job_id, crossed_lane AS lane_id, track_id, min(frame) AS frame, arg_min(CASE WHEN turn > 0 THEN 'in' ELSE 'out' END, frame) AS direction FROM hits WHERE turn <> 0 AND place >= 3 AND frame - pframe <= 3 GROUP BY ALL""",
+    GROUND, STEPS, LINES, TILTED,
+)
+def _(fx):
+    """Both slanting lines of each site, points in several batches."""
+    at = F.timestamp_seconds(1_704_067_200 + F.col("job_id") % 1000 * 3600 + F.col("frame") / 20)
+    rows = ground(fx).select(F.col("project_id").cast("long"), F.col("job_id").cast("long"), F.col("track_id").cast("long"), F.col("frame").cast("long"), "gx", "gy", at.alias("ts"))
+    lines = fx.lanes.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long"), F.lit(0.0).alias("x1"), F.lit(955.5).alias("y1"), F.lit(3000.0).alias("x2"), (951.5 + F.col("lane_id")).alias("y2"))
+    stream = stored(fx, rows.repartitionByRange(3, "ts").sortWithinPartitions("ts"), 1).withWatermark("ts", "40 days")
+    return settled(fx, live.live_line_crossings(stream, lines))
+
+
 @query("q143_live_intervals", f"SELECT {STAMP.format('start')} AS start, lane_id, direction, vehicle_type, n FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, lane_id, direction, vehicle_type, count(*) AS n FROM crossings GROUP BY ALL)")
 def _(fx):
     return settled(fx, live.interval_counts(stored(fx, crossings(fx))), "complete").withColumn("start", C.stamp(F.col("start")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from roadtally.sources import segments
 
 #: A track unseen for so long is forgotten.
 FORGET_SECONDS = 3
+FORGET_FRAMES, LEAST_POINTS, MOST_GAP = 30, 3, 3
 
 
 def interval_counts(crossings: DataFrame, minutes: int = 15, late: str = "1 minute") -> DataFrame:
@@ -69,6 +71,48 @@ def live_crossings(points: DataFrame, level: float) -> DataFrame:
     )
 
 
+def live_line_crossings(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """(job_id, lane_id, track_id, frame, direction): the first crossing of each of its camera's lines by each track of a stream of points.
+
+    points: project_id, job_id, track_id, frame, gx, gy, ts (with a watermark). lines: project_id, lane_id, x1, y1, x2, y2 of any slope, a
+    table of its own that each point meets as one short array. A crossing counts if the track had three points by then and was
+    unseen for two frames at most before it. A track unseen for over 30 frames starts to be followed anew, but no line counts it twice. State of a track: its last place, how many points it
+    had, and the lines it has crossed; it goes when the watermark passes the last point by FORGET_SECONDS. Points of a null frame or place are skipped."""
+    few = lines.groupBy("project_id").agg(*[F.collect_list(F.col(c).cast("double")).alias(f"l_{c}") for c in ("lane_id", "x1", "y1", "x2", "y2")])
+    rows = points.where("frame IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL").join(few, "project_id")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat(list(batches)).sort_values("frame")
+        x, y, frame = (own[c].to_numpy(float) for c in ("gx", "gy", "frame"))
+        before, crossed = (state.get[:4], set(state.get[4])) if state.exists else ((np.nan, np.nan, -1e9, 0), set())
+        px, py, pf = (np.r_[b, v[:-1]] for b, v in zip(before[:3], (x, y, frame)))
+        fresh = frame - pf > FORGET_FRAMES
+        # points so far, counted from the last fresh start
+        count = np.arange(1, len(x) + 1) + before[3]
+        count = count - np.maximum.accumulate(np.where(fresh, count - 1, 0))
+        usable = ~fresh & (count >= LEAST_POINTS) & (frame - pf <= MOST_GAP)
+        out = []
+        turn = lambda ax, ay, bx, by, cx, cy: (cy - ay) * (bx - ax) > (by - ay) * (cx - ax)
+        for lane, ax, ay, bx, by in zip(*[own[f"l_{c}"].iloc[-1] for c in ("lane_id", "x1", "y1", "x2", "y2")]):
+            hit = (turn(px, py, ax, ay, bx, by) != turn(x, y, ax, ay, bx, by)) & (turn(px, py, x, y, ax, ay) != turn(px, py, x, y, bx, by))
+            side = (x - px) * (by - ay) - (y - py) * (bx - ax)
+            for k in np.flatnonzero(usable & hit & (side != 0)):
+                if int(lane) not in crossed:
+                    crossed.add(int(lane))
+                    out.append((key[0], int(lane), key[1], int(frame[k]), "in" if side[k] > 0 else "out"))
+        latest = max(int(own["ts"].max().timestamp() * 1000), state.get[5] if state.exists else 0)
+        state.update((float(x[-1]), float(y[-1]), float(frame[-1]), int(count[-1]), sorted(crossed), latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + FORGET_SECONDS * 1000)
+        yield pd.DataFrame(out, columns=["job_id", "lane_id", "track_id", "frame", "direction"])
+
+    return rows.groupBy("job_id", "track_id").applyInPandasWithState(
+        step, "job_id long, lane_id long, track_id long, frame long, direction string", "x double, y double, frame double, seen long, crossed array<long>, latest long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def speed_pairs(points: DataFrame, first: float, second: float) -> DataFrame:
     """(job_id, track_id, direction, seconds): the time between a track's first crossings of two levels, given out once, when both are known.
 

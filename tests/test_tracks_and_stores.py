@@ -404,3 +404,59 @@ def test_fractions_of_seconds_count(spark):
     noon = 1_704_110_400
     buckets = spark.createDataFrame([(1, noon + 900 * k) for k in range(4)], "project_id long, bucket long")
     assert [b - noon for _, b in rows_of(quality.touching(buckets, df.where("id = 1"), 15).select("project_id", "bucket"))] == [0, 900]
+
+
+# --- crossings measured again, and lines of a live camera
+
+
+def plain_remeasured(stored, measured):
+    """Stored rows in turn."""
+    def same(g, c):
+        return g[:2] == c[:2] and (g[4] is None or abs(int(c[4]) - int(g[4])) <= 1) and (not g[5] or abs(c[5] - g[5]) <= 0.12 * g[5])
+
+    free, pairs, waiting = list(measured), [], []
+    by_track = {(c[0], c[1], c[3]): c for c in sorted(measured, key=lambda c: c[2])}
+    for g in sorted(stored, key=lambda g: g[2]):
+        c = by_track.get((g[0], g[1], g[3]))
+        if c and same(g, c):
+            pairs.append((*g[:3], c[2]))
+            free.remove(c)
+            del by_track[g[0], g[1], g[3]]
+        else:
+            waiting.append(g)
+    for g in waiting:
+        fits = [c for c in free if same(g, c)]
+        if fits:
+            c = min(fits, key=lambda c: (abs(c[5] - (g[5] or 0)), c[2]))
+            pairs.append((*g[:3], c[2]))
+            free.remove(c)
+    return sorted(pairs)
+
+
+def test_remeasured_pairs_equal_a_walk(spark):
+    draw = np.random.default_rng(11)
+    one = lambda i: (int(draw.integers(0, 2)), int(draw.integers(0, 2)), i, int(draw.integers(0, 40)), float(draw.integers(0, 40)) / 2, float(draw.integers(90, 110)))
+    stored = [one(i) for i in range(70)]
+    stored = [(*g[:4], None, g[5]) if g[2] % 17 == 0 else (*g[:5], None) if g[2] % 19 == 0 else g for g in stored]
+    measured = [one(1000 - i) for i in range(80)]
+    schema = "job_id long, lane_id long, id long, track_id long, s double, height double"
+    got = tracks.remeasured_pairs(spark.createDataFrame(stored, schema), spark.createDataFrame(measured, schema))
+    assert rows_of(got) == plain_remeasured(stored, measured)
+    assert tracks.remeasured_pairs(spark.createDataFrame([], schema), spark.createDataFrame(measured, schema)).count() == 0
+
+
+def test_live_lines_over_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "project_id long, job_id long, track_id long, frame long, gx double, gy double, ts timestamp"
+    lines = spark.createDataFrame([(1, 7, 0.0, 0.0, 100.0, 100.0), (1, 8, 0.0, 60.0, 100.0, 60.0), (2, 9, 0.0, 0.0, 1.0, 1.0)], "project_id long, lane_id long, x1 double, y1 double, x2 double, y2 double")
+    row = lambda track, frame, x, y: (1, 1, track, frame, None if x is None else float(x), float(y), None)
+    first = [row(1, f, 50, 10 * f) for f in range(5)] + [row(2, f, 50, 200 - 10 * f) for f in range(5)] + [row(3, f, 50, 40 + 9 * f) for f in range(2)]
+    second = [row(1, f, 50, 10 * f) for f in range(5, 9)] + [row(2, f, 50, 200 - 20 * f) for f in range(40, 44)] + [row(3, f, 50, 40 + 9 * f) for f in range(2, 5)] + [row(4, f, None, 1) for f in range(4)]
+    for rows in (first, second):
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(1_704_067_200 + F.col("frame") / 10))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source).withWatermark("ts", "1 hour")
+        live.live_line_crossings(stream, lines).writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "marks")).format("parquet").option("path", out).start().awaitTermination()
+    got = {(r.track_id, r.lane_id): (r.frame, r.direction) for r in spark.read.parquet(out).collect()}
+    # 1 leaves each line behind in the point after the one on it; 2 is away for over 30 frames; 3 has its third point where it crosses
+    assert got == {(1, 7): (6, "out"), (1, 8): (7, "out"), (3, 7): (2, "out"), (3, 8): (3, "out")}
