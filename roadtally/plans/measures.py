@@ -241,10 +241,11 @@ def _(fx):
 INSIDE = "gx >= zx1 AND gx < zx2 AND gy >= zy1 AND gy < zy2"
 
 
-@query("q017_points_in_polygon", f"SELECT z.zone_id, count(*) AS n FROM ground g JOIN zones z ON {INSIDE} GROUP BY 1", GROUND)
+@query("q017_points_in_polygon", f"SELECT z.zone_id, count(*) AS n FROM ground g JOIN zones z ON z.project_id = g.project_id AND {INSIDE} GROUP BY 1", GROUND)
 def _(fx):
-    corners = shapes(fx).groupBy().agg(F.collect_list(F.struct("zone_id", "points")).alias("zs"))
-    rows = ground(fx).select("gx", "gy").join(F.broadcast(corners), how="cross").select("gx", "gy", F.explode("zs").alias("z"))
+    """Each point with the zones of its own site."""
+    corners = shapes(fx).groupBy("project_id").agg(F.collect_list(F.struct("zone_id", "points")).alias("zs"))
+    rows = ground(fx).select("project_id", "gx", "gy").join(corners, "project_id").select("gx", "gy", F.explode("zs").alias("z"))
     return rows.where(geometry.in_polygon(F.col("gx"), F.col("gy"), F.col("z.points"))).groupBy(F.col("z.zone_id").alias("zone_id")).agg(F.count("*").alias("n"))
 
 
