@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["counts", "tables", "measures", "search", "paths", "calibration", "imports", "trajectories", "streams"]
+MODULES: list[str] = ["counts", "tables", "measures", "search", "paths", "calibration", "imports", "trajectories", "streams", "framing"]
 
 
 def queries():
