@@ -2,7 +2,8 @@
 
 Every rule is measured once a document; the ledger keeps the measurements and one bit for each
 failed rule. A policy is a named, versioned mask: a document is kept if no bit of the mask is set.
-Ablations are bit arithmetic over the ledger, without reading a text again.
+``store_ledger`` writes the ledger without the texts; policies, their comparison and ablations are bit arithmetic over what is stored,
+without reading a text again.
 
 Defined results: a null text has no words; an empty one fails min_words; repeated rows each get
 their row; extra columns stay.
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadtally.llm.common import words_of
+from roadtally.llm.common import words_of, written
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_run_words long, n_short_lines long"
 SYMBOLS = "#*$%&|<>"
@@ -35,7 +36,9 @@ RULES: dict[str, str] = {
     "run_words": "10 * n_run_words > 2 * n_words",
 }
 BASE = ("min_words", "repeat_words")
-POLICIES: dict[str, tuple[str, ...]] = {"base": BASE, "v1": tuple(RULES)}
+#: v2 is v1 without the rules on repeated lines and words, for corpora whose lines are deduplicated afterwards.
+V1 = (*BASE, "symbol_words", "dup_lines", "word_length_low", "word_length_high", "upper_case", "few_letters", "run_words")
+POLICIES: dict[str, tuple[str, ...]] = {"base": BASE, "v1": V1, "v2": tuple(r for r in V1 if r not in ("dup_lines", "run_words"))}
 
 
 def mask(policy: str | tuple[str, ...]) -> int:
@@ -114,6 +117,12 @@ def ledger(docs: DataFrame, column: str = "rules") -> DataFrame:
     return docs.withColumn(f"__{column}", measure(F.col("text").cast("string"))).withColumn(column, F.expr(struct)).drop(f"__{column}")
 
 
+def store_ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, rules) of every document, written once: texts are measured here and never again."""
+    own = [F.col(f"`{k}`") for k in keys]
+    return written(ledger(docs.select(*own, "text")).select(*own, "rules"), "ledger")
+
+
 def _on(rule: str, struct: str) -> str:
     return re.sub(r"\b(n_\w+|word_chars)\b", rf"{struct}.\1", rule)
 
@@ -137,6 +146,21 @@ def ablations(fail_bits: DataFrame, policy: str = "v1") -> DataFrame:
     return both.groupBy("rule").agg(hit.alias("failed"), only.alias("failed_alone"), kept.alias("kept_without"))
 
 
+def compare_policies(fail_bits: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """(policy, other, kept, kept_by_other, only_policy, only_other) for each pair of policies, over distinct bit patterns.
+
+    fail_bits: a DataFrame with that column."""
+    whole = 0
+    for p in policies:
+        whole |= mask(p)
+    patterns = fail_bits.groupBy(F.col("fail_bits").bitwiseAND(F.lit(whole)).alias("bits")).agg(F.count("*").alias("n"))
+    pairs = [F.struct(F.lit(p).alias("policy"), F.lit(q).alias("other"), passes(F.col("bits"), p).alias("a"), passes(F.col("bits"), q).alias("b")) for i, p in enumerate(policies) for q in policies[i + 1 :]]
+    rows = patterns.select("n", F.explode(F.array(*pairs)).alias("p")).select("n", "p.*")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    a, b = F.col("a"), F.col("b")
+    return rows.groupBy("policy", "other").agg(total(a).alias("kept"), total(b).alias("kept_by_other"), total(a & ~b).alias("only_policy"), total(b & ~a).alias("only_other"))
+
+
 def filter_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
     own = docs.columns
@@ -144,8 +168,8 @@ def filter_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     return ledger(docs, name).where(passes(F.col(f"{name}.fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in own])
 
 
-def oracle_sql() -> str:
-    """The ledger and the current policy in DuckDB SQL: words unnested, windows of three counted."""
+def ledger_sql() -> str:
+    """The ledger b in DuckDB SQL: words unnested, windows of three counted."""
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -161,5 +185,29 @@ m AS (SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp
   coalesce(i.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n_letters, coalesce(r.n, 0) AS n_run_words
   FROM split s LEFT JOIN inside i USING (rid) LEFT JOIN runs r USING (rid)),
 b AS (SELECT *, {bits} AS fail_bits FROM m)
+"""
+
+
+def oracle_sql() -> str:
+    """The measurements and the current policy."""
+    return f"""{ledger_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {mask("base")} <> 0 AS base_failed, fail_bits & {mask("v1") | mask("base")} = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
 """
+
+
+def ablations_sql(policy: str = "v1") -> str:
+    whole = mask(policy)
+    rules = ", ".join(f"('{r}', {mask((r,))})" for r in POLICIES[policy])
+    return f"""{ledger_sql()}
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & {whole} = bit) AS failed_alone, count(*) FILTER (fail_bits & {whole} IN (0, bit)) AS kept_without
+FROM (VALUES {rules}) r(rule, bit) LEFT JOIN b ON true GROUP BY rule
+"""
+
+
+def policies_sql() -> str:
+    names = list(POLICIES)
+    pairs = ", ".join(f"('{p}', '{q}', {mask(p)}, {mask(q)})" for i, p in enumerate(names) for q in names[i + 1 :])
+    return f"""{ledger_sql()}
+SELECT policy, other, count(*) FILTER (fail_bits & x = 0) AS kept, count(*) FILTER (fail_bits & y = 0) AS kept_by_other, count(*) FILTER (fail_bits & x = 0 AND fail_bits & y <> 0) AS only_policy,
+count(*) FILTER (fail_bits & y = 0 AND fail_bits & x <> 0) AS only_other FROM b, (VALUES {pairs}) p(policy, other, x, y) GROUP BY policy, other
+"""

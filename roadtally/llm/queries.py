@@ -14,12 +14,22 @@ def op1_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality_rules.ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = quality_rules.store_ledger(read_table(spark, sf_dir, "documents"))
     bits = F.col("rules.fail_bits")
     shown = [F.col(f"rules.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return docs.select("doc_id", *shown, (~quality_rules.passes(bits, "base")).alias("base_failed"), (quality_rules.passes(bits, "base") & quality_rules.passes(bits, "v1")).alias("kept"), bits.alias("fail_bits"))
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, from the stored ledger of all documents."""
+    return quality_rules.ablations(quality_rules.store_ledger(read_table(spark, sf_dir, "documents")).select("rules.fail_bits"))
+
+
+def ledger_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of the policy against each other, from the stored ledger of all documents."""
+    return quality_rules.compare_policies(quality_rules.store_ledger(read_table(spark, sf_dir, "documents")).select("rules.fail_bits"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(read_table(spark, sf_dir, "documents")).drop("digest")
 
@@ -77,8 +87,9 @@ def queries():
         op1_bin_completion_packing, op2_quality_rules, op3_order_minhash, op4_quality_discriminant, op5_suffix_tree,
         op6_line_alignment, op7_toxicity_bigru, op8_source_mix, op9_syncmer_fingerprints, op10_url_digest_filter,
         op11_stream_collocations, op12_butterfly_manifest, op13_collision_neighbours,
+        ledger_ablations, ledger_policies,
     )}
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_source_mix": mixing.ORACLE, "op10_url_digest_filter": url_filters.ORACLE, "op11_stream_collocations": collocations.ORACLE, "op12_butterfly_manifest": merkle.oracle_sql()}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "ledger_ablations": quality_rules.ablations_sql(), "ledger_policies": quality_rules.policies_sql(), "op8_source_mix": mixing.ORACLE, "op10_url_digest_filter": url_filters.ORACLE, "op11_stream_collocations": collocations.ORACLE, "op12_butterfly_manifest": merkle.oracle_sql()}

@@ -39,6 +39,33 @@ def test_ablations(spark):
     assert got["min_words"] == (3, 2, 3) and got["repeat_words"] == (1, 0, 1) and got["symbol_words"] == (1, 1, 2) and got["run_words"] == (0, 0, 1)
 
 
+def test_stored_ledger_serves_all_policies(spark, odd_docs, no_docs):
+    """Policies, ablations and comparisons of the stored ledger against each document's own verdicts; no text is stored."""
+    stored = quality_rules.store_ledger(odd_docs)
+    assert stored.columns == ["doc_id", "rules"] and "FileScan parquet" in stored._jdf.queryExecution().executedPlan().toString()
+    bits = [quality_rules_bits(r.text) for r in odd_docs.collect()]
+    assert sorted(r[0] for r in stored.select("rules.fail_bits").collect()) == sorted(bits)
+    kept = {p: [b & quality_rules.mask(p) == 0 for b in bits] for p in quality_rules.POLICIES}
+    got = {(r.policy, r.other): tuple(r)[2:] for r in quality_rules.compare_policies(stored.select("rules.fail_bits")).collect()}
+    assert set(got) == {("base", "v1"), ("base", "v2"), ("v1", "v2")}
+    for (p, q), counts in got.items():
+        a, b = kept[p], kept[q]
+        assert counts == (sum(a), sum(b), sum(x and not y for x, y in zip(a, b)), sum(y and not x for x, y in zip(a, b)))
+    whole = quality_rules.mask("v2")
+    for r in quality_rules.ablations(stored.select("rules.fail_bits"), "v2").collect():
+        bit = quality_rules.mask((r.rule,))
+        assert (r.failed, r.failed_alone, r.kept_without) == (sum(b & bit != 0 for b in bits), sum(b & whole == bit for b in bits), sum(b & whole in (0, bit) for b in bits))
+    empty = quality_rules.store_ledger(no_docs).select("rules.fail_bits")
+    assert quality_rules.ablations(empty).count() == 9 and quality_rules.compare_policies(empty).count() == 0
+
+
+def quality_rules_bits(text):
+    """Failed rules of one text by Python's arithmetic on its measurements."""
+    names = [x.split()[0] for x in quality_rules.MEASURES.split(", ")]
+    values = dict(zip(names, quality_rules.measured(text)))
+    return sum(1 << k for k, rule in enumerate(quality_rules.RULES.values()) if eval(rule.replace("AND", "and"), {}, values))
+
+
 def water_fill(sizes):
     """Targets by resharing what is above, step by step."""
     names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
