@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from roadtally.llm.common import drop_written, partitions, written
 
 DEPTH = 2
-MIN_COUNT = 16
+MIN_COUNT = 4
 DISCOUNT = 0.75
 #: Words and runs that tasks hold. Scores do not depend on them.
 HEAD, CACHED, FILTER_BITS = 120_000, 1_500_000, 27

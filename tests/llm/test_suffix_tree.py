@@ -1,3 +1,4 @@
+import os
 import math
 import random
 import zlib
@@ -6,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from roadtally.llm import suffix_tree
+from roadtally.llm import queries, suffix_tree
 from roadtally.llm.common import id_crc32
 from tests.llm.conftest import SCHEMA, prose, row
 
@@ -111,3 +112,10 @@ def test_held_out_texts_are_likelier_than_by_the_base(spark):
     docs = spark.createDataFrame([row(i, phrases(i, 200) + prose(i, 50)) for i in range(60)], SCHEMA)
     r = suffix_tree.score_documents(docs, F.col("doc_id") % 5 != 0, filter_bits=14).where("doc_id % 5 = 0").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_held_out_totals(spark):
+    """The query's own parameters."""
+    rows = queries.op5_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert rows.base == pytest.approx(-234374.927, abs=0.01) and rows.score >= -225200
