@@ -21,23 +21,39 @@ def against_axle_counter(ours: DataFrame, theirs: DataFrame, groups: DataFrame,
     return side(ours, "n_ours").join(side(theirs, "n_theirs"), ["lane_id", "dd", "minute", "grp"], "full").na.fill(0)
 
 
+#: Ways that one row of the search stands for before they are made in its task.
+WAYS = 65_536
+
+
 def best_numbering(ours: DataFrame, hand: DataFrame, numbers: list[int], accesses: list[int]) -> DataFrame:
     """(project_id, assignment, error): of all ways to number the accesses the one with the least absolute error; the first in product order on ties.
 
-    ours: project_id, o, d (accesses), n. hand: project_id, ho, hd (numbers), n_hand. The counts are sums by pair, so the grid multiplies a few rows."""
-    import itertools
-
-    spark = ours.sparkSession
-    ways = [(k, a, n) for k, way in enumerate(itertools.product(numbers, repeat=len(accesses))) for a, n in zip(accesses, way)]
-    grid = F.broadcast(spark.createDataFrame(ways, "way int, access int, number int"))  # numbers ^ accesses rows
-    o, d = grid.withColumnsRenamed({"access": "o", "number": "ho"}), grid.withColumnsRenamed({"access": "d", "number": "hd"})
-    mapped = ours.join(o, "o").join(d, ["d", "way"]).groupBy("project_id", "way", "ho", "hd").agg(F.sum("n").alias("n"))
-    every = hand.join(F.broadcast(grid.select("way").distinct()), how="cross")
-    both = every.join(mapped, ["project_id", "way", "ho", "hd"], "full").na.fill(0, ["n", "n_hand"])
-    errors = both.groupBy("project_id", "way").agg(F.sum(F.abs(F.col("n") - F.col("n_hand"))).alias("error"))
-    best = errors.groupBy("project_id").agg(F.min(F.struct("error", "way")).alias("b")).select("project_id", F.col("b.way").alias("way"), F.col("b.error").alias("error"))
-    names = grid.groupBy("way").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("access", "number"))), lambda x: x["number"].cast("string")), ",").alias("assignment"))
-    return best.join(names, "way").select("project_id", "assignment", "error")
+    ours: project_id, o, d (accesses), n. hand: project_id, ho, hd (numbers), n_hand. A way is a whole number whose digits, to the base of the
+    numbers, number the accesses in order. A site's counts are one row with an array of at most accesses^2 cells; blocks of ways are dealt to
+    tasks, made there and reduced to the least error before anything is shuffled. A hand count of a number that is not in ``numbers`` is
+    an error of every way; accesses that are not in ``accesses`` are left out; repeated pairs add up; null counts are 0."""
+    base, places = len(numbers), len(accesses)
+    at = lambda values, c: (F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)) - 1).cast("int")
+    cells = ours.withColumns({"i": at(accesses, "o"), "j": at(accesses, "d")}).where("i >= 0 AND j >= 0").groupBy("project_id", "i", "j").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    cells = cells.groupBy("project_id").agg(F.collect_list(F.struct("i", "j", "n")).alias("cells"))
+    theirs = hand.groupBy("project_id", at(numbers, "ho").alias("i"), at(numbers, "hd").alias("j")).agg(F.coalesce(F.sum("n_hand"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.abs("n_hand")), F.lit(0)).alias("size"))
+    known = F.when((F.col("i") >= 0) & (F.col("j") >= 0), F.struct((F.col("i") * base + F.col("j")).alias("t"), "n"))
+    size = F.when((F.col("i") >= 0) & (F.col("j") >= 0), F.abs("n")).otherwise(F.col("size"))
+    theirs = theirs.groupBy("project_id").agg(F.map_from_entries(F.collect_list(known)).alias("hand"), F.sum(size).alias("all"))
+    sites = cells.join(theirs, "project_id", "full").withColumn("all", F.coalesce("all", F.lit(0)))
+    total = base**places
+    blocks = sites.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // WAYS)))).repartition("project_id", "block")
+    first = F.col("block").cast("long") * WAYS
+    ways = blocks.withColumn("way", F.explode(F.sequence(first, F.least(first + WAYS, F.lit(total)) - 1)))
+    digit = lambda k: F.expr(f"CAST(floor(way / pow({base}, {places - 1} - {k})) AS BIGINT) % {base}")
+    ways = ways.withColumn("digits", F.array(*[digit(k) for k in range(places)]))
+    # the number pairs that a way gives the site's cells; all other hand counts are errors in full
+    ways = ways.withColumn("got", F.expr(f"transform(cells, c -> struct(CAST(digits[c.i] * {base} + digits[c.j] AS INT) AS t, c.n AS n))"))
+    change = """aggregate(array_distinct(transform(got, g -> g.t)), all, (e, t) -> e - abs(coalesce(hand[t], 0))
+        + abs(coalesce(hand[t], 0) - aggregate(filter(got, g -> g.t = t), CAST(0 AS BIGINT), (s, g) -> s + g.n)))"""
+    best = ways.withColumn("error", F.coalesce(F.expr(change), F.col("all"))).groupBy("project_id").agg(F.min(F.struct("error", "way", "digits")).alias("b"))
+    names = F.array(*[F.lit(str(v)) for v in numbers])
+    return best.select("project_id", F.array_join(F.transform("b.digits", lambda x: F.element_at(names, (x + 1).cast("int"))), ",").alias("assignment"), F.col("b.error").alias("error"))
 
 
 def day_summary(entries: DataFrame, movements: DataFrame, peaks: DataFrame) -> DataFrame:

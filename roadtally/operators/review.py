@@ -51,14 +51,41 @@ def review_reasons(crossings: DataFrame, doubles: DataFrame) -> DataFrame:
     return rows.select("id", "project_id", "ts", "clase_revisada", F.explode(reasons).alias("reason"))
 
 
+def counted_ranges(rows: DataFrame, keys: list[str], ranges: list[str]) -> DataFrame:
+    """keys, ranges and (before, held, total): the rows of a group before each of its ranges, in it, and in all. One row for each range is ordered, not the rows."""
+    group = Window.partitionBy(*keys)
+    sums = rows.groupBy(*keys, *ranges).agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(group.orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumns({"before": before, "total": F.sum("held").over(group)})
+
+
+def placed(rows: DataFrame, wanted: DataFrame, keys: list[str], ranges: list[str], order: list[str]) -> DataFrame:
+    """The rows of the wanted ranges (of counted_ranges) with (place, total): place counts from 1 in the whole group. Null keys are a group of their own."""
+    names = [*keys, *ranges]
+    side = wanted.select(*[F.col(c).alias(f"__{c}") for c in names], "before", "total")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names]
+    own = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return rows.join(side, same).withColumn("place", F.col("before") + own).drop("before", *[f"__{c}" for c in names])
+
+
+def hour_of(time: str) -> Column:
+    """The hour that a time lies in, counted from 1970: a range of times that one task can order, as a site's or line's hour is bounded."""
+    return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / 3600)
+
+
 def review_queue(reasons: DataFrame, start: int = 0, limit: int = 40) -> DataFrame:
-    """A page of each site's queue of unreviewed rows by priority and time, with the length of the queue."""
+    """A page of each site's queue of unreviewed rows by priority and time, with the length of the queue.
+
+    The queue is counted by priority and hour; only the hours that the page touches are ordered. Rows of a null time come first in their
+    priority, those of a null site are a queue; a page beyond the end and an empty table give no rows."""
     rank = F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))])
     rows = reasons.where("clase_revisada IS NULL").withColumn("rank", rank[F.col("reason")])
     items = rows.groupBy("project_id", "id", "ts").agg(F.min("rank").alias("priority"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    site = Window.partitionBy("project_id")
-    items = items.withColumn("place", F.row_number().over(site.orderBy("priority", "ts", "id"))).withColumn("total", F.count("*").over(site))
-    return items.where(F.col("place").between(start + 1, start + limit))
+    items = items.withColumn("__hour", hour_of("ts"))
+    counts = counted_ranges(items, ["project_id"], ["priority", "__hour"])
+    page = counts.where((F.col("before") < start + limit) & (F.col("before") + F.col("held") > start))
+    out = placed(items, page, ["project_id"], ["priority", "__hour"], ["ts", "id"])
+    return out.where(F.col("place").between(start + 1, start + limit)).select("project_id", "id", "ts", "priority", "reasons", "place", "total")
 
 
 def reason_totals(reasons: DataFrame) -> DataFrame:
@@ -66,11 +93,16 @@ def reason_totals(reasons: DataFrame) -> DataFrame:
 
 
 def even_sample(rows: DataFrame, keys: list[str], order: list[str], quota: int) -> DataFrame:
-    """Every (n // quota)-th row of each group, at most quota."""
-    group = Window.partitionBy(*keys)
-    ranked = rows.withColumn("place", F.row_number().over(group.orderBy(*order)) - 1).withColumn("n", F.count("*").over(group))
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / quota))
-    return ranked.where((F.col("place") % step == 0) & (F.col("place") / step < quota)).drop("place", "n")
+    """Every (n // quota)-th row of each group, at most quota, in an order that begins with a time.
+
+    A group is counted by the hours of that time; only hours in which a wanted place falls are ordered, at most quota of them. Rows of a null
+    time come first, null keys are a group; an empty table gives no rows."""
+    rows = rows.withColumn("__hour", hour_of(order[0]))
+    step = F.greatest(F.lit(1), F.floor(F.col("total") / quota))
+    counts = counted_ranges(rows, keys, ["__hour"]).withColumn("__next", F.ceil(F.col("before") / step) * step)
+    wanted = counts.where((F.col("__next") < F.col("before") + F.col("held")) & (F.col("__next") / step < quota))
+    at = F.col("place") - 1
+    return placed(rows, wanted, keys, ["__hour"], order).where((at % step == 0) & (at / step < quota)).drop("place", "total", "__hour")
 
 
 def apply_reviews(crossings: DataFrame, reviews: DataFrame) -> DataFrame:
