@@ -1,7 +1,4 @@
-"""Order-dependent jobs on tracks: each runs on one video's rows at a time, in small NumPy helpers.
-
-A video lasts minutes, so its rows are a bounded group; Spark deals the videos out.
-"""
+"""Order-dependent jobs on tracks, as windows, joins and folds of short stretches; templates compare at most 150 paths of a movement in NumPy."""
 
 from __future__ import annotations
 
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadtally.operators import shapes
 from roadtally.operators.assign import FORBIDDEN, assign
+from roadtally.operators.graphs import components
 from roadtally.sources.sinks import kept_table
 
 # Limits under which the counts were compared with hand counts.
@@ -24,36 +22,47 @@ TEMPLATE_POINTS, TEMPLATE_LEAST, TEMPLATE_KEPT, TEMPLATE_EXAMPLES, TEMPLATE_APAR
 
 def drop_repeated_crossings(crossings: DataFrame) -> DataFrame:
     """Crossings without those that repeat an accepted one: same line, at most 5 frames later, its ground point
-    within max(6 px, 0.2 height) in x and y (the height of either box)."""
+    within max(6 px, 0.2 height) in x and y (the height of either box).
+
+    A crossing over 5 frames after the one before it depends on none, so a line's crossings fall apart into short stretches; each is
+    folded in order of (frame, track_id) inside an array. Crossings of a null frame are kept, and one of a null place or height repeats nothing."""
+    line = Window.partitionBy("job_id", "lane_id").orderBy("frame", "track_id")
+    begins = F.coalesce(F.col("frame") - F.lag("frame").over(line) > REPEAT_FRAMES, F.lit(True))
+    rows = crossings.withColumn("begins", begins.cast("int")).withColumn("stretch", F.sum("begins").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct("frame", "track_id", *[c for c in crossings.columns if c not in ("frame", "track_id")])
+    stretches = rows.groupBy("job_id", "lane_id", "stretch").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["frame", "track_id"])
-        taken: list[tuple[float, float, float, float]] = []
-        mask = []
-        for f, x, y, h in zip(group["frame"], group["gx"], group["gy"], group["height"]):
-            taken = [t for t in taken if f - t[0] <= REPEAT_FRAMES]
-            limit = [max(REPEAT_PIXELS, REPEAT_SHARE * max(h, t[3])) for t in taken]
-            repeat = any(abs(x - t[1]) <= m and abs(y - t[2]) <= m for t, m in zip(taken, limit))
-            mask.append(not repeat)
-            if not repeat:
-                taken.append((f, x, y, h))
-        return group[mask]
+    def repeats(r, t):
+        limit = F.greatest(F.lit(REPEAT_PIXELS), REPEAT_SHARE * F.greatest(r["height"], t["height"]))
+        near = (r["frame"] - t["frame"] <= REPEAT_FRAMES) & (F.abs(r["gx"] - t["gx"]) <= limit) & (F.abs(r["gy"] - t["gy"]) <= limit)
+        return F.coalesce(near & r["height"].isNotNull() & t["height"].isNotNull(), F.lit(False))
 
-    return crossings.groupBy("job_id", "lane_id").applyInPandas(keep, crossings.schema)
+    fold = F.aggregate("rows", F.slice("rows", 1, 0), lambda kept, r: F.when(F.exists(kept, lambda t: repeats(r, t)), kept).otherwise(F.concat(kept, F.array(r))))
+    return stretches.select(F.explode(fold).alias("r")).select([F.col(f"r.{c}") for c in crossings.columns])
 
 
 def monotonic_clock(instants: DataFrame) -> DataFrame:
-    """(job_id, frame, at): an instant that doesn't advance becomes the one before plus a frame's time."""
+    """(job_id, frame, at): an instant that doesn't advance becomes the one before plus a frame's time.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame")
-        at, out = None, []
-        for s, fps in zip(group["s"], group["fps"]):
-            at = s if at is None or s > at else at + 1.0 / fps
-            out.append(at)
-        return pd.DataFrame({"job_id": group["job_id"], "frame": group["frame"], "at": out})
+    No instant can be later than the latest of (s less the frame times up to it) plus all frame times so far, so a row whose s is beyond
+    that surely stands as it is. Between such rows, which a clock that runs has everywhere, a short stretch is folded inside an array. A null s
+    doesn't advance; what comes before the first s, or after a null rate until the next s, is null."""
+    order = Window.partitionBy("job_id").orderBy("frame")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = instants.select("job_id", "frame", F.col("s").cast("double").alias("s"), (1 / F.col("fps")).alias("step"))
+    rows = rows.withColumn("steps", F.sum(F.coalesce("step", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    most = F.max(F.col("s") - F.col("steps")).over(past) + F.lag("steps").over(order)
+    rows = rows.withColumn("most", most).withColumn("stands", (F.col("most").isNull() | F.coalesce(F.col("s") > F.col("most") + 1e-6, F.lit(False))).cast("int"))
+    rows = rows.withColumn("stretch", F.sum("stands").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = rows.groupBy("job_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("frame", "s", "step"))).alias("rows"))
 
-    return instants.groupBy("job_id").applyInPandas(run, "job_id long, frame long, at double")
+    def next_instant(done, r):
+        last = F.get(done, F.size(done) - 1)["at"]
+        at = F.when(last.isNull() | (r["s"] > last), r["s"]).otherwise(last + r["step"])
+        return F.concat(done, F.array(F.struct(r["frame"].alias("frame"), at.alias("at"))))
+
+    none = F.transform(F.slice("rows", 1, 0), lambda r: F.struct(r["frame"].alias("frame"), r["s"].alias("at")))
+    return stretches.select("job_id", F.explode(F.aggregate("rows", none, next_instant)).alias("r")).select("job_id", "r.frame", "r.at")
 
 
 def origins_destinations(points: DataFrame, short: int = 15) -> DataFrame:
@@ -147,23 +156,10 @@ def fused_twins(points: DataFrame) -> DataFrame:
 
 
 def twin_groups(pairs: DataFrame) -> DataFrame:
-    """(job_id, track_id, head): connected twins of a video under their least id."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        head: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while head.setdefault(x, x) != x:
-                head[x] = head[head[x]]
-                x = head[x]
-            return x
-
-        for a, b in zip(group["a"], group["b"]):
-            lo, hi = sorted((find(a), find(b)))
-            head[hi] = lo
-        return pd.DataFrame({"job_id": group["job_id"].iloc[0], "track_id": list(head), "head": [find(x) for x in head]})
-
-    return pairs.groupBy("job_id").applyInPandas(run, "job_id long, track_id long, head long")
+    """(job_id, track_id, head): connected twins of a video under their least id, for all videos in the same joins."""
+    node = lambda c: F.struct("job_id", F.col(c).alias("track_id"))
+    parts = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    return parts.select("node.job_id", "node.track_id", F.col("part.track_id").alias("head"))
 
 
 class BoxTracker:

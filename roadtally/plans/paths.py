@@ -9,7 +9,7 @@ from roadtally.functions import columns as C
 from roadtally.operators import classify, fragments, intervals, peaks, regions, runs, tracks
 from roadtally.plans.counts import CLASSES, COUNTS, COVERED, HOURS, MERGED, RANGES, SCALES, STAMP, counts_of, shown
 from roadtally.plans.fixtures import Fixtures, oracle
-from roadtally.plans.measures import GROUND, boxes, ground
+from roadtally.plans.measures import GROUND, NESTED, boxes, ground
 from roadtally.sources import files, sinks
 
 QUERIES, ORACLES = {}, {}
@@ -25,9 +25,17 @@ def query(name: str, sql: str | None = None, *ctes: str):
     return add
 
 
-@query("q028_repeated_crossings")
+@query(
+    "q028_repeated_crossings",
+    "SELECT id, job_id, lane_id, track_id, frame, gx, gy, height FROM walk WHERE keep",
+    """listed AS MATERIALIZED (SELECT id, job_id, lane_id, track_id, CAST(cuadro // 4 AS BIGINT) AS frame, bbox_x + bbox_width / 2.0e0 AS gx, 960.0e0 AS gy, CAST(bbox_height AS DOUBLE) AS height, row_number() OVER (PARTITION BY job_id, lane_id ORDER BY cuadro // 4, track_id) AS k FROM crossings),
+walk AS (SELECT *, true AS keep, [{'f': frame, 'x': gx, 'h': height}] AS taken FROM listed WHERE k = 1 UNION ALL
+  SELECT id, job_id, lane_id, track_id, frame, gx, gy, height, k, nearby = 0, CASE WHEN nearby = 0 THEN list_append(taken, {'f': frame, 'x': gx, 'h': height}) ELSE taken END FROM (
+    SELECT n.*, w.taken, len(list_filter(w.taken, lambda t: n.frame - t.f <= 5 AND abs(n.gx - t.x) <= greatest(6.0e0, 0.2e0 * greatest(n.height, t.h)))) AS nearby FROM walk w JOIN listed n ON n.job_id = w.job_id AND n.lane_id = w.lane_id AND n.k = w.k + 1))""",
+)
 def _(fx):
-    rows = fx.crossings.select("id", "job_id", "lane_id", "track_id", F.col("cuadro").cast("long").alias("frame"), (F.col("bbox_x") + F.col("bbox_width") / 2).alias("gx"), F.lit(960.0).alias("gy"), F.col("bbox_height").cast("double").alias("height"))
+    """At five frames a second, so that second crossings come two frames later."""
+    rows = fx.crossings.select("id", "job_id", "lane_id", "track_id", F.floor(F.col("cuadro") / 4).alias("frame"), (F.col("bbox_x") + F.col("bbox_width") / 2).alias("gx"), F.lit(960.0).alias("gy"), F.col("bbox_height").cast("double").alias("height"))
     return tracks.drop_repeated_crossings(rows)
 
 
@@ -81,7 +89,12 @@ def _(fx):
     return tracks.origins_destinations(ground(fx).select("job_id", "track_id", frame.alias("frame"), access.alias("access")))
 
 
-@query("q125_monotonic_clock")
+@query(
+    "q125_monotonic_clock",
+    'SELECT job_id, frame, round(t, 6) AS "at" FROM walk',
+    """instants AS MATERIALIZED (SELECT job_id, frame, s, row_number() OVER (PARTITION BY job_id ORDER BY frame) AS k FROM (SELECT DISTINCT CAST(job_id AS BIGINT) AS job_id, CAST(cuadro AS BIGINT) AS frame, cuadro // 40 * 2.0e0 AS s FROM crossings)),
+walk AS (SELECT job_id, frame, k, s AS t FROM instants WHERE k = 1 UNION ALL SELECT n.job_id, n.frame, n.k, CASE WHEN n.s > w.t THEN n.s ELSE w.t + 0.05e0 END FROM walk w JOIN instants n ON n.job_id = w.job_id AND n.k = w.k + 1)""",
+)
 def _(fx):
     rows = fx.crossings.select(F.col("job_id").cast("long"), F.col("cuadro").cast("long").alias("frame"), (F.floor(F.col("cuadro") / 40) * 2).cast("double").alias("s"), F.lit(20.0).alias("fps")).dropDuplicates(["job_id", "frame"])
     return tracks.monotonic_clock(rows).withColumn("at", F.round("at", 6))
@@ -132,7 +145,20 @@ def _(fx):
     return fragments.chains_of_points(ground(fx).withColumn("track_id", F.col("track_id") + late).withColumn("access", access), 20.0)
 
 
-@query("q150_fused_twins")
+@query(
+    "q150_fused_twins",
+    """SELECT job_id, frame, kept AS track_id, x1, y1, x2, y2 FROM (SELECT b.*, coalesce(longest, b.track_id) AS kept, row_number() OVER (PARTITION BY b.job_id, coalesce(longest, b.track_id), frame ORDER BY n DESC NULLS LAST, b.track_id) AS place
+       FROM boxed_frames b LEFT JOIN (SELECT *, first_value(track_id) OVER (PARTITION BY job_id, head ORDER BY n DESC, track_id) AS longest FROM heads JOIN lengths USING (job_id, track_id)) h ON h.job_id = b.job_id AND h.track_id = b.track_id) WHERE place = 1""",
+    NESTED,
+    """boxed_frames AS MATERIALIZED (SELECT CAST(job_id AS BIGINT) AS job_id, frame, track_id, x1, y1, x2, y2 FROM boxes),
+lengths AS (SELECT job_id, track_id, count(*) AS n FROM boxed_frames GROUP BY ALL),
+sharing AS (SELECT a.job_id, a.track_id AS a, b.track_id AS b, count(*) AS shared, median(greatest(0.0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))) AS held
+  FROM boxed_frames a JOIN boxed_frames b ON a.job_id = b.job_id AND a.frame = b.frame AND a.track_id < b.track_id GROUP BY ALL),
+twins AS MATERIALIZED (SELECT o.job_id, a, b FROM sharing o JOIN lengths x ON x.job_id = o.job_id AND x.track_id = a JOIN lengths y ON y.job_id = o.job_id AND y.track_id = b WHERE shared >= 0.5e0 * least(x.n, y.n) AND held >= 0.65e0),
+links AS MATERIALIZED (SELECT job_id, a, b FROM twins UNION SELECT job_id, b, a FROM twins),
+reached AS (SELECT job_id, a AS track_id, a AS seen FROM links UNION SELECT r.job_id, r.track_id, l.b FROM reached r JOIN links l ON l.job_id = r.job_id AND l.a = r.seen),
+heads AS (SELECT job_id, track_id, min(seen) AS head FROM reached GROUP BY ALL)""",
+)
 def _(fx):
     rows = boxes(fx).select(F.col("job_id").cast("long").alias("job_id"), "frame", F.col("track_id").cast("long").alias("track_id"), "x1", "y1", "x2", "y2")
     return tracks.fused_twins(rows)
