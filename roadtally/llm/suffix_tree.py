@@ -12,7 +12,7 @@ With T the longest retained context, log p(w) is log p0(w), plus a context's log
 weight for each retained suffix of T, plus for each of these that holds w the logarithm of what holding it
 changes. Each term belongs to one run of words, so a text's score is the base score plus a sum of
 ``values`` over its runs: Spark makes one table (run, value), tasks add up the commonest runs
-from a bounded cache, a Bloom filter of fixed size drops runs that are in no table, and what is
+from a bounded cache, a Bloom filter sized by their number drops runs that are in no table, and what is
 left is joined. Cache and filters change no score. Runs are known by 64-bit hashes of their words.
 
 Words are counted exactly, by their bytes; the ``head`` commonest go to every task, others are joined.
@@ -37,11 +37,14 @@ from pyspark.sql import functions as F
 
 from roadtally.llm.common import drop_written, partitions, written
 
-DEPTH = 2
+#: Words of the longest context. A stated bound: held-out log10 totals are -225184, -225080 and -225077 with 2, 3 and 5 words (sf0.01).
+DEPTH = 5
 MIN_COUNT = 4
 DISCOUNT = 0.75
 #: Words and runs that tasks hold. Scores do not depend on them.
-HEAD, CACHED, FILTER_BITS = 120_000, 1_500_000, 27
+HEAD, CACHED = 120_000, 1_500_000
+#: Bits of a filter for each run that it is made for, and the binary logarithm of its least and greatest size in bits.
+BITS_A_RUN, LEAST_BITS, MOST_BITS = 16, 20, 30
 END = b"\n"
 #: Words and places that a task holds before it hands them on: two such tasks must fit beside an executor's heap.
 HELD = 500_000
@@ -94,10 +97,15 @@ def tokens_of(column: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarr
     return texts, sizes, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def bits_for(n: int) -> int:
+    """Size of the filter of n runs. From 67 million runs on it stays at 128 MB and lets more runs pass that are in no table, which costs time alone."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_A_RUN * n).bit_length()))
+
+
 class Filter:
-    """A Bloom filter of runs; its size is fixed."""
+    """A Bloom filter of runs, of one probe."""
 
-    def __init__(self, words: DataFrame, bits: int = FILTER_BITS):
+    def __init__(self, words: DataFrame, bits: int):
         """words: (at, word), the 64-bit words that are not zero."""
         got = words.toArrow()
         whole = np.zeros(1 << (bits - 6), np.int64)
@@ -105,7 +113,9 @@ class Filter:
         self.bits, self.table = bits, whole.view(np.uint8)
 
     @classmethod
-    def of(cls, runs: DataFrame, bits: int = FILTER_BITS) -> Filter:
+    def of(cls, runs: DataFrame, bits: int | None = None) -> Filter:
+        bits = bits or bits_for(runs.count())
+
         def words(batches):
             for batch in batches:
                 yield _filter_words(slot(batch.column(0).to_numpy().view(np.uint64), bits))
@@ -178,8 +188,8 @@ def counted(train: DataFrame, part_bits: int) -> DataFrame:
     return _texts(train).select("text").mapInArrow(count, COUNTED)
 
 
-def frequent_pairs(raw: DataFrame, min_count: int, bits: int) -> Filter:
-    """The filter of the pairs whose marks come min_count times or more."""
+def frequent_pairs(raw: DataFrame, min_count: int, bits: int | None) -> Filter:
+    """The filter of the pairs whose marks come min_count times or more; these are written first, and their number gives its size."""
 
     def merge(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()]
@@ -189,11 +199,18 @@ def frequent_pairs(raw: DataFrame, min_count: int, bits: int) -> Filter:
         x, n = x[order], n[order]
         start = np.nonzero(np.r_[True, x[1:] != x[:-1]])[0] if len(x) else np.zeros(0, np.int64)
         often = x[start][np.add.reduceat(n, start) >= min_count] if len(x) else x
-        return pa.Table.from_batches([_filter_words(often.astype(np.int64) >> (32 - bits))])
+        return pa.table({"mark": pa.array(often.astype(np.int64))})
+
+    found = written(raw.where("part IS NOT NULL").select("part", "marks").groupBy("part").applyInArrow(merge, "mark long"), "pairs")
+    bits = bits or bits_for(found.count())
+
+    def words(batches):
+        for batch in batches:
+            yield _filter_words(batch.column(0).to_numpy() >> (32 - bits))
 
-    # a part is a range of marks; parts of one word of the filter at least
-    found = raw.where("part IS NOT NULL").select("part", "marks").groupBy("part").applyInArrow(merge, "at long, word long")
-    return Filter(found.groupBy("at").agg(F.bit_or("word").alias("word")), bits)
+    pairs = Filter(found.mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")), bits)
+    drop_written(found)
+    return pairs
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -341,7 +358,7 @@ def _lists(owner: np.ndarray, n: int, fields: list[pa.Array], names: list[str])
 
 
 def score_documents(
-    docs: DataFrame, in_training: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, head: int = HEAD, cached: int = CACHED, filter_bits: int = FILTER_BITS
+    docs: DataFrame, in_training: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, head: int = HEAD, cached: int = CACHED, filter_bits: int | None = None
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row; learns from the rows where in_training holds."""
     spark, train = docs.sparkSession, docs.where(in_training)
