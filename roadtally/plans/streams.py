@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtally.functions import columns as C
@@ -41,19 +41,24 @@ def settled(fx, stream: DataFrame) -> DataFrame:
     return fx.spark.read.parquet(place)
 
 
-def appended(fx, rows: DataFrame, job) -> DataFrame:
-    """What a windowed job appends: all rows and, far behind them, one that closes their windows; then the stream starts again from its
-    checkpoint with every fiftieth row once more, which comes too late and must change nothing."""
+def in_turns(fx, turns: list[DataFrame], job) -> DataFrame:
+    """What a job appends when rows come in turns: for each turn the stream starts again from its checkpoint and reads what is new in one batch."""
     place, out, marks = (sinks.shared_place(fx.spark, x) for x in ("stream", "settled", "marks"))
-    last = rows.agg(F.max("ts").alias("ts")).select(*[F.col("ts") + F.expr("INTERVAL 2 DAYS") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns]).toDF(*rows.columns)
-    for more in (rows.unionByName(last.where("ts IS NOT NULL")), rows.where("track_id % 50 = 1")):
-        more.write.mode("append").parquet(place)
+    for rows in turns:
+        rows.write.mode("append").parquet(place)
         stream = job(fx.spark.readStream.schema(rows.schema).parquet(place))
         writer = stream.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", marks)
         writer.format("parquet").option("path", out).start().awaitTermination()
     return fx.spark.read.schema(stream.schema).parquet(out)
 
 
+def appended(fx, rows: DataFrame, job) -> DataFrame:
+    """What a windowed job appends: all rows and, far behind them, one that closes their windows; then every fiftieth row once more,
+    which comes too late and must change nothing."""
+    last = rows.agg(F.max("ts").alias("ts")).select(*[F.col("ts") + F.expr("INTERVAL 2 DAYS") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns]).toDF(*rows.columns)
+    return in_turns(fx, [rows.unionByName(last.where("ts IS NOT NULL")), rows.where("track_id % 50 = 1")], job)
+
+
 def crossings(fx) -> DataFrame:
     return fx.crossings.select("job_id", "track_id", "lane_id", "direction", "vehicle_type", F.col("ts").cast("timestamp").alias("ts"))
 
@@ -74,12 +79,13 @@ def _(fx):
     GROUND, STEPS, LINES, TILTED,
 )
 def _(fx):
-    """Both slanting lines of each site, points in several batches."""
+    """Both slanting lines of each site; every track's points come in three batches, in order."""
     at = F.timestamp_seconds(1_704_067_200 + F.col("job_id") % 1000 * 3600 + F.col("frame") / 20)
     rows = ground(fx).select(F.col("project_id").cast("long"), F.col("job_id").cast("long"), F.col("track_id").cast("long"), F.col("frame").cast("long"), "gx", "gy", at.alias("ts"))
     lines = fx.lanes.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long"), F.lit(0.0).alias("x1"), F.lit(955.5).alias("y1"), F.lit(3000.0).alias("x2"), (951.5 + F.col("lane_id")).alias("y2"))
-    stream = stored(fx, rows.repartitionByRange(3, "ts").sortWithinPartitions("ts"), 1).withWatermark("ts", "40 days")
-    return settled(fx, live.live_line_crossings(stream, lines))
+    part = F.floor((F.row_number().over(Window.partitionBy("job_id", "track_id").orderBy("frame")) - 1) / 4)
+    turns = [rows.withColumn("part", F.least(part, F.lit(2))).where(F.col("part") == k).drop("part") for k in range(3)]
+    return in_turns(fx, turns, lambda points: live.live_line_crossings(points.withWatermark("ts", "40 days"), lines))
 
 
 @query("q143_live_intervals", f"SELECT {STAMP.format('start')} AS start, lane_id, direction, vehicle_type, n FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, lane_id, direction, vehicle_type, count(*) AS n FROM crossings GROUP BY ALL)")
