@@ -84,7 +84,8 @@ def _(fx):
     rows = ground(fx).select(F.col("project_id").cast("long"), F.col("job_id").cast("long"), F.col("track_id").cast("long"), F.col("frame").cast("long"), "gx", "gy", at.alias("ts"))
     lines = fx.lanes.select(F.col("project_id").cast("long"), F.col("lane_id").cast("long"), F.lit(0.0).alias("x1"), F.lit(955.5).alias("y1"), F.lit(3000.0).alias("x2"), (951.5 + F.col("lane_id")).alias("y2"))
     part = F.floor((F.row_number().over(Window.partitionBy("job_id", "track_id").orderBy("frame")) - 1) / 4)
-    turns = [rows.withColumn("part", F.least(part, F.lit(2))).where(F.col("part") == k).drop("part") for k in range(3)]
+    rows = sinks.kept_table(rows.withColumn("part", F.least(part, F.lit(2))), "points")  # read once for each turn
+    turns = [rows.where(F.col("part") == k).drop("part") for k in range(3)]
     return in_turns(fx, turns, lambda points: live.live_line_crossings(points.withWatermark("ts", "40 days"), lines))
 
 
