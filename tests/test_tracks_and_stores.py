@@ -1,6 +1,7 @@
 """Broken tracks, chains, stored paths, templates, second boxes, regions, file runs and versioned segments, against plain versions and worked cases."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -445,6 +446,25 @@ def test_remeasured_pairs_equal_a_walk(spark):
     assert tracks.remeasured_pairs(spark.createDataFrame([], schema), spark.createDataFrame(measured, schema)).count() == 0
 
 
+def test_remeasured_pairs_of_one_busy_second(spark):
+    """Every stored row wanted the same measured one, so rounds of mutually best pairs took one pair each."""
+    schema = "job_id long, lane_id long, id long, track_id long, s double, height double"
+    row = lambda i, track, k: (1, 1, i, track, None if k % 7 == 3 else 5.5, None if k % 11 == 5 else 100.0)
+    stored, measured = [row(i, i, i) for i in range(400)], [(1, 1, 5000 - i, -1 - i, 5.0, 100.0) for i in range(380)]
+    measured += [(1, 1, 6000, -900, 5.0, None), (1, 1, 4000, -901, 900.0, 100.0)]
+    began = time.time()
+    got = rows_of(tracks.remeasured_pairs(spark.createDataFrame(stored, schema), spark.createDataFrame(measured, schema)))
+    # the first row without a time takes the least id, at whatever time it is; the first without a height the one without
+    left, want = sorted(c[2] for c in measured if c[2] < 6000), {5: 6000}
+    for g in stored:
+        fits = [m for m in left if m != 4000 or g[4] is None]
+        if g[2] not in want and fits:
+            want[g[2]] = fits[0]
+            left.remove(fits[0])
+    assert got == [(1, 1, i, m) for i, m in sorted(want.items())]
+    assert time.time() - began < 60
+
+
 def test_live_lines_over_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "project_id long, job_id long, track_id long, frame long, gx double, gy double, ts timestamp"
