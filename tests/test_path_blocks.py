@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roadtally.operators import shapes, trajectories
+from roadtally.operators import shapes, tracks, trajectories
+from roadtally.sources import sinks
 
 
 def test_arrays_are_resampled_as_the_column_expression_does(spark):
@@ -51,3 +52,12 @@ def test_many_paths_take_seconds(spark):
     assert trajectories.assigned_paths(paths, templates).count() == 60_000
     assert trajectories.resampled_paths(paths.withColumnsRenamed({"project_id": "job_id", "id": "track_id"})).count() == 60_000 * 32
     assert time.time() - began < 60
+
+
+def test_tasks_do_not_grow_with_the_table(spark):
+    """Windows by track were dealt over the session's partitions at every size."""
+    rows = spark.range(0, 1_300_000, 1, 4).select((F.col("id") % 7).alias("job_id"), F.floor(F.col("id") / 5).alias("track_id"), (F.col("id") % 5).alias("frame"), F.when(F.col("id") % 5 == 0, 1).alias("access"))
+    assert sinks.dealt(rows, "job_id", "track_id", rows=100_000).rdd.getNumPartitions() == 13
+    assert sinks.dealt(rows.limit(10), "job_id", "track_id").rdd.getNumPartitions() == 4
+    plan = tracks.origins_destinations(rows)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
