@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtally.sources.sinks import kept_table
+from roadtally.sources.sinks import dealt, kept_table
 
 # How ends are taken and how many regions are tried.
 END_POINTS, MARGIN, LEAST_CLUSTERS, MOST_CLUSTERS, LEAST_ENDS, ENDS_A_CLUSTER, LEAST_WAY, LEAST_POINTS = 7, 1 / 6, 2, 9, 10, 5, 0.04, 5
@@ -24,13 +24,15 @@ def track_ends(points: DataFrame, width: float, height: float, margin: float = M
     is what is left of the site's range of places without a sixth on each side; whole says that the track's first and last point lie outside it."""
     own = Window.partitionBy("project_id", "job_id", "track_id")
     rows = points.where("frame IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL").select("project_id", "job_id", "track_id", "frame", F.col("gx").alias("x"), F.col("gy").alias("y"))
+    rows = dealt(rows, "project_id", "job_id", "track_id")
     rows = rows.withColumn("k", F.row_number().over(own.orderBy("frame"))).withColumn("back", F.row_number().over(own.orderBy(F.desc("frame"))))
     first, last = F.max(F.when(F.col("k") == 1, F.struct("x", "y"))).over(own), F.max(F.when(F.col("back") == 1, F.struct("x", "y"))).over(own)
     rows = rows.withColumn("first", first).withColumn("last", last)
     rows = rows.withColumn("size", F.count("*").over(own)).where(F.col("size") >= LEAST_POINTS)
     diagonal = F.sqrt(F.lit(float(width) ** 2 + float(height) ** 2))
     rows = rows.where(F.hypot(F.col("last.x") - F.col("first.x"), F.col("last.y") - F.col("first.y")) >= LEAST_WAY * diagonal)
-    area = rows.groupBy("project_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    # a row a site, kept so that Spark knows its size and need not deal all points by site to join it
+    area = kept_table(rows.groupBy("project_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")), "areas")
     near = rows.where((F.col("k") <= END_POINTS) | (F.col("back") <= END_POINTS)).join(area, "project_id")
     low = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * margin
     high = lambda a, b: F.col(b) - (F.col(b) - F.col(a)) * margin
@@ -103,7 +105,7 @@ def regions(ends: DataFrame) -> DataFrame:
 
 def movements_by_region(ends: DataFrame, found: DataFrame) -> DataFrame:
     """(project_id, job_id, track_id, origin, destination): the region that most of a track's first and last points lie nearest to; of equals the one seen first. Null without a region or a point."""
-    few = found.groupBy(*KEY).agg(F.collect_list(F.struct("region", F.col("x").alias("cx"), F.col("y").alias("cy"))).alias("cs"))
+    few = kept_table(found.groupBy(*KEY).agg(F.collect_list(F.struct("region", F.col("x").alias("cx"), F.col("y").alias("cy"))).alias("cs")), "regions")
     square = lambda s: (F.col("x") - s["cx"]) * (F.col("x") - s["cx"]) + (F.col("y") - s["cy"]) * (F.col("y") - s["cy"])
     near = F.array_min(F.transform("cs", lambda s: F.struct(square(s).alias("d"), s["region"].alias("region"))))["region"]
     key = ["project_id", "job_id", "track_id"]

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roadtally.operators import shapes, tracks, trajectories
+from roadtally.operators import regions, shapes, tracks, trajectories
 from roadtally.sources import sinks
 
 
@@ -61,3 +61,9 @@ def test_tasks_do_not_grow_with_the_table(spark):
     assert sinks.dealt(rows.limit(10), "job_id", "track_id").rdd.getNumPartitions() == 4
     plan = tracks.origins_destinations(rows)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_points_are_not_dealt_by_site(spark):
+    rows = spark.range(0, 5000, 1, 4).select((F.col("id") % 7).alias("job_id"), F.floor(F.col("id") / 5).alias("track_id"), (F.col("id") % 5).alias("frame"))
+    points = rows.select(F.lit(1).alias("project_id"), "job_id", "track_id", "frame", (F.col("frame") * 400.0).alias("gx"), F.lit(5.0).alias("gy"))
+    assert "SortMergeJoin" not in regions.track_ends(points, 1920, 1080)._jdf.queryExecution().executedPlan().toString()
