@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadtally.operators import geometry, graphs, tracks
 from roadtally.operators.assign import FORBIDDEN, assign
-from roadtally.sources.sinks import kept_table
+from roadtally.sources.sinks import dealt, kept_table
 
 # Limits under which joined pieces were compared with video.
 GAP_SECONDS, TOLERANCE, SIZES = 1.0, 2.0, (0.5, 2.0)
@@ -110,8 +110,9 @@ def chains_of_points(points: DataFrame, fps: Column | float, moved: float = ACCE
     """(job_id, track_id, chain, place) of the pieces that go together, from points: job_id, track_id, frame, gx, gy, y1, y2, x1, x2, access.
 
     Pieces that never get ``moved`` box heights away from their start are left out before they are joined. A piece without a row here is a path of its own."""
-    alive = geometry.moved(points, moved).where("moved").select("job_id", "track_id")
-    rows = points.join(alive, ["job_id", "track_id"]).withColumn("h", F.col("y2") - F.col("y1"))
-    rows = rows.withColumn("job_id", F.col("job_id").cast("long")).withColumn("track_id", F.col("track_id").cast("long"))
-    ends = piece_ends(rows).join(tracks.origins_destinations(rows).select("job_id", "track_id", "destination"), ["job_id", "track_id"])
+    own = points.select(*[F.col(c).cast("long").alias(c) for c in ("job_id", "track_id")], "frame", "gx", "gy", "y1", "y2", "access")
+    alive = geometry.moved(own, moved).where("moved").select("job_id", "track_id")
+    rows = kept_table(own.join(alive, ["job_id", "track_id"]).withColumn("h", F.col("y2") - F.col("y1")).drop("y1", "y2"), "pieces")
+    rows = dealt(rows, "job_id", "track_id")  # once for all that follows by track
+    ends = piece_ends(rows).join(tracks.origins_destinations(rows, deal=False).select("job_id", "track_id", "destination"), ["job_id", "track_id"])
     return piece_chains(joined_fragments(fragment_candidates(ends, fps, gap, tolerance, standing_gap)))
