@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from roadtally.operators import docsearch
+from roadtally.operators import classify, docsearch, intervals
+from roadtally.plans.fixtures import Fixtures
 
 
 def test_texts_are_cut_a_few_at_a_time(spark):
@@ -14,3 +15,16 @@ def test_texts_are_cut_a_few_at_a_time(spark):
     clean = rows.select("doc_id", docsearch.clean_text(F.col("text")).alias("t")).collect()
     want = [(r.doc_id, k, p) for r in clean for k, p in enumerate(docsearch.chunks_of(r.t or ""))]
     assert sorted((r.doc_id, r.ord, r.text) for r in out.collect()) == want
+
+
+def test_crossings_are_not_dealt_by_line_to_class_them(spark):
+    """There are few lines, so one task read a line's share of the whole table."""
+    crossings = Fixtures(spark, "/root/testdata/sf0.001").crossings
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        rows = intervals.in_bucket(classify.classified(crossings), crossings.groupBy("project_id").agg(F.lit(0).cast("long").alias("lo"), F.lit(4e9).alias("hi")), 15)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert rows.count() == crossings.count()
