@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadtally.functions.columns import index_pick  # noqa: F401
 from roadtally.operators.geometry import iou
+from roadtally.sources.sinks import dealt, kept_table
 
 # Limits and order of the reasons.
 DOUBLE_SECONDS, DOUBLE_IOU, BORDER, LOW_PROBABILITY, LOW_CONFIDENCE = 0.6, 0.3, 0.10, 0.6, 0.35
@@ -20,8 +21,10 @@ def possible_doubles(crossings: DataFrame, fps: float | None = None) -> DataFram
     rate = F.lit(fps).cast("double") if fps else F.col("fps")
     at = F.coalesce(F.col("cuadro") / rate, F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
     order = Window.partitionBy("job_id", "lane_id", "direction").orderBy("at", "id")
-    box = F.struct("id", "at", "bbox_x", "bbox_y", "bbox_width", "bbox_height")
-    rows = crossings.withColumn("at", at).withColumn("before", F.lag(box).over(order)).where("before IS NOT NULL")
+    names = ["id", "at", "bbox_x", "bbox_y", "bbox_width", "bbox_height"]
+    box = F.struct(*names)
+    rows = dealt(crossings.withColumn("at", at).select("job_id", "lane_id", "direction", *names), "job_id", "lane_id", "direction")
+    rows = rows.withColumn("before", F.lag(box).over(order)).where("before IS NOT NULL")
     rows = rows.withColumn("gap", F.col("at") - F.col("before.at")).where(F.col("gap") <= DOUBLE_SECONDS)
     both = [F.col(c) for c in ("bbox_x", "bbox_y", "bbox_width", "bbox_height")], [F.col(f"before.{c}") for c in ("bbox_x", "bbox_y", "bbox_width", "bbox_height")]
     return rows.where(iou(*both[0], *both[1]) >= DOUBLE_IOU).select("id", F.col("before.id").alias("partner"), "gap")
@@ -120,10 +123,15 @@ def review_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def discard(rows: DataFrame, doomed: DataFrame, kind: str, reason: str) -> tuple[DataFrame, DataFrame]:
-    """(rows left, rows for the side table): whole rows as JSON, by which restore() brings them back."""
-    left = rows.join(doomed.select("id"), "id", "left_anti")
-    gone = rows.join(doomed.select("id"), "id", "left_semi")
-    return left, gone.select("project_id", F.lit(kind).alias("kind"), F.col("id").alias("original_id"), F.to_json(F.struct("*")).alias("data"), F.lit(reason).alias("reason"))
+    """(rows left, rows for the side table): whole rows as JSON, by which restore() brings them back.
+
+    What is doomed is stored once, and so is the side table. Rows are dealt by id over partitions whose number grows with them."""
+    ids = kept_table(doomed.select("id"), "doomed")
+    own = dealt(rows, "id")
+    left = own.join(ids, "id", "left_anti")
+    gone = own.join(ids, "id", "left_semi")
+    side = gone.select("project_id", F.lit(kind).alias("kind"), F.col("id").alias("original_id"), F.to_json(F.struct("*")).alias("data"), F.lit(reason).alias("reason"))
+    return left, kept_table(side, "side")
 
 
 def restore(rows: DataFrame, side: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from roadtally.operators import classify, docsearch, intervals
+from roadtally.operators import classify, docsearch, intervals, review
 from roadtally.plans.fixtures import Fixtures
 
 
@@ -28,3 +28,14 @@ def test_crossings_are_not_dealt_by_line_to_class_them(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Exchange hashpartitioning" not in plan
     assert rows.count() == crossings.count()
+
+
+def test_discarded_crossings_are_dealt_over_partitions_that_grow(spark):
+    """Windows by line and joins by id were dealt over the session's partitions at every size."""
+    crossings = Fixtures(spark, "/root/testdata/sf0.001").crossings
+    doubles = review.possible_doubles(crossings, fps=20.0)
+    left, side = review.discard(crossings, doubles, "cruce", "doble")
+    for df in (doubles, left):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    assert side.count() == doubles.count() > 0 and left.count() == crossings.count() - side.count()
+    assert review.restore(left, side).drop("ts").exceptAll(crossings.drop("ts")).isEmpty()
