@@ -1,8 +1,13 @@
 """What one task reads or holds does not grow with the table."""
 
+import math
+import statistics
+from collections import Counter, defaultdict
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from roadtally.operators import classify, docsearch, intervals, review
+from roadtally.operators import classify, docsearch, intervals, review, tracks
 from roadtally.plans.fixtures import Fixtures
 
 
@@ -39,3 +44,34 @@ def test_discarded_crossings_are_dealt_over_partitions_that_grow(spark):
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
     assert side.count() == doubles.count() > 0 and left.count() == crossings.count() - side.count()
     assert review.restore(left, side).drop("ts").exceptAll(crossings.drop("ts")).isEmpty()
+
+
+def test_twins_are_found_in_arrays(spark):
+    """A row was made for each frame that two tracks share; now a stretch of a video is compared at once, and tracks may reach over several."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for job in (1, 2):
+        for track in range(12):
+            first, n = int(draw.integers(0, 700)), int(draw.integers(3, 600))
+            x, y, size = float(draw.integers(0, 3)) * 40, float(draw.integers(0, 3)) * 40, float(draw.integers(20, 90))
+            rows += [(job, f, track, x + f % 7, y, x + f % 7 + size, y + size if f % 50 else None) for f in range(first, first + n) if f % 11]
+    rows += [(1, 5, 40 + k, 0.0, 0.0, 0.0, 9.0) for k in range(2)] + [(None, 5, 1, 0.0, 0.0, 1.0, 1.0), (1, None, 3, 0.0, 0.0, 1.0, 1.0)]
+    length, held = Counter(), defaultdict(list)
+    for job, frame, a, *p in rows:
+        length[job, a] += 1
+    lesser, greater = lambda *v: min((i for i in v if i is not None), default=None), lambda *v: max((i for i in v if i is not None), default=None)
+    for job, frame, a, *p in rows:
+        for other, at, b, *q in rows:
+            if job is not None and frame is not None and (job, frame) == (other, at) and a < b:
+                low, high = [greater(p[i], q[i]) for i in (0, 1)], [lesser(p[i], q[i]) for i in (2, 3)]
+                inter = math.prod(greater(0.0, h - k) if h is not None else 0.0 for h, k in zip(high, low))
+                area = lesser(*[None if r[3] is None else (r[2] - r[0]) * (r[3] - r[1]) for r in (p, q)])
+                held[job, a, b].append(inter / area if area else None)
+    want = set()
+    for (job, a, b), values in held.items():
+        known = [v for v in values if v is not None]
+        if known and len(values) >= 0.5 * min(length[job, a], length[job, b]) and statistics.median(known) >= 0.65:
+            want.add((job, a, b, length[job, a], length[job, b]))
+    out = tracks.twin_pairs(spark.createDataFrame(rows, "job_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double"))
+    assert {tuple(r) for r in out.select("job_id", "a", "b", "na", "nb").collect()} == want and len(want) > 3
+    assert "percentile" not in out._jdf.queryExecution().toString()
