@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from roadtally.llm import suffix_tree
 from roadtally.operators import classify, docsearch, intervals, review, tracks
 from roadtally.plans.fixtures import Fixtures
 
@@ -75,3 +76,23 @@ def test_twins_are_found_in_arrays(spark):
     out = tracks.twin_pairs(spark.createDataFrame(rows, "job_id long, frame long, track_id long, x1 double, y1 double, x2 double, y2 double"))
     assert {tuple(r) for r in out.select("job_id", "a", "b", "na", "nb").collect()} == want and len(want) > 3
     assert "percentile" not in out._jdf.queryExecution().toString()
+
+
+def test_longer_runs_are_counted_only_where_triples_are_common(spark):
+    """All runs of up to six words were sent wherever all pairs are common, after sums in the task that spilled as much again."""
+    draw = np.random.default_rng(2).integers(0, 12, 900)
+    words = ["abcdefg"[i % 15] if i % 15 < 7 else "abcdefghijkl"[draw[i]] for i in range(900)]
+    docs = spark.createDataFrame([(k, " ".join(words[k * 30 : k * 30 + 45])) for k in range(29)], "doc_id long, text string").repartition(3)
+    raw = suffix_tree.counted(docs, 3)
+    pairs = suffix_tree.frequent_pairs(raw, 4, 20)
+    plan = suffix_tree.runs_counted(docs, pairs, 1, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    want, sent = Counter(), suffix_tree.runs_counted(docs, pairs, 1, 3, 5).agg(F.sum("n")).first()[0]
+    for (_, text) in docs.collect():
+        tokens = [*text.split(), "\n"]
+        want.update((n - 1, tuple(tokens[i : i + n])) for n in range(2, 7) for i in range(len(tokens) - n + 1))
+    common = Counter((level, n) for (level, _), n in want.items() if n >= 4)
+    tables = suffix_tree.common_runs(docs, pairs, 5, 4, 20)
+    assert Counter((r.level, r.n) for t in tables for r in t.collect()) == common and {level for level, _ in common} == {1, 2, 3, 4, 5}
+    triples = suffix_tree.Filter.of(tables[0].where("level = 2").select("run"), 20)
+    assert suffix_tree.runs_counted(docs, triples, 2, 3, 5).agg(F.sum("n")).first()[0] < sent
