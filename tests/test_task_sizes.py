@@ -143,16 +143,20 @@ def test_open_runs_meet_their_values_packed(spark):
     own = [rng.choice(runs, k).tolist() for k in (0, 5, 400, 1, 90)]
     parts = spark.createDataFrame([(k + (7 << 33), bytearray(np.array(x, np.int64).tobytes())) for k, x in enumerate(own)], "row long, runs binary")
     value = {int(r): float(i + 1) for i, r in enumerate(runs[:40])}
-    got = suffix_tree.open_sums(parts, spark.createDataFrame(list(value.items()), "run long, value double"))
+    values = spark.createDataFrame(list(value.items()), "run long, value double")
+    got = suffix_tree.open_sums(parts, values)
     want = {k + (7 << 33): s / math.log(10) for k, x in enumerate(own) if (s := sum(value.get(r, 0) for r in x))}
     assert {r.row: round(r.more, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert {r.row: round(r.more, 9) for r in suffix_tree.sliced_sums(parts, values, 3).collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert suffix_tree.sliced_sums(parts, values.limit(0), 0).isEmpty()
     assert "Generate" not in got._jdf.queryExecution().toString()
 
 
 def test_tokens_hashed_in_arrays_are_those_of_words():
     texts = ["Ab cd", None, "", "  x\x0b\tYé  z ", "AB\ncd ab", "a" * 3000 + " b", "\r\x0c"]
     column = pa.array([t and t.encode() for t in texts], pa.binary())
-    line, place = suffix_tree.hashed_tokens(column)
+    line, place, _, text = suffix_tree.hashed_tokens(column)
     tokens, _, want = suffix_tree.tokens_of(column)
     flat = [w for t in tokens for w in t]
     assert place.tolist() == want.tolist() and line.tolist() == suffix_tree.hashes_of(flat).tolist() and len(set(line.tolist())) == len(set(flat))
+    assert suffix_tree._words(text, np.arange(len(flat)), place) == flat
