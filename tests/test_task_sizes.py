@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from roadtally.llm import suffix_tree
+from roadtally.llm.common import written
 from roadtally.operators import classify, docsearch, intervals, review, tracks
 from roadtally.plans.fixtures import Fixtures
 
@@ -108,15 +109,18 @@ def _shuffle_files(spark):
 
 def test_shuffles_of_stored_tables_leave_no_files(spark):
     """They stayed until the driver happened to collect its garbage, and with those of all passes took more disk than there was."""
-    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("in the old barn"), F.col("id") % 7, F.lit("by the old oak"), F.col("id") % 11).alias("text"))
+    rows = spark.range(1000).repartition(5, "id")
     before = _shuffle_files(spark)
-    assert suffix_tree.score_documents(docs.repartition(3), F.col("doc_id") < 250).count() == 300
+    plain = written(rows, "plain")
+    kept = _shuffle_files(spark) - before
+    table = suffix_tree.stored(rows.where("id >= 0"), "table")
     for _ in range(40):
-        left = {f.rpartition("/")[2].split("_")[1] for f in _shuffle_files(spark) - before}
-        if len(left) <= 16:
+        left = _shuffle_files(spark) - before - kept
+        if not left:
             break
         time.sleep(0.25)
-    assert len(left) <= 16  # of filters and counts, which send a few rows, and of what the caller asks for
+    assert kept and not left and table.count() == plain.count() == 1000
+    assert spark.conf.get(suffix_tree.CLEANUP) == "false" and "written" not in suffix_tree.score_documents.__code__.co_names + suffix_tree.grown.__code__.co_names
 
 
 def test_runs_are_sent_packed_and_triples_only_if_common(spark):
