@@ -74,3 +74,26 @@ def test_equal_pieces_make_no_more_candidates(spark, monkeypatch):
     got = sorted((r.track_id, r.chain, r.place) for r in fragments.chains_of_points(df, 10.0).collect())
     assert got == sorted(x for k in range(40) for x in ((1 + k, 1 + k, 0), (5000 + k, 1 + k, 1)))
     assert made == [2]
+
+
+def copied_events(spark, copies, place):
+    from roadtally.plans.fixtures import Fixtures
+
+    events = Fixtures(spark, "/root/testdata/sf0.001").table("events")
+    rows = events.crossJoin(spark.range(copies).withColumnRenamed("id", "copy"))
+    shifted = rows.withColumn("event_id", F.col("event_id") + F.col("copy") * 100_000).withColumn("user_id", F.col("user_id") + F.col("copy") * 1500)
+    shifted.select(events.columns).write.parquet(f"{place}/events.parquet")
+    return place
+
+
+@pytest.mark.parametrize("name", ["q149_counts_by_trajectory"])
+def test_queries_of_paths_make_no_more_candidates_of_copies(spark, monkeypatch, tmp_path, name):
+    """Six copies of every event made 36 candidates of each one's."""
+    from roadtally.plans import registry
+
+    made = []
+    inner = fragments.joined_kinds
+    monkeypatch.setattr(fragments, "joined_kinds", lambda c: (made.append(c.count()), inner(c))[1])
+    registry.queries()[name](spark, copied_events(spark, 6, f"file://{tmp_path}"))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert 0 < made[0] < 6 * made[1]
