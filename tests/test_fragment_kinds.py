@@ -86,7 +86,7 @@ def copied_events(spark, copies, place):
     return place
 
 
-@pytest.mark.parametrize("name", ["q149_counts_by_trajectory", "q151_segment_movements", "q140_retimed_paths"])
+@pytest.mark.parametrize("name", ["q149_counts_by_trajectory", "q151_segment_movements", "q140_retimed_paths", "q161_compared_methods"])
 def test_queries_of_paths_make_no_more_candidates_of_copies(spark, monkeypatch, tmp_path, name):
     """Six copies of every event made 36 candidates of each one's."""
     from roadtally.plans import registry
